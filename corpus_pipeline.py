@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import mixing, sentencepiece_codec, toxicity
+from ledgerloom.llm import line_dedup, mixing, near_duplicates, sentencepiece_codec, toxicity
 from ledgerloom.llm.common import table
 from ledgerloom.scratch import Scratch
 
@@ -16,6 +16,15 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"))
 
 
+def without_copied_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document that loses lines stays, with its new n_chars, even if no text is left."""
+    return line_dedup.dedup_lines(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_duplicates.one_of_each(docs)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
@@ -24,7 +33,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(docs)
 
 
-STAGES = [("toxicity", without_toxic), ("mixing", mixed), ("sentencepiece", encoded)]
+STAGES = [("toxicity", without_toxic), ("line_dedup", without_copied_lines), ("jaccard_join", one_of_each), ("mixing", mixed), ("sentencepiece", encoded)]
 
 #: SQL can express neither the dictionaries' scores nor SentencePiece.
 ORACLE_SQL = None

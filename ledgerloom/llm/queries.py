@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, near_duplicates, quality, sentencepiece_codec, sql, toxicity, urls
+from . import ann, line_dedup, mixing, near_duplicates, quality, sentencepiece_codec, sql, toxicity, urls
 from .common import table
 
 def held_out() -> Column:
@@ -31,6 +31,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), removed="n_removed")
     kept = F.coalesce(F.col("text"), F.lit(""))
@@ -51,7 +55,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_source_mixing, op6_line_dedup, op8_jaccard_join, op9_sentencepiece, op10_url_filter)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_source_mixing, op5_nearest_neighbours, op6_line_dedup, op8_jaccard_join, op9_sentencepiece, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
