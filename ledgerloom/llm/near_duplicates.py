@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,7 +82,13 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     mine = docs.select("doc_id", "text").filter("doc_id is not null").join(_bounded(wanted.select("doc_id", F.col("node").alias("wanted"))), "doc_id").select("wanted", "text")
     out = mine.mapInArrow(run, "found long, wanted long, hashes array<long>").filter("found = wanted")
-    return out.select(F.col("found").alias("node"), "hashes").dropDuplicates(["node"])
+    return out.select(F.col("found").alias("node"), "hashes")
+
+
+def narrow(sketch: Column, words: Column) -> Column:
+    """A dense sketch at the width of one half as wide, where that is narrower; sizes that may link differ by less than a width."""
+    halves = F.zip_with(F.slice(sketch, 1, words), F.slice(sketch, words + 1, words), lambda p, q: p.bitwiseXOR(q))
+    return F.when(F.size(sketch) > words, halves).otherwise(sketch)
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -90,12 +96,15 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scrat
     side = lambda x: nodes.select(*(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "dense")))
     near = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
     near = near.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * parity.PERCENT)
-    distance = F.aggregate(F.zip_with("dense_a", "dense_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    x, y = narrow(F.col("dense_a"), F.size("dense_b")), narrow(F.col("dense_b"), F.size("dense_a"))
+    distance = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, x: s + x)
     near = near.filter(distance * (100 + parity.PERCENT) <= (F.col("n_a") + F.col("n_b")) * (100 - parity.PERCENT))
     near = scratch.save(near.select("a", "b", "n_a", "n_b"), "near")
     wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     wanted = scratch.save(wanted.join(nodes.select("node", "doc_id"), "node"), "wanted")
     sets = scratch.save(sets_of(docs, wanted), "sets")
+    if sets.count() > wanted.count():  # rows that repeat doc_id and text
+        sets = scratch.save(sets.dropDuplicates(["node"]), "sets")
     both = near.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     out = scratch.save(both.filter(100 * shared >= parity.PERCENT * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b"), "links")
@@ -113,15 +122,19 @@ def pivot_pairs(entries: DataFrame, turn: int) -> DataFrame:
 
 def linked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
     """The rows (doc_id, n, node) and, if any link, (node, root) of connected classes."""
-    rows = scratch.save(sketched(docs, frequent_keys(docs)), "rows")
-    live = rows.filter("n > 0 and doc_id is not null")
+    whole = scratch.save(sketched(docs, frequent_keys(docs)), "sketches")
+    rows = scratch.save(whole.select("doc_id", "n", "node"), "rows")
+    live = whole.filter("n > 0 and doc_id is not null")
     keyed = live.select("node", F.explode("keys").alias("key"))
     shared = scratch.save(keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key"), "shared")
     entries = scratch.save(keyed.join(_bounded(shared), "key", "left_semi").distinct(), "entries")
+    scratch.drop(shared)
     if entries.isEmpty():
+        scratch.drop(whole)
         return rows, None
     nodes = live.join(_bounded(scratch.save(entries.select("node").distinct(), "ids")), "node", "left_semi")
     nodes = scratch.save(nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("dense").alias("dense")), "nodes")
+    scratch.drop(whole)
     counts = entries.groupBy("key").agg(F.count("*").alias("classes"))
     few = entries.join(counts.filter(F.col("classes") <= SMALL), "key").select("key", "node")
     pairs = few.alias("x").join(few.alias("y"), "key").filter("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()

@@ -8,8 +8,8 @@ from .shingles import mixed
 
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Bits of the dense sketch, in 64-bit words.
-DENSE_WORDS = 16
+#: A dense sketch has 64 << LEAST_BITS bits at least.
+LEAST_BITS = 2
 
 
 def band_of(n: int) -> int:
@@ -32,9 +32,11 @@ def identity(hashes: np.ndarray) -> int:
 
 
 def dense(hashes: np.ndarray) -> np.ndarray:
-    """The sketch of 64 * DENSE_WORDS bits: each shingle flips one bit, so the bits in which two sketches differ are at most the shingles in which the sets do."""
-    bits = np.bincount((mixed(hashes ^ np.uint64(0x77)) % np.uint64(64 * DENSE_WORDS)).astype(np.int64), minlength=64 * DENSE_WORDS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+    """A sketch of at least two bits a shingle, in 64-bit words, a power of two of them: each shingle flips one bit, so the bits in which two
+    sketches differ are at most the shingles in which the sets do. The XOR of a sketch's halves is the sketch of half the width."""
+    bits = 64 << max(LEAST_BITS, (2 * len(hashes) // 64).bit_length())
+    flips = np.bincount((mixed(hashes ^ np.uint64(0x77)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64)
 
 
 def band_keys(hashes: np.ndarray, late: np.ndarray | None = None) -> np.ndarray:
