@@ -52,6 +52,8 @@ HINTS = {
     "form": "form search login signup register", "good": "content article post entry story main text body page prose",
 }
 HINT_OF = {w: i for i, ws in enumerate(HINTS.values()) for w in ws.split()}
+#: Groups whose amount of text is a feature; a block's own would count once for each of an article's many.
+HOLDERS = np.array([5, 6, 7, 8, 10, 11, 12, 13])
 N_GROUPS, N_HINTS, N_NUMBERS = len(GROUPS), len(HINTS), 9
 N_FEATURES = N_GROUPS + N_HINTS + N_NUMBERS
 
@@ -181,9 +183,9 @@ def forest(pages: list[Page]) -> Forest:
     end = np.array([bool(b) and b[-1] in ".!?:;…。\"'”»" for b in blocks], float)
     sign = np.array([bool(b) and ("©" in b or "®" in b) for b in blocks], float)
     linked, hidden = np.array(every("linked"), float), np.array(every("hidden"), float)
-    total, total_linked, leaves = chars.copy(), linked.copy(), leaf.astype(float)
+    total, total_linked, leaves, ends = chars.copy(), linked.copy(), leaf.astype(float), end.copy()
     for nodes in levels[:0:-1]:
-        for x in (total, total_linked, leaves):
+        for x in (total, total_linked, leaves, ends):
             np.add.at(x, parent[nodes], x[nodes])
     x = np.zeros((len(own), N_FEATURES))
     rows = np.arange(len(own))
@@ -194,12 +196,14 @@ def forest(pages: list[Page]) -> Forest:
     n = N_GROUPS + N_HINTS
     x[:, n] = np.minimum(np.log1p(total), 9) / 9
     x[:, n + 1] = total_linked / np.maximum(total, 1)
-    x[:, n + 2] = (leaf & (chars < 25)) * 1.0
-    x[:, n + 3] = (leaf & (chars >= 100)) * 1.0
-    x[:, n + 4] = end
+    holder = ~leaf & (np.isin(group, HOLDERS))
+    x[:, n] *= holder
+    x[:, n + 2] = holder & (leaves == 1)
+    x[:, n + 3] = holder & (leaves >= 4)
+    x[:, n + 4] = holder * np.minimum(ends / np.maximum(leaves, 1), 1)
     x[:, n + 5] = sign
     x[:, n + 6] = hidden
-    x[:, n + 7] = np.minimum(total / np.maximum(leaves, 1), 400) / 400
+    x[:, n + 7] = holder * np.minimum(total / np.maximum(leaves, 1), 400) / 400
     x[:, n + 8] = 1
     return Forest(parent, group, levels, x)
 

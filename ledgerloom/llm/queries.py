@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, line_dedup, mixing, near_duplicates, quality, sentencepiece_codec, sql, toxicity, urls
+from ..scratch import Scratch
+from . import ann, html_extract, line_dedup, mixing, near_duplicates, quality, sentencepiece_codec, sql, token_rollup, toxicity, urls
 from .common import table
 
 def held_out() -> Column:
@@ -31,6 +32,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
@@ -41,6 +46,20 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_removed").cast("long").alias("n_removed"), F.length(kept).cast("long").alias("n_chars"), F.md5(kept).alias("text_md5"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document comes in, under two versions; one version is revised; documents of fewer than 20 words go; a batch comes twice."""
+    seen = token_rollup.counted(table(spark, sf_dir, "documents"))
+    event = lambda op, tokenizer, tokens, old=0: F.struct(F.lit(op).alias("op"), F.lit(tokenizer).alias("tokenizer"), F.col(tokens).alias("tokens"), (F.col(old) if old else F.lit(0)).cast("long").alias("old_tokens"))
+    batch = lambda docs, *events: docs.select("source", "lang", F.explode(F.array(*events)).alias("e")).select("source", "lang", "e.*")
+    book = token_rollup.Ledger(spark, Scratch(spark, "tokens").root)
+    load = batch(seen, event("insert", "words", "words1"), event("insert", "chars", "chars1"))
+    book.commit("load", load)
+    book.commit("revise", batch(seen, event("revise", "words", "words2", "words1")))
+    book.commit("load", load)
+    book.commit("delete", batch(seen.filter("words1 < 20"), event("delete", "words", "words2"), event("delete", "chars", "chars1")))
+    return book.totals()
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -55,7 +74,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_source_mixing, op5_nearest_neighbours, op6_line_dedup, op8_jaccard_join, op9_sentencepiece, op10_url_filter)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_source_mixing, op4_html_extraction, op5_nearest_neighbours, op6_line_dedup, op7_token_counts, op8_jaccard_join, op9_sentencepiece, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
