@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 KEY = "spark.checkpoint.dir"
 
@@ -44,3 +45,12 @@ class Scratch:
             if path:
                 p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Rows that a written table may have to be broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df (written, of narrow rows) for a join: broadcast if it has few rows, else as it is."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
