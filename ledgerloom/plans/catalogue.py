@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import costbasis, filters  # noqa: F401
+from . import aggregates, costbasis, filters  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
