@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranking import global_rank
-from ..scratch import Scratch
+from ..scratch import Scratch, bounded
 from .common import fresh
 
 MIN_WORDS = 8
@@ -99,7 +99,8 @@ def copied_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
     place = F.struct("d", "th", "start")
     windows = windows.distinct()
     first = windows.groupBy("n", "x", "y").agg(F.min(place).alias("first"), F.count("*").alias("copies")).filter("copies > 1")
-    later = windows.join(first, ["n", "x", "y"]).filter(place != F.col("first"))
+    first = scratch.save(first.drop("copies"), "intervals")  # joined apart from its aggregation, so that a frequent interval's windows can be split
+    later = windows.join(bounded(first), ["n", "x", "y"]).filter(place != F.col("first"))
     gone = later.select("d", "th", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("i")).distinct()
     gone = gone.join(places.select("d", "th", "i", "p"), ["d", "th", "i"])
     return scratch.save(gone.groupBy("d", "th").agg(F.collect_list("p").alias("gone")), "gone")
