@@ -28,23 +28,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import components
-from ..scratch import Scratch
+from ..scratch import Scratch, bounded
 from . import parity
 from .shingles import shingle_hashes
 
 SMALL = 48
 PIVOTS = 4
-#: Keys looked up by broadcast, at most; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 #: One document in SAMPLE is asked for frequent keys; a key is frequent from FREQUENT such documents on. LATE keys at most are told to all.
 SAMPLE, FREQUENT, LATE = 16, 6, 500_000
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """df (written) for a join: broadcast if it has few rows, else as it is."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def sketched(docs: DataFrame, late: np.ndarray) -> DataFrame:
     """doc_id, n, node (the set's name), keys and the dense sketch of each row."""
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("dense", T.ArrayType(T.LongType()))])
@@ -80,7 +73,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 node = pa.array([parity.identity(h) for h in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays([node, part.column(0), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=["found", "wanted", "hashes"])
 
-    mine = docs.select("doc_id", "text").filter("doc_id is not null").join(_bounded(wanted.select("doc_id", F.col("node").alias("wanted"))), "doc_id").select("wanted", "text")
+    mine = docs.select("doc_id", "text").filter("doc_id is not null").join(bounded(wanted.select("doc_id", F.col("node").alias("wanted"))), "doc_id").select("wanted", "text")
     out = mine.mapInArrow(run, "found long, wanted long, hashes array<long>").filter("found = wanted")
     return out.select(F.col("found").alias("node"), "hashes")
 
@@ -127,12 +120,12 @@ def linked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | No
     live = whole.filter("n > 0 and doc_id is not null")
     keyed = live.select("node", F.explode("keys").alias("key"))
     shared = scratch.save(keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key"), "shared")
-    entries = scratch.save(keyed.join(_bounded(shared), "key", "left_semi").distinct(), "entries")
+    entries = scratch.save(keyed.join(bounded(shared), "key", "left_semi").distinct(), "entries")
     scratch.drop(shared)
     if entries.isEmpty():
         scratch.drop(whole)
         return rows, None
-    nodes = live.join(_bounded(scratch.save(entries.select("node").distinct(), "ids")), "node", "left_semi")
+    nodes = live.join(bounded(scratch.save(entries.select("node").distinct(), "ids")), "node", "left_semi")
     nodes = scratch.save(nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("dense").alias("dense")), "nodes")
     scratch.drop(whole)
     counts = entries.groupBy("key").agg(F.count("*").alias("classes"))
@@ -170,7 +163,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         placed = rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("members"))
     least = scratch.save(least.filter("members > 1").select("root", "least"), "least")  # the others are alone
-    out = placed.join(_bounded(least), "root", "left")
+    out = placed.join(bounded(least), "root", "left")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
@@ -180,9 +173,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "dedup")
     groups = scratch.save(near_duplicates(docs), "groups")
     gone = scratch.save(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(_bounded(gone), "doc_id", "left_anti")
+    kept = docs.join(bounded(gone), "doc_id", "left_anti")
     again = scratch.save(groups.filter("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
     if again.isEmpty():
         return kept.select(*docs.columns)
-    ids = _bounded(again)
+    ids = bounded(again)
     return kept.join(ids, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(ids, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
