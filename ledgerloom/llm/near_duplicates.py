@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,10 +32,11 @@ from ..scratch import Scratch, bounded
 from . import parity
 from .shingles import shingle_hashes
 
-SMALL = 48
-PIVOTS = 4
+SMALL = 24
+#: Pivots of a key in the first round; each round takes twice as many, up to MOST_PIVOTS.
+PIVOTS, MOST_PIVOTS = 8, 256
 #: One document in SAMPLE is asked for frequent keys; a key is frequent from FREQUENT such documents on. LATE keys at most are told to all.
-SAMPLE, FREQUENT, LATE = 16, 6, 500_000
+SAMPLE, FREQUENT, LATE = 16, 3, 500_000
 
 
 def sketched(docs: DataFrame, late: np.ndarray) -> DataFrame:
@@ -105,12 +106,12 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scrat
     return out
 
 
-def pivot_pairs(entries: DataFrame, turn: int) -> DataFrame:
-    """entries (key, node, root): pairs of each node with each of its key's pivots of another root."""
-    order = [F.xxhash64(F.lit(turn * PIVOTS + i), "node") for i in range(PIVOTS)]
-    chosen = entries.groupBy("key").agg(*(F.min(F.struct(o.alias("o"), "node", "root")).alias(f"p{i}") for i, o in enumerate(order)))
-    chosen = chosen.select("key", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"p{i}.node").alias("pivot"), F.col(f"p{i}.root").alias("pivot_root")) for i in range(PIVOTS))))).alias("p")).select("key", "p.*")
-    return entries.join(chosen, "key")
+def pivots(entries: DataFrame, most: int) -> DataFrame:
+    """entries (key, node, root): of each key up to most entries, those of its smallest roots first, so that what is not yet connected meets the rest."""
+    size = F.count("*").over(Window.partitionBy("key", "root"))
+    order = Window.partitionBy("key").orderBy("size", F.xxhash64("node"), "node")
+    first = entries.withColumn("size", size).withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= most)
+    return first.select("key", F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
 
 
 def linked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
@@ -133,23 +134,24 @@ def linked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | No
     pairs = few.alias("x").join(few.alias("y"), "key").filter("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     links = verified(scratch.save(pairs, "pairs"), nodes, docs, scratch)
     hot = scratch.save(entries.join(counts.filter(F.col("classes") > SMALL).select("key"), "key", "left_semi"), "hot")
-    root, turn = None, 0
+    scratch.drop(entries)
+    most = PIVOTS
     while True:
-        stars = components(links, scratch)
-        root = scratch.save(stars, "root")
+        root = scratch.save(components(links, scratch), "root")
         if hot.isEmpty():
             return rows, root
-        placed = hot.join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        placed = hot.join(bounded(root), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         open_ = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
         placed = scratch.save(placed.join(open_, "key", "left_semi"), "placed")
-        met = scratch.save(pivot_pairs(placed, turn), "met")
-        pairs = met.filter("root <> pivot_root").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        chosen = scratch.save(pivots(placed, most), "pivots")
+        met = placed.join(bounded(chosen), "key").filter("root <> pivot_root")
+        pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         new = verified(scratch.save(pairs, "pairs"), nodes, docs, scratch)
-        links = links.unionByName(new)
-        # pivots have met all of their key
-        hot = scratch.save(placed.select("key", "node").join(met.select("key", F.col("pivot").alias("node")).distinct(), ["key", "node"], "left_anti"), "hot")
-        scratch.drop(placed, met)
-        turn += 1
+        links = root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new)
+        # a pivot has met all of its key
+        left = scratch.save(placed.select("key", "node").join(chosen.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti"), "hot")
+        scratch.drop(hot, placed, chosen)
+        hot, most = left, min(MOST_PIVOTS, 2 * most)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
