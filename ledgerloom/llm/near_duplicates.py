@@ -8,8 +8,9 @@ symmetric difference), then by the sets themselves.
 
 Documents with the same set are one class, so copies are never paired. A key with at
 most SMALL classes gives all its pairs; in one with more, a few pivots are compared with
-all, and again until all that is left there is connected or compared, so a large
-group of near copies costs a multiple of its size. Keys that a sample of
+all in blocks of entries, by sizes and dense sketches, and again until all that is left there is
+connected or compared; only what may link leaves a block. So a large group of near copies costs a
+multiple of its size, and only what links with nothing meets all of its key. Keys that a sample of
 documents shows to be frequent come last in every document's order; that changes which
 keys are used, not what is found.
 
@@ -33,8 +34,8 @@ from . import parity
 from .shingles import shingle_hashes
 
 SMALL = 24
-#: Pivots of a key in the first round; each round takes twice as many, up to MOST_PIVOTS.
-PIVOTS, MOST_PIVOTS = 8, 256
+#: Pivots of a key in the first round; each round takes GROWTH times as many, up to MOST_PIVOTS. BLOCK entries are compared with them at a time.
+PIVOTS, GROWTH, MOST_PIVOTS, BLOCK = 2, 4, 1024, 512
 #: One document in SAMPLE is asked for frequent keys; a key is frequent from FREQUENT such documents on. LATE keys at most are told to all.
 SAMPLE, FREQUENT, LATE = 16, 3, 500_000
 
@@ -85,20 +86,69 @@ def narrow(sketch: Column, words: Column) -> Column:
     return F.when(F.size(sketch) > words, halves).otherwise(sketch)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) whose sets link. nodes: node, doc_id, n, dense."""
+def may_link(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) those that sizes and dense sketches let link, with n_a and n_b. nodes: node, n, dense."""
     side = lambda x: nodes.select(*(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "dense")))
     near = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
     near = near.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * parity.PERCENT)
     x, y = narrow(F.col("dense_a"), F.size("dense_b")), narrow(F.col("dense_b"), F.size("dense_a"))
     distance = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, x: s + x)
     near = near.filter(distance * (100 + parity.PERCENT) <= (F.col("n_a") + F.col("n_b")) * (100 - parity.PERCENT))
-    near = scratch.save(near.select("a", "b", "n_a", "n_b"), "near")
+    return near.select("a", "b", "n_a", "n_b")
+
+
+def compare(pivots_: pa.Table, block: pa.Table) -> pa.Table:
+    """may_link for each row of block with each pivot of another root."""
+    widths = np.array([len(x) for x in pivots_.column("dense").to_pylist()])
+    n_p, root_p, id_p = (pivots_.column(c).to_numpy() for c in ("n", "root", "node"))
+    sketches: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def at_width(w: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and sketches of the pivots that have w words, or 2 * w and are folded."""
+        if w not in sketches:
+            places = np.flatnonzero((widths == w) | (widths == 2 * w))
+            rows = [pivots_.column("dense")[int(i)].values.to_numpy() for i in places]
+            sketches[w] = places, np.array([x if len(x) == w else x[:w] ^ x[w:] for x in rows], np.int64).reshape(len(rows), w)
+        return sketches[w]
+
+    out_a, out_b, out_na, out_nb = [], [], [], []
+    for node, root, n, dense in zip(*(block.column(c).to_numpy() for c in ("node", "root", "n")), block.column("dense"), strict=True):
+        own = dense.values.to_numpy()
+        for w in (len(own), len(own) // 2):
+            places, sketch = at_width(w)
+            fits = (root_p[places] != root) & (100 * np.minimum(n, n_p[places]) >= parity.PERCENT * np.maximum(n, n_p[places]))
+            if w < len(own):
+                fits &= widths[places] == w
+            if not fits.any():
+                continue
+            places = places[fits]
+            mine = own if w == len(own) else own[:w] ^ own[w:]
+            distance = np.bitwise_count((sketch[fits] ^ mine).view(np.uint64)).sum(1, dtype=np.int64)
+            for i in places[distance * (100 + parity.PERCENT) <= (n + n_p[places]) * (100 - parity.PERCENT)]:
+                (x, n_x), (y, n_y) = sorted(((int(node), int(n)), (int(id_p[i]), int(n_p[i]))))
+                out_a.append(x), out_b.append(y), out_na.append(n_x), out_nb.append(n_y)
+    return pa.table({k: pa.array(v, pa.int64()) for k, v in (("a", out_a), ("b", out_b), ("n_a", out_na), ("n_b", out_nb))})
+
+
+def met(placed: DataFrame, chosen: DataFrame, open_: DataFrame) -> DataFrame:
+    """may_link for the pivots of each key with its other entries, in blocks of about BLOCK entries. open_: key and its entries; the others: key, node, root, n, dense."""
+    blocks = bounded(open_.select("key", F.ceil(F.col("entries") / BLOCK).alias("blocks")))
+    data = placed.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    posed = chosen.join(blocks, "key").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    columns = ("key", "block", "node", "root", "n", "dense")
+    found = posed.select(*columns).groupBy("key", "block").cogroup(data.select(*columns).groupBy("key", "block")).applyInArrow(compare, "a long, b long, n_a long, n_b long")
+    return found.distinct()
+
+
+def verified(near: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of near, a written table of may_link, whose sets link; near is dropped. nodes: node, doc_id."""
     wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     wanted = scratch.save(wanted.join(nodes.select("node", "doc_id"), "node"), "wanted")
     sets = scratch.save(sets_of(docs, wanted), "sets")
     if sets.count() > wanted.count():  # rows that repeat doc_id and text
-        sets = scratch.save(sets.dropDuplicates(["node"]), "sets")
+        again = sets
+        sets = scratch.save(again.dropDuplicates(["node"]), "sets")
+        scratch.drop(again)
     both = near.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     out = scratch.save(both.filter(100 * shared >= parity.PERCENT * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b"), "links")
@@ -107,11 +157,11 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scrat
 
 
 def pivots(entries: DataFrame, most: int) -> DataFrame:
-    """entries (key, node, root): of each key up to most entries, those of its smallest roots first, so that what is not yet connected meets the rest."""
-    size = F.count("*").over(Window.partitionBy("key", "root"))
+    """entries (key, node, root, ...): of each key up to most entries, those of its smallest roots first, so that what is not yet connected meets the rest."""
+    size = entries.groupBy("key", "root").agg(F.count("*").alias("size"))
     order = Window.partitionBy("key").orderBy("size", F.xxhash64("node"), "node")
-    first = entries.withColumn("size", size).withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= most)
-    return first.select("key", F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
+    first = entries.join(size, ["key", "root"]).withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= most)
+    return first.select(*entries.columns)
 
 
 def linked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
@@ -120,8 +170,10 @@ def linked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | No
     rows = scratch.save(whole.select("doc_id", "n", "node"), "rows")
     live = whole.filter("n > 0 and doc_id is not null")
     keyed = live.select("node", F.explode("keys").alias("key"))
-    shared = scratch.save(keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key"), "shared")
-    entries = scratch.save(keyed.join(bounded(shared), "key", "left_semi").distinct(), "entries")
+    shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
+    # written apart, so that the keys' exchange is done when the entries' begins; joined by key at every size, as shared keys grow with the documents
+    shared = scratch.save(shared, "shared")
+    entries = scratch.save(keyed.join(shared, "key", "left_semi").distinct(), "entries")
     scratch.drop(shared)
     if entries.isEmpty():
         scratch.drop(whole)
@@ -129,29 +181,33 @@ def linked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | No
     nodes = live.join(bounded(scratch.save(entries.select("node").distinct(), "ids")), "node", "left_semi")
     nodes = scratch.save(nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("dense").alias("dense")), "nodes")
     scratch.drop(whole)
-    counts = entries.groupBy("key").agg(F.count("*").alias("classes"))
+    counts = scratch.save(entries.groupBy("key").agg(F.count("*").alias("classes")), "counts")
     few = entries.join(counts.filter(F.col("classes") <= SMALL), "key").select("key", "node")
     pairs = few.alias("x").join(few.alias("y"), "key").filter("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    links = verified(scratch.save(pairs, "pairs"), nodes, docs, scratch)
-    hot = scratch.save(entries.join(counts.filter(F.col("classes") > SMALL).select("key"), "key", "left_semi"), "hot")
-    scratch.drop(entries)
-    most = PIVOTS
-    while True:
-        root = scratch.save(components(links, scratch), "root")
-        if hot.isEmpty():
-            return rows, root
-        placed = hot.join(bounded(root), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        open_ = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-        placed = scratch.save(placed.join(open_, "key", "left_semi"), "placed")
+    links = verified(scratch.save(may_link(pairs, nodes), "near"), nodes, docs, scratch)
+    hot = entries.join(bounded(counts.filter(F.col("classes") > SMALL).select("key")), "key", "left_semi").join(nodes.select("node", "n", "dense"), "node")
+    hot = scratch.save(hot.select("key", "node", "n", "dense"), "hot")
+    scratch.drop(entries, counts)
+    root, most = scratch.save(components(links, scratch), "root"), PIVOTS
+    scratch.drop(links)
+    while not hot.isEmpty():
+        placed = hot.join(bounded(root), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "n", "dense")
+        state = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("entries"))
+        open_ = scratch.save(state.filter("lo <> hi").select("key", "entries"), "open")
+        placed = scratch.save(placed.join(bounded(open_), "key", "left_semi"), "placed")
         chosen = scratch.save(pivots(placed, most), "pivots")
-        met = placed.join(bounded(chosen), "key").filter("root <> pivot_root")
-        pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        new = verified(scratch.save(pairs, "pairs"), nodes, docs, scratch)
-        links = root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new)
+        near = scratch.save(met(placed, chosen, open_), "near")
         # a pivot has met all of its key
-        left = scratch.save(placed.select("key", "node").join(chosen.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti"), "hot")
-        scratch.drop(hot, placed, chosen)
-        hot, most = left, min(MOST_PIVOTS, 2 * most)
+        left = scratch.save(placed.drop("root").join(bounded(chosen.select("key", "node")), ["key", "node"], "left_anti"), "hot")
+        scratch.drop(hot, placed, chosen, open_)
+        hot, most = left, min(MOST_PIVOTS, GROWTH * most)
+        if not near.isEmpty():
+            new = verified(near, nodes, docs, scratch)
+            old = root
+            root = scratch.save(components(old.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new), scratch), "root")
+            scratch.drop(old, new)
+    scratch.drop(nodes, hot)
+    return rows, root
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
