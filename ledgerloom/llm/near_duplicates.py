@@ -9,7 +9,7 @@ symmetric difference), then by the sets themselves.
 Documents with the same set are one class, so copies are never paired. A key with at
 most SMALL classes gives all its pairs; in one with more, a few pivots are compared with
 all in blocks of entries, by sizes and dense sketches, and again until all that is left there is
-connected or compared; only what may link leaves a block. So a large group of near copies costs a
+connected or compared; only what may link leaves a block, a root's nearest entries first. So a large group of near copies costs a
 multiple of its size, and only what links with nothing meets all of its key. Keys that a sample of
 documents shows to be frequent come last in every document's order; that changes which
 keys are used, not what is found.
@@ -36,6 +36,8 @@ from .shingles import shingle_hashes
 SMALL = 24
 #: Pivots of a key in the first round; each round takes GROWTH times as many, up to MOST_PIVOTS. BLOCK entries are compared with them at a time.
 PIVOTS, GROWTH, MOST_PIVOTS, BLOCK = 2, 4, 1024, 512
+#: A pivot is verified with so many entries of a root and block in the first round, with GROWTH times as many in each later one.
+NEAREST = 2
 #: One document in SAMPLE is asked for frequent keys; a key is frequent from FREQUENT such documents on. LATE keys at most are told to all.
 SAMPLE, FREQUENT, LATE = 16, 3, 500_000
 
@@ -97,8 +99,10 @@ def may_link(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return near.select("a", "b", "n_a", "n_b")
 
 
-def compare(pivots_: pa.Table, block: pa.Table) -> pa.Table:
-    """may_link for each row of block with each pivot of another root."""
+def compare(pivots_: pa.Table, block: pa.Table, most: int) -> pa.Table:
+    """may_link for the rows of block and the pivots of other roots, with their key: of each pivot the most rows of each root that are nearest by sketch.
+
+    A pivot with more has a row of its own with a null b: it has not met all yet."""
     widths = np.array([len(x) for x in pivots_.column("dense").to_pylist()])
     n_p, root_p, id_p = (pivots_.column(c).to_numpy() for c in ("n", "root", "node"))
     sketches: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -111,7 +115,7 @@ def compare(pivots_: pa.Table, block: pa.Table) -> pa.Table:
             sketches[w] = places, np.array([x if len(x) == w else x[:w] ^ x[w:] for x in rows], np.int64).reshape(len(rows), w)
         return sketches[w]
 
-    out_a, out_b, out_na, out_nb = [], [], [], []
+    hits: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
     for node, root, n, dense in zip(*(block.column(c).to_numpy() for c in ("node", "root", "n")), block.column("dense"), strict=True):
         own = dense.values.to_numpy()
         for w in (len(own), len(own) // 2):
@@ -124,20 +128,26 @@ def compare(pivots_: pa.Table, block: pa.Table) -> pa.Table:
             places = places[fits]
             mine = own if w == len(own) else own[:w] ^ own[w:]
             distance = np.bitwise_count((sketch[fits] ^ mine).view(np.uint64)).sum(1, dtype=np.int64)
-            for i in places[distance * (100 + parity.PERCENT) <= (n + n_p[places]) * (100 - parity.PERCENT)]:
-                (x, n_x), (y, n_y) = sorted(((int(node), int(n)), (int(id_p[i]), int(n_p[i]))))
-                out_a.append(x), out_b.append(y), out_na.append(n_x), out_nb.append(n_y)
-    return pa.table({k: pa.array(v, pa.int64()) for k, v in (("a", out_a), ("b", out_b), ("n_a", out_na), ("n_b", out_nb))})
-
-
-def met(placed: DataFrame, chosen: DataFrame, open_: DataFrame) -> DataFrame:
-    """may_link for the pivots of each key with its other entries, in blocks of about BLOCK entries. open_: key and its entries; the others: key, node, root, n, dense."""
+            near = distance * (100 + parity.PERCENT) <= (n + n_p[places]) * (100 - parity.PERCENT)
+            for i, far in zip(places[near].tolist(), distance[near].tolist(), strict=True):
+                hits.setdefault((i, int(root)), []).append((far, int(node), int(n)))
+    out = []
+    for (i, _), found in hits.items():
+        pivot = int(id_p[i])
+        out += [(pivot, node, int(n_p[i]), n) if pivot < node else (node, pivot, n, int(n_p[i])) for _, node, n in sorted(found)[:most]]
+    out += [(pivot, None, None, None) for pivot in {int(id_p[i]) for (i, _), found in hits.items() if len(found) > most}]
+    key = pivots_.column("key")[0].as_py()
+    columns = zip(*out, strict=True) if out else ((),) * 4
+    return pa.table({"key": pa.array([key] * len(out), pa.int64()), **{k: pa.array(v, pa.int64()) for k, v in zip(("a", "b", "n_a", "n_b"), columns, strict=True)}})
+
+
+def met(placed: DataFrame, chosen: DataFrame, open_: DataFrame, most: int) -> DataFrame:
+    """compare for the pivots of each key and its other entries, in blocks of about BLOCK entries. open_: key and its entries; the others: key, node, root, n, dense."""
     blocks = bounded(open_.select("key", F.ceil(F.col("entries") / BLOCK).alias("blocks")))
     data = placed.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     posed = chosen.join(blocks, "key").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     columns = ("key", "block", "node", "root", "n", "dense")
-    found = posed.select(*columns).groupBy("key", "block").cogroup(data.select(*columns).groupBy("key", "block")).applyInArrow(compare, "a long, b long, n_a long, n_b long")
-    return found.distinct()
+    return posed.select(*columns).groupBy("key", "block").cogroup(data.select(*columns).groupBy("key", "block")).applyInArrow(lambda p, q: compare(p, q, most), "key long, a long, b long, n_a long, n_b long")
 
 
 def verified(near: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -188,7 +198,7 @@ def linked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | No
     hot = entries.join(bounded(counts.filter(F.col("classes") > SMALL).select("key")), "key", "left_semi").join(nodes.select("node", "n", "dense"), "node")
     hot = scratch.save(hot.select("key", "node", "n", "dense"), "hot")
     scratch.drop(entries, counts)
-    root, most = scratch.save(components(links, scratch), "root"), PIVOTS
+    root, most, nearest = scratch.save(components(links, scratch), "root"), PIVOTS, NEAREST
     scratch.drop(links)
     while not hot.isEmpty():
         placed = hot.join(bounded(root), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "n", "dense")
@@ -196,11 +206,14 @@ def linked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | No
         open_ = scratch.save(state.filter("lo <> hi").select("key", "entries"), "open")
         placed = scratch.save(placed.join(bounded(open_), "key", "left_semi"), "placed")
         chosen = scratch.save(pivots(placed, most), "pivots")
-        near = scratch.save(met(placed, chosen, open_), "near")
-        # a pivot has met all of its key
-        left = scratch.save(placed.drop("root").join(bounded(chosen.select("key", "node")), ["key", "node"], "left_anti"), "hot")
-        scratch.drop(hot, placed, chosen, open_)
-        hot, most = left, min(MOST_PIVOTS, GROWTH * most)
+        found = scratch.save(met(placed, chosen, open_, nearest), "met")
+        near = scratch.save(found.filter("b is not null").select("a", "b", "n_a", "n_b").distinct(), "near")
+        # the other pivots have met all of their key; one that has more than the nearest stays an entry, and nearest grows
+        more = found.filter("b is null").select("key", F.col("a").alias("node")).distinct()
+        done = scratch.save(chosen.select("key", "node").join(more, ["key", "node"], "left_anti"), "done")
+        left = scratch.save(placed.drop("root").join(bounded(done), ["key", "node"], "left_anti"), "hot")
+        scratch.drop(hot, placed, chosen, open_, found, done)
+        hot, most, nearest = left, min(MOST_PIVOTS, GROWTH * most), GROWTH * nearest
         if not near.isEmpty():
             new = verified(near, nodes, docs, scratch)
             old = root
