@@ -35,8 +35,8 @@ from .shingles import shingle_hashes
 
 SMALL = 24
 #: Pivots of a key in the first round; each round takes GROWTH times as many, up to MOST_PIVOTS. BLOCK entries are compared with them at a time.
-PIVOTS, GROWTH, MOST_PIVOTS, BLOCK = 2, 4, 1024, 512
-#: A pivot is verified with so many entries of a root and block in the first round, with GROWTH times as many in each later one.
+PIVOTS, GROWTH, MOST_PIVOTS, BLOCK = 2, 8, 1024, 512
+#: A pivot is verified with so many entries of a root and block in the first round, with twice as many in each later one.
 NEAREST = 2
 #: One document in SAMPLE is asked for frequent keys; a key is frequent from FREQUENT such documents on. LATE keys at most are told to all.
 SAMPLE, FREQUENT, LATE = 16, 3, 500_000
@@ -213,7 +213,7 @@ def linked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | No
         done = scratch.save(chosen.select("key", "node").join(more, ["key", "node"], "left_anti"), "done")
         left = scratch.save(placed.drop("root").join(bounded(done), ["key", "node"], "left_anti"), "hot")
         scratch.drop(hot, placed, chosen, open_, found, done)
-        hot, most, nearest = left, min(MOST_PIVOTS, GROWTH * most), GROWTH * nearest
+        hot, most, nearest = left, min(MOST_PIVOTS, GROWTH * most), 2 * nearest
         if not near.isEmpty():
             new = verified(near, nodes, docs, scratch)
             old = root
