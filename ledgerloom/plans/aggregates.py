@@ -275,10 +275,11 @@ def w06(spark, sf_dir):
 @query("w07_forward_fill", f"""WITH {EXCHANGE}, r AS (SELECT ts::DATE AS day, (sum(quantity) / count(*))::DOUBLE AS rate FROM exchange WHERE day(ts) % 9 = 0 GROUP BY 1),
  c AS (SELECT unnest(generate_series(DATE '1996-01-01', DATE '1996-12-31', INTERVAL 1 DAY))::DATE AS day) SELECT strftime(c.day, '%Y-%m-%d') AS day, round((SELECT rate FROM r WHERE r.day <= c.day ORDER BY r.day DESC LIMIT 1), 4) AS rate FROM c""")
 def w07(spark, sf_dir):
-    rates = exchange(spark, sf_dir).filter(F.dayofmonth("ts") % 9 == 0).groupBy(F.to_date("ts").alias("day")).agg((F.sum("quantity").cast("double") / F.count("*")).alias("rate"))
-    days = spark.range(1).select(F.explode(F.sequence(F.lit("1990-01-01").cast("date"), F.lit("1996-12-31").cast("date"))).alias("day"))
+    e = exchange(spark, sf_dir)
+    rates = e.groupBy(F.to_date("ts").alias("day")).agg((F.sum("quantity").cast("double") / F.count("*")).alias("rate"))
+    days = e.select(F.min(F.to_date("ts")).alias("first"), F.max(F.to_date("ts")).alias("last")).select(F.explode(F.sequence("first", "last")).alias("day"))
     filled = days.join(rates, "day", "left").withColumn("rate", F.last("rate", ignorenulls=True).over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)))  # a row a day
-    return filled.filter("day >= '1996-01-01'").select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.round("rate", 4).alias("rate"))
+    return filled.select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.round("rate", 4).alias("rate"))
 
 
 @query("w08_sessions", f"""WITH {ONCHAIN}, n AS (SELECT user_id, ts_s, CASE WHEN ts_s - lag(ts_s) OVER (PARTITION BY user_id ORDER BY ts_s, id) <= 7200 THEN 0 ELSE 1 END AS fresh, id FROM onchain),

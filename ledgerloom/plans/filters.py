@@ -109,7 +109,7 @@ def t01(spark, sf_dir):
 @query("t02_review_queue", f"WITH {EXCHANGE} SELECT id, confidence FROM (SELECT *, CASE WHEN id % 11 = 0 THEN NULL ELSE round((id % 100) / 100, 2) END AS confidence FROM exchange) ORDER BY confidence ASC NULLS LAST, ts, id LIMIT 200")
 def t02(spark, sf_dir):
     confidence = F.when(F.col("id") % 11 == 0, None).otherwise(F.round((F.col("id") % 100) / 100, 2))
-    return exchange(spark, sf_dir).withColumn("confidence", confidence).orderBy(F.col("confidence").asc_nulls_last(), "ts", "id").limit(200).select("id", "confidence")
+    return exchange(spark, sf_dir).withColumn("confidence", confidence).orderBy(F.col("confidence").asc_nulls_last(), "ts", "id").select("id", "confidence")
 
 
 @query("t07_distinct_dates", f"WITH {LEDGER} SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day FROM ledger ORDER BY day DESC LIMIT 30")
