@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import asof_join, nearest_join
+from .joins import nearest_join
 
 #: Fixed values.
 STABLE = ("USDT", "USDC", "DAI", "BUSD")
@@ -19,9 +19,11 @@ def two_sources(primary: Column, secondary: Column, most: float = 0.5) -> Column
 
 
 def with_rate(rows: DataFrame, rates: DataFrame, day: str = "day", days: int = LOOKBACK_DAYS) -> DataFrame:
-    """rows with the rate (day_no, rate) of the day or of one of the days before, else the constant; estimated tells which."""
-    found = asof_join(rows.withColumn("__k", F.lit(0)), rates.withColumn("__k", F.lit(0)), ["__k"], day, "rate_day", ["rate"], tolerance=days)
-    return found.withColumn("estimated", F.col("rate").isNull()).withColumn("rate", F.coalesce("rate", F.lit(FALLBACK_RATE))).drop("__k", "rate_day")
+    """rows with the rate (rate_day, rate) of the day or of one of the days before, else the constant; estimated tells which."""
+    served = rates.select(F.explode(F.sequence("rate_day", F.col("rate_day") + days)).alias("__day"), "rate_day", "rate")
+    served = served.groupBy("__day").agg(F.max_by("rate", F.struct("rate_day", "rate")).alias("rate"))  # a row a day
+    found = rows.join(F.broadcast(served), F.col(day) == F.col("__day"), "left").drop("__day")
+    return found.withColumn("estimated", F.col("rate").isNull()).withColumn("rate", F.coalesce("rate", F.lit(FALLBACK_RATE)))
 
 
 def minute_prices(rows: DataFrame, prices: DataFrame, on: list[str], ts: str = "ts_s") -> DataFrame:

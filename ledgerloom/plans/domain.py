@@ -9,7 +9,7 @@ from ..adapters import EXCHANGE, LEDGER, ONCHAIN, exchange, ledger, onchain, tab
 from ..operators import rule_catalogue as catalogue
 from ..operators.decode import SPAM_FROM, kind_of, legs, path_tokens, selector_of, spam_score
 from ..operators.joins import asof_join, latest, range_join
-from ..operators.matching import candidates, greedy
+from ..operators.matching import candidates, greedy, runs
 from ..operators.pricing import minute_prices, tiered, two_sources, with_rate
 from ..operators.rules import classify
 from ..operators.upsert import upsert
@@ -152,9 +152,9 @@ def j06(spark, sf_dir):
     return same.join(near, "id", "left").select("id", F.coalesce("exact", "near").alias("linked"))
 
 
-def _sides(spark, sf_dir):
+def _sides(spark, sf_dir, *keys):
     t = onchain(spark, sf_dir).withColumn("cents", F.round(F.col("value") * 100))
-    side = lambda d, n: t.filter(F.col("direction") == d).select("symbol", F.col("id").alias(f"{n}_id"), F.col("chain").alias(f"{n}_chain"), F.col("ts_s").alias(f"{n}_ts"), F.col("cents").alias(f"{n}_amount"))
+    side = lambda d, n: t.filter(F.col("direction") == d).select(*keys, "symbol", F.col("id").alias(f"{n}_id"), F.col("chain").alias(f"{n}_chain"), F.col("ts_s").alias(f"{n}_ts"), F.col("cents").alias(f"{n}_amount"))
     return side("out", "out"), side("in", "in")
 
 
@@ -168,7 +168,9 @@ def j07(spark, sf_dir):
 
 @query("j08_bridge_greedy")
 def j08(spark, sf_dir):
-    return greedy(candidates(*_sides(spark, sf_dir), ["symbol"], 1800, 5), ["symbol"]).select("symbol", "out_id", "in_id", "score")
+    out_, in_ = _sides(spark, sf_dir, "user_id")
+    on = ["user_id", "symbol"]
+    return greedy(candidates(*runs(out_, in_, on, 1800), [*on, "run"], 1800, 1, both_ways=True, of="in"), [*on, "run"]).select(*on, "out_id", "in_id", "score")
 
 
 @query("j09_best_score", f"WITH {PAIRS} SELECT out_id, in_id, score::DOUBLE AS score FROM pairs QUALIFY row_number() OVER (PARTITION BY out_id ORDER BY score DESC, in_id) = 1")
