@@ -4,7 +4,7 @@ The tree is fitted on a bounded sample; every row goes to the leaf that it reach
 by the nearest centre at each level. A query walks the tree best bin first: a
 priority queue holds the nodes seen so far, the nearest is taken, a leaf is visited.
 Visits widen until the recall on the sample, against brute force, reaches
-TARGET, and for each query until its leaves hold k rows besides its own. Small leaves that
+TARGET, and for each query until its leaves hold k ids besides its own. Small leaves that
 follow each other share a bucket; buckets are searched in blocks of rows by blocks of
 queries, so a leaf with many rows is many tasks, and a row counts only for queries that visit its leaf.
 
@@ -129,12 +129,14 @@ class Tree:
 
 
 def fit(vectors: DataFrame, column: str = "embedding") -> Tree | None:
-    """vectors: vec_id and column. A tree of the rows with the smallest hash of vec_id; None without usable vectors."""
+    """vectors: vec_id and column. A tree of the ids with the smallest hash, a row of each; None without usable vectors."""
     first = vectors.select(column).filter(F.size(column) > 0).limit(1).collect()
     if not first:
         return None
     rows = max(100, min(SAMPLE, VALUES // len(first[0][0])))
-    sample = vectors.select("vec_id", column).filter("vec_id is not null").orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows).toArrow()
+    order = [F.xxhash64("vec_id"), F.col("vec_id")]
+    ids = vectors.select("vec_id").filter("vec_id is not null").distinct().orderBy(*order).limit(rows)
+    sample = vectors.select("vec_id", column).join(F.broadcast(ids), "vec_id").groupBy("vec_id").agg(F.min(column).alias(column)).orderBy(*order).toArrow()  # ids are SAMPLE at most
     x, _ = matrix(sample.column(1))
     return Tree(x) if len(x) else None
 
@@ -157,6 +159,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, column: str = "embedding",
     rows = vectors.filter("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("v"))
     placed = scratch.save(rows.mapInArrow(place, "vec_id long, v array<double>, leaf long"), "placed")
     held = {r.leaf: r.n for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row a leaf; leaves are bounded by the sample
+    ids_of = {r.leaf: r.n for r in placed.groupBy("vec_id").agg(F.min("leaf").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # an id counts in one leaf
     bucket_of, bucket, filled = {}, 0, 0
     for leaf in sorted(held):
         if filled and filled + held[leaf] > BLOCK:
@@ -169,13 +172,13 @@ def search(vectors: DataFrame, is_query, k: int = 5, column: str = "embedding",
             x, at = matrix(batch.column(1), width)
             ids, buckets, visits = [], [], []
             for i, q in zip(at.tolist(), unit(x) if len(x) else x, strict=True):
-                seen, rows_seen, mine = 0, 0, {}
+                seen, ids_seen, mine = 0, 0, {}
                 for leaf in tree.walk(q):
                     if held.get(leaf):
                         mine.setdefault(bucket_of[leaf], []).append(leaf)
-                        rows_seen += held[leaf]
+                        ids_seen += ids_of.get(leaf, 0)
                     seen += 1
-                    if seen >= tree.visits and rows_seen > k:
+                    if seen >= tree.visits and ids_seen > k:
                         break
                 for bucket, leaves in mine.items():
                     ids.append(i), buckets.append(bucket), visits.append(leaves)
@@ -200,13 +203,17 @@ def search(vectors: DataFrame, is_query, k: int = 5, column: str = "embedding",
             x, _ = matrix(data.column("v"), width)
             qid, vid = queries.column("query_id").to_numpy(), data.column("vec_id").to_numpy()
             leaf, visits = data.column("leaf").to_numpy(), queries.column("visits").to_pylist()
+            order = np.argsort(vid, kind="stable")  # rows of an id side by side
+            x, vid, leaf = x[order], vid[order], leaf[order]
+            starts = np.flatnonzero(np.append(True, vid[1:] != vid[:-1]))
             lq, lx = np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1))
             for a in range(0, len(q), 256):
                 s = (q[a : a + 256] / lq[a : a + 256, None]) @ (x / lx[:, None]).T
                 s[qid[a : a + 256, None] == vid[None, :]] = -9
                 for r in range(len(s)):
                     s[r, ~np.isin(leaf, visits[a + r])] = -9
-                    kth = np.partition(s[r], len(x) - k)[len(x) - k] if len(x) > k else -2.0
+                    top = np.maximum.reduceat(s[r], starts) if len(starts) < len(vid) else s[r]  # the best score of each id
+                    kth = np.partition(top, len(top) - k)[len(top) - k] if len(top) > k else -2.0
                     c = np.flatnonzero(s[r] >= max(kth - 1e-9, -2))
                     score = (x[c] * q[a + r]).sum(1) / (lx[c] * lq[a + r])
                     best, used = [], set()
