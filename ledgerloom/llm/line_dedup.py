@@ -7,8 +7,8 @@ the rank at a place with the one 2^k lines on, and ranks the pairs that occur tw
 more. Equal ranks are an interval of the suffix array with a longest common prefix of 2^k lines or
 more; two overlapping ranks name the interval for any other number of lines.
 
-A run of lines counts as copied if it holds MIN_WORDS words (spaces between
-them, plus one a line). Every maximal repeated run with so many is the union of the shortest windows with so
+A run of lines counts as copied if it holds MIN_WORDS words (runs of anything but
+ASCII white space). Every maximal repeated run with so many is the union of the shortest windows with so
 many words that start, or end, at one of its lines; so for each such window the
 interval's first place (smallest doc_id, then text hash, then line) stays and the lines of later ones
 are deleted.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ranking import global_rank
 from ..scratch import Scratch, bounded
-from .common import fresh
+from .common import fresh, n_words
 
 MIN_WORDS = 8
 _LAST = 2**63 - 1
@@ -41,15 +41,14 @@ def _places(doc_id: Column, text: Column) -> tuple[Column, Column]:
     return F.coalesce(doc_id.cast("long"), F.lit(_LAST)), F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
-    """d, th (the document), i (place among lines with a word), p (place among all lines), two hashes and words w of each line."""
+def line_rows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """d, th (the document), i (place among lines with a word), p (place among all lines), two hashes and words w (min_words at most) of each line."""
     d, th = _places(F.col("doc_id"), F.col("text"))
     numbered = F.transform(split_lines(F.col("text")), lambda x, p: F.struct(p.alias("p"), x.alias("x")))
     full = F.filter(numbered, lambda s: s["x"].rlike(r"[^\x20\x09-\x0D]"))
     rows = docs.select(d.alias("d"), th.alias("th"), F.posexplode(full).alias("i", "s"))
     line = F.col("s.x")
-    words = F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1
-    return rows.select("d", "th", "i", F.col("s.p").alias("p"), F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"), F.least(words, F.lit(MIN_WORDS)).cast("int").alias("w"))
+    return rows.select("d", "th", "i", F.col("s.p").alias("p"), F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"), F.least(n_words(line), F.lit(min_words)).cast("int").alias("w"))
 
 
 def _at(offset: int, order: str = "i"):
@@ -77,7 +76,7 @@ def _windows(ranked: DataFrame, k: int, most: int) -> DataFrame:
 
 def copied_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
     """d, th and gone (places among all lines) of each document that loses lines."""
-    lines = line_rows(docs)
+    lines = line_rows(docs, min_words)
     ids = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
     ids = global_rank(ids, ["h1", "h2"], scratch)
     places = scratch.save(lines.join(ids, ["h1", "h2"]).select("d", "th", "i", "p", "w", "rank").distinct(), "places")
