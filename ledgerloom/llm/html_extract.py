@@ -32,6 +32,7 @@ LETTERS = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNREAD = frozenset("script style noscript template iframe object svg math canvas audio video head title select textarea button datalist".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 GROUPS = ("text", "p", "heading", "item", "list", "div", "section", "article", "main", "nav", "header", "footer", "aside", "form", "table", "quote", "figure", "body", "address", "details", "other")
 GROUP_OF = {
     "p": 1, **dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), 2), **dict.fromkeys(("li", "dt", "dd"), 3), **dict.fromkeys(("ul", "ol", "dl", "menu"), 4), "div": 5, "section": 6,
@@ -103,6 +104,8 @@ def parse(html: str | None) -> Page:
     while at < len(html):
         m = TOKEN.search(html, at)
         end = m.start() if m else len(html)
+        if stack[-1][0] == "head" and "<" not in html[at:end] and html[at:end].strip(" \t\n\r\f"):
+            close(len(stack) - 1)
         if end > at and not unread:
             held.append(html[at:end])
             if in_link:
@@ -119,6 +122,10 @@ def parse(html: str | None) -> Page:
             if k:
                 close(k)
             continue
+        if unread and name not in IN_HEAD:  # </head> may be left out
+            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] in ("head", "template")), 0)
+            if k and stack[k][0] == "head":
+                close(k)
         if name == "br" or name == "hr":
             held.append(" ")
         if name in VOID or name in ("html", "body"):
