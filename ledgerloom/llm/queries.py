@@ -47,16 +47,21 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document comes in, under two versions; one version is revised; documents of fewer than 20 words go; a batch comes twice."""
-    seen = token_rollup.counted(table(spark, sf_dir, "documents"))
-    event = lambda op, tokenizer, tokens, old=0: F.struct(F.lit(op).alias("op"), F.lit(tokenizer).alias("tokenizer"), F.col(tokens).alias("tokens"), (F.col(old) if old else F.lit(0)).cast("long").alias("old_tokens"))
+    """Every document comes in, under words, chars and two versions of BPE; words are revised to another version; documents of fewer than 20 words go; a batch comes twice."""
+    scratch = Scratch(spark, "tokens")
+    seen = scratch.save(token_rollup.counted(table(spark, sf_dir, "documents")), "counts")  # numbers only; texts are tokenized once
+
+    def event(op, counts, old=None):  # counts: a column, named tokenizer and version
+        name, old = F.lit(counts[:-1]), old or counts
+        return F.struct(F.lit(op).alias("op"), name.alias("tokenizer"), F.lit(counts[-1]).alias("version"), F.col(counts).alias("tokens"), F.lit(old[-1]).alias("old_version"), F.col(old).alias("old_tokens"))
+
     batch = lambda docs, *events: docs.select("source", "lang", F.explode(F.array(*events)).alias("e")).select("source", "lang", "e.*")
-    book = token_rollup.Ledger(spark, Scratch(spark, "tokens").root)
-    load = batch(seen, event("insert", "words", "words1"), event("insert", "chars", "chars1"))
+    book = token_rollup.Ledger(spark, scratch.root)
+    load = batch(seen, *(event("insert", x) for x in ("words1", "chars1", *token_rollup.BPE)))
     book.commit("load", load)
-    book.commit("revise", batch(seen, event("revise", "words", "words2", "words1")))
+    book.commit("revise", batch(seen, event("revise", "words2", "words1")))
     book.commit("load", load)
-    book.commit("delete", batch(seen.filter("words1 < 20"), event("delete", "words", "words2"), event("delete", "chars", "chars1")))
+    book.commit("delete", batch(seen.filter("words1 < 20"), *(event("delete", x) for x in ("words2", "chars1", *token_rollup.BPE))))
     return book.totals()
 
 

@@ -5,8 +5,9 @@ ledger grows with groups and batches, not with documents. A batch has an id and
 success marker of its own folder: one that is committed already is left alone, one
 that broke off is written anew. Totals are the sums over committed batches.
 
-Events: op ("insert", "delete" or "revise"), source, lang, tokenizer, tokens and
-old_tokens (of a revision). Cases. A null count is 0; null source, lang and tokenizer are
+Events: op ("insert", "delete" or "revise"), source, lang, tokenizer, version, tokens and, of a
+revision, old_tokens and old_version. A revision takes a document's old count from the old version and puts the new
+one under the version; without old_version the version stays. Events may lack both columns of versions. Cases. A null count is 0; null source, lang, tokenizer and version are
 groups of their own; an unknown or null op changes nothing; repeated rows count each; an empty batch is
 committed and changes nothing; groups that come to no documents and no tokens are not listed.
 """
@@ -22,16 +23,21 @@ from pyspark.sql import types as T
 
 from .common import n_words, words
 
-KEYS = ("source", "lang", "tokenizer")
-SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long"
+KEYS = ("source", "lang", "tokenizer", "version")
+SCHEMA = "source string, lang string, tokenizer string, version string, docs long, tokens long"
+#: The vocabularies of the byte-level BPE, two versions of it: their columns of counts and rank files.
+BPE = {"bpe1": "byte_bpe_50k.tiktoken", "bpe2": "byte_bpe_multi_50k.tiktoken"}
 
 
 def deltas(events: DataFrame) -> DataFrame:
     """The signed sums of a batch, by group."""
     op, new, old = F.col("op"), F.coalesce(F.col("tokens"), F.lit(0)), F.coalesce(F.col("old_tokens"), F.lit(0))
-    docs = F.when(op == "insert", 1).when(op == "delete", -1).otherwise(0)
-    tokens = F.when(op == "insert", new).when(op == "delete", -new).when(op == "revise", new - old).otherwise(0)
-    return events.groupBy(*KEYS).agg(F.sum(docs).cast("long").alias("docs"), F.sum(tokens).cast("long").alias("tokens"))
+    version = F.col("version") if "version" in events.columns else F.lit(None).cast("string")
+    before = F.col("old_version") if "old_version" in events.columns else version
+    part = lambda v, docs, tokens: F.struct(v.cast("string").alias("version"), F.lit(docs).cast("long").alias("docs"), tokens.cast("long").alias("tokens"))
+    parts = F.when(op == "insert", F.array(part(version, 1, new))).when(op == "delete", F.array(part(version, -1, -new))).when(op == "revise", F.array(part(version, 1, new), part(before, -1, -old)))
+    rows = events.select("source", "lang", "tokenizer", F.explode(parts).alias("d")).select("source", "lang", "tokenizer", "d.*")
+    return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
 
 
 class Ledger:
@@ -63,9 +69,14 @@ class Ledger:
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """source, lang, tokenizer and counts of each document by the versions that SQL can express: words-1, words-2 (words with a letter a-z, A-Z), chars-1."""
+    """source, lang and counts of each document: words 1, words 2 (words with a letter a-z, A-Z), chars 1, and the tokens of both vocabularies of BPE."""
+    import public_tokenizers
+
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("source", "lang", n_words(text).alias("words1"), F.size(F.filter(words(text), lambda w: w.rlike("[A-Za-z]"))).cast("long").alias("words2"), F.length(text).cast("long").alias("chars1"))
+    docs = docs.select("source", "lang", "text")
+    for name, ranks in BPE.items():
+        docs = bpe_counts(docs, public_tokenizers.path(ranks), public_tokenizers.PATTERN, name)
+    return docs.select("source", "lang", n_words(text).alias("words1"), F.size(F.filter(words(text), lambda w: w.rlike("[A-Za-z]"))).cast("long").alias("words2"), F.length(text).cast("long").alias("chars1"), *BPE)
 
 
 def bpe_counts(docs: DataFrame, ranks_path: str, pattern: str, out: str = "tokens") -> DataFrame:
