@@ -1,7 +1,9 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained on labelled text: one on ordinary words,
-one on the same ordinary words and those that set toxic text apart. A window
+one on the same ordinary words and those that set toxic text apart: words with a
+beginning in 2 % or more of the toxic documents and at e**3 times its rate
+elsewhere. Toxic text without such words can pass (README). A window
 (a word with its borders, between two fixed strings that both dictionaries
 hold) is compressed with each; the lengths, and how many bytes the toxic
 dictionary leaves over, are looked up in a table of calibrated log-odds. A
