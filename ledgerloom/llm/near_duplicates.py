@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from ..operators.components import components
 from ..scratch import Scratch, bounded
 from . import parity
+from .common import fresh
 from .shingles import shingle_hashes
 
 SMALL = 24
@@ -43,8 +44,8 @@ SAMPLE, FREQUENT, LATE = 16, 3, 500_000
 
 
 def sketched(docs: DataFrame, late: np.ndarray) -> DataFrame:
-    """doc_id, n, node (the set's name), keys and the dense sketch of each row."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("dense", T.ArrayType(T.LongType()))])
+    """doc_id, th (a hash of the text), n, node (the set's name), keys and the dense sketch of each row."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("th", T.LongType()), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("dense", T.ArrayType(T.LongType()))])
 
     def run(batches):
         for batch in batches:
@@ -52,10 +53,10 @@ def sketched(docs: DataFrame, late: np.ndarray) -> DataFrame:
             for t in batch.column(1).to_pylist():
                 h = shingle_hashes(t)
                 n.append(len(h)), node.append(parity.identity(h)), keys.append(parity.band_keys(h, late)), dense.append(parity.dense(h))
-            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(dense, pa.list_(pa.int64()))]
+            arrays = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(dense, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, schema)
 
 
 def frequent_keys(docs: DataFrame) -> np.ndarray:
@@ -175,9 +176,9 @@ def pivots(entries: DataFrame, most: int) -> DataFrame:
 
 
 def linked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
-    """The rows (doc_id, n, node) and, if any link, (node, root) of connected classes."""
+    """The rows (doc_id, th, n, node) and, if any link, (node, root) of connected classes."""
     whole = scratch.save(sketched(docs, frequent_keys(docs)), "sketches")
-    rows = scratch.save(whole.select("doc_id", "n", "node"), "rows")
+    rows = scratch.save(whole.select("doc_id", "th", "n", "node"), "rows")
     live = whole.filter("n > 0 and doc_id is not null")
     keyed = live.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
@@ -225,9 +226,12 @@ def linked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | No
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs."""
-    scratch = Scratch(docs.sparkSession, "near")
+    return grouped(docs, Scratch(docs.sparkSession, "near")).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, th, root (the component's name), n_shingles and component_id of each row of docs."""
     rows, root = linked(docs, scratch)
-    rows = rows.select("doc_id", "n", "node")
     if root is None:
         placed = rows.withColumn("root", F.col("node"))
     else:
@@ -236,17 +240,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = scratch.save(least.filter("members > 1").select("root", "least"), "least")  # the others are alone
     out = placed.join(bounded(least), "root", "left")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return out.select("doc_id", "th", "root", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Of each component the rows of its smallest doc_id, once; all columns stay. Rows without doc_id stay."""
+    """Of each component the rows of its smallest doc_id, once; all columns stay. Rows without doc_id or without a word stay.
+
+    Rows are told apart by doc_id and text, so rows of one doc_id whose texts don't link are judged each by its own component."""
     scratch = Scratch(docs.sparkSession, "dedup")
-    groups = scratch.save(near_duplicates(docs), "groups")
-    gone = scratch.save(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(bounded(gone), "doc_id", "left_anti")
-    again = scratch.save(groups.filter("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
+    th, root = fresh(docs, "near_th"), fresh(docs, "near_root")
+    groups = scratch.save(grouped(docs, scratch).withColumnsRenamed({"th": th, "root": root}), "groups")
+    gone = scratch.save(groups.filter("doc_id <> component_id").select("doc_id", th).distinct(), "gone")
+    kept = docs.withColumn(th, F.xxhash64("text")).join(bounded(gone), ["doc_id", th], "left_anti")
+    first = groups.filter("doc_id = component_id and n_shingles > 0")
+    again = first.groupBy("doc_id", root).agg(F.count("*").alias("count")).filter("count > 1").select("doc_id", root)
+    again = scratch.save(first.join(again, ["doc_id", root]).select("doc_id", th, root).distinct(), "again")
     if again.isEmpty():
         return kept.select(*docs.columns)
     ids = bounded(again)
-    return kept.join(ids, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(ids, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    once = kept.join(ids, ["doc_id", th]).dropDuplicates(["doc_id", root])
+    return kept.join(ids, ["doc_id", th], "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
