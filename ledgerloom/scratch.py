@@ -47,10 +47,16 @@ class Scratch:
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-#: Rows that a written table may have to be broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Bytes that a written table may have on disk to be broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """df (written, of narrow rows) for a join: broadcast if it has few rows, else as it is."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def written_bytes(df: DataFrame) -> int:
+    """What a table of Scratch.save takes on disk."""
+    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+    return p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
+def bounded(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """df for a join: broadcast if it, or the written table that it is a part of, has few bytes, else as it is."""
+    return F.broadcast(df) if written_bytes(df if of is None else of) <= BROADCAST_BYTES else df
