@@ -6,17 +6,21 @@ link agree in a segment among the first d + 1 of either, and what agrees is
 verified: by size, by the Hamming distance of dense sketches (it never exceeds the
 symmetric difference), then by the sets themselves.
 
-Documents with the same set are one class, so copies are never paired. A key with at
-most SMALL classes gives all its pairs; in one with more, a few pivots are compared with
-all in blocks of entries, by sizes and dense sketches, and again until all that is left there is
-connected or compared; only what may link leaves a block, a root's nearest entries first. So a large group of near copies costs a
-multiple of its size, and only what links with nothing meets all of its key. Keys that a sample of
-documents shows to be frequent come last in every document's order; that changes which
-keys are used, not what is found.
+Documents with the same set are one class; only one row of each class gives keys. The keys
+are dealt out once. In each key the first class (the smallest name) is compared with
+all others, which connects most of a group of near copies at the cost of its size. Of a key only those
+classes go on that lie in different components. With at most SMALL of them, pairs across components are compared
+directly. In larger keys a few pivots are compared with all in blocks of entries, by sizes and dense sketches,
+and again until all that is left there is connected or compared; only what may link leaves a block,
+a root's nearest entries first, and in the first round one key of each class stands for all
+its keys, as near copies share most of them. So only what links with nothing meets all of its
+key. Keys that a sample of documents shows to be frequent come last in every document's order, and are
+counted before they are dealt out; that changes which keys are used, not what is found.
 
 Cases. Null, empty and blank texts have an empty set, n_shingles 0 and themselves as
 component. A null doc_id takes no part in links and has a null component. Rows that
-repeat a doc_id share a component if their texts link. Texts are read whole. Sets are
+repeat a doc_id share a component if their texts link. Texts are read whole, very long ones too. An empty
+table gives an empty result. Columns other than doc_id and text aren't read, so their names can't clash. Sets are
 compared by 64-bit hashes of shingles.
 """
 
@@ -34,29 +38,36 @@ from . import parity
 from .common import fresh
 from .shingles import shingle_hashes
 
+#: Entries of a key up to which pairs across components are compared without pivots.
 SMALL = 24
 #: Pivots of a key in the first round; each round takes GROWTH times as many, up to MOST_PIVOTS. BLOCK entries are compared with them at a time.
-PIVOTS, GROWTH, MOST_PIVOTS, BLOCK = 2, 8, 1024, 512
+PIVOTS, GROWTH, MOST_PIVOTS, BLOCK = 16, 16, 1024, 512
+#: Words of sketches that a comparison holds at a time.
+CELLS = 1 << 18
 #: A pivot is verified with so many entries of a root and block in the first round, with twice as many in each later one.
-NEAREST = 2
+NEAREST = 1
 #: One document in SAMPLE is asked for frequent keys; a key is frequent from FREQUENT such documents on. LATE keys at most are told to all.
 SAMPLE, FREQUENT, LATE = 16, 3, 500_000
 
 
 def sketched(docs: DataFrame, late: np.ndarray) -> DataFrame:
-    """doc_id, th (a hash of the text), n, node (the set's name), keys and the dense sketch of each row."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("th", T.LongType()), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("dense", T.ArrayType(T.LongType()))])
+    """doc_id, th (a hash of the text), uid (of the row), n, node (the set's name), keys, hot (keys that are in late) and the dense sketch of each row."""
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("th", "uid", "n", "node")), *(T.StructField(c, longs) for c in ("keys", "hot", "dense"))])
 
     def run(batches):
         for batch in batches:
-            n, node, keys, dense = [], [], [], []
+            n, node, keys, hot, dense = [], [], [], [], []
             for t in batch.column(1).to_pylist():
                 h = shingle_hashes(t)
-                n.append(len(h)), node.append(parity.identity(h)), keys.append(parity.band_keys(h, late)), dense.append(parity.dense(h))
-            arrays = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(dense, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+                k = parity.band_keys(h, late)
+                slow = parity.within(k, late)
+                n.append(len(h)), node.append(parity.identity(h)), dense.append(parity.dense(h))
+                keys.append(k[~slow]), hot.append(k[slow])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, hot, dense)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(n, pa.int64()), pa.array(node, pa.int64()), *lists], names=schema.names)
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, schema)
+    return docs.select("doc_id", "text", F.xxhash64("text"), F.monotonically_increasing_id()).mapInArrow(run, schema)
 
 
 def frequent_keys(docs: DataFrame) -> np.ndarray:
@@ -64,7 +75,7 @@ def frequent_keys(docs: DataFrame) -> np.ndarray:
     sample = docs.select("doc_id", "text").filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).dropDuplicates(["text"])
     keys = sketched(sample, np.zeros(0, np.int64)).select(F.explode("keys").alias("key")).groupBy("key").count()
     top = keys.filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "key").limit(LATE)
-    return np.sort(np.array([r.key for r in top.collect()], np.int64))
+    return np.sort(top.select("key").toArrow().column(0).to_numpy())
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -78,7 +89,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 node = pa.array([parity.identity(h) for h in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays([node, part.column(0), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=["found", "wanted", "hashes"])
 
-    mine = docs.select("doc_id", "text").filter("doc_id is not null").join(bounded(wanted.select("doc_id", F.col("node").alias("wanted"))), "doc_id").select("wanted", "text")
+    mine = docs.select("doc_id", "text").filter("doc_id is not null").join(bounded(wanted.select("doc_id", F.col("node").alias("wanted")), wanted), "doc_id").select("wanted", "text")
     out = mine.mapInArrow(run, "found long, wanted long, hashes array<long>").filter("found = wanted")
     return out.select(F.col("found").alias("node"), "hashes")
 
@@ -100,38 +111,50 @@ def may_link(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return near.select("a", "b", "n_a", "n_b")
 
 
-def compare(pivots_: pa.Table, block: pa.Table, most: int) -> pa.Table:
-    """may_link for the rows of block and the pivots of other roots, with their key: of each pivot the most rows of each root that are nearest by sketch.
+def by_width(dense: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Of each number of words the rows with sketches of that width, and the sketches."""
+    lists = dense.combine_chunks()
+    words, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
+    widths = np.diff(ends, prepend=0)
+    out = {}
+    for w in np.unique(widths).tolist():
+        rows = np.flatnonzero(widths == w)
+        out[w] = rows, words[(ends[rows] - w)[:, None] + np.arange(w)]
+    return out
 
-    A pivot with more has a row of its own with a null b: it has not met all yet."""
-    widths = np.array([len(x) for x in pivots_.column("dense").to_pylist()])
-    n_p, root_p, id_p = (pivots_.column(c).to_numpy() for c in ("n", "root", "node"))
-    sketches: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def at_width(w: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and sketches of the pivots that have w words, or 2 * w and are folded."""
-        if w not in sketches:
-            places = np.flatnonzero((widths == w) | (widths == 2 * w))
-            rows = [pivots_.column("dense")[int(i)].values.to_numpy() for i in places]
-            sketches[w] = places, np.array([x if len(x) == w else x[:w] ^ x[w:] for x in rows], np.int64).reshape(len(rows), w)
-        return sketches[w]
+def folded(sketches: np.ndarray) -> np.ndarray:
+    """Sketches at half their width."""
+    w = sketches.shape[1] // 2
+    return sketches[:, :w] ^ sketches[:, w:]
 
+
+def compare(pivots_: pa.Table, block: pa.Table, most: int) -> pa.Table:
+    """may_link for the rows of block and the pivots of other roots, with their key: of each pivot the most rows of each root that are nearest by sketch.
+
+    A pair is looked at in the first only of the keys that both have in mine, so that it leaves one block at most. A pivot with more has a row of its own with a null b: it has not met all yet."""
+    (n_p, root_p, id_p), (n_e, root_e, id_e) = (tuple(t.column(c).to_numpy() for c in ("n", "root", "node")) for t in (pivots_, block))
+    place, mine_p, mine_e = pivots_.column("place")[0].as_py(), pivots_.column("mine"), block.column("mine")
     hits: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-    for node, root, n, dense in zip(*(block.column(c).to_numpy() for c in ("node", "root", "n")), block.column("dense"), strict=True):
-        own = dense.values.to_numpy()
-        for w in (len(own), len(own) // 2):
-            places, sketch = at_width(w)
-            fits = (root_p[places] != root) & (100 * np.minimum(n, n_p[places]) >= parity.PERCENT * np.maximum(n, n_p[places]))
-            if w < len(own):
-                fits &= widths[places] == w
-            if not fits.any():
+    of_pivots, of_entries = by_width(pivots_.column("dense")), by_width(block.column("dense"))
+    for w, (entries, x) in of_entries.items():
+        for v in (w // 2, w, 2 * w):
+            if v not in of_pivots:
                 continue
-            places = places[fits]
-            mine = own if w == len(own) else own[:w] ^ own[w:]
-            distance = np.bitwise_count((sketch[fits] ^ mine).view(np.uint64)).sum(1, dtype=np.int64)
-            near = distance * (100 + parity.PERCENT) <= (n + n_p[places]) * (100 - parity.PERCENT)
-            for i, far in zip(places[near].tolist(), distance[near].tolist(), strict=True):
-                hits.setdefault((i, int(root)), []).append((far, int(node), int(n)))
+            posed, y = of_pivots[v]
+            rows, y = (folded(x), y) if v < w else (x, folded(y) if v > w else y)
+            step = max(1, CELLS // (len(posed) * y.shape[1]))
+            for at in range(0, len(entries), step):
+                e, r = entries[at : at + step], rows[at : at + step]
+                least, largest = np.minimum.outer(n_e[e], n_p[posed]), np.maximum.outer(n_e[e], n_p[posed])
+                i, j = np.nonzero((root_e[e][:, None] != root_p[posed]) & (100 * least >= parity.PERCENT * largest))
+                distance = np.bitwise_count((r[i] ^ y[j]).view(np.uint64)).sum(1, dtype=np.int64)
+                near = distance * (100 + parity.PERCENT) <= (n_e[e[i]] + n_p[posed[j]]) * (100 - parity.PERCENT)
+                for k, p, far in zip(e[i[near]].tolist(), posed[j[near]].tolist(), distance[near].tolist(), strict=True):
+                    before = mine_e[k].values.to_numpy()
+                    before = before[: np.searchsorted(before, place)]
+                    if not np.isin(before, mine_p[p].values.to_numpy()).any():
+                        hits.setdefault((p, int(root_e[k])), []).append((far, int(id_e[k]), int(n_e[k])))
     out = []
     for (i, _), found in hits.items():
         pivot = int(id_p[i])
@@ -142,13 +165,11 @@ def compare(pivots_: pa.Table, block: pa.Table, most: int) -> pa.Table:
     return pa.table({"key": pa.array([key] * len(out), pa.int64()), **{k: pa.array(v, pa.int64()) for k, v in zip(("a", "b", "n_a", "n_b"), columns, strict=True)}})
 
 
-def met(placed: DataFrame, chosen: DataFrame, open_: DataFrame, most: int) -> DataFrame:
-    """compare for the pivots of each key and its other entries, in blocks of about BLOCK entries. open_: key and its entries; the others: key, node, root, n, dense."""
-    blocks = bounded(open_.select("key", F.ceil(F.col("entries") / BLOCK).alias("blocks")))
-    data = placed.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    posed = chosen.join(blocks, "key").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    columns = ("key", "block", "node", "root", "n", "dense")
-    return posed.select(*columns).groupBy("key", "block").cogroup(data.select(*columns).groupBy("key", "block")).applyInArrow(lambda p, q: compare(p, q, most), "key long, a long, b long, n_a long, n_b long")
+def met(entries: DataFrame, chosen: DataFrame, most: int) -> DataFrame:
+    """compare for the pivots of each key and its other entries, block by block. Both: key, place, block, node, root, n, dense, mine, entries (of the key)."""
+    columns = ("key", "place", "block", "node", "root", "n", "dense", "mine")
+    posed = chosen.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("entries") / BLOCK) - 1)))
+    return posed.select(*columns).groupBy("key", "block").cogroup(entries.select(*columns).groupBy("key", "block")).applyInArrow(lambda p, q: compare(p, q, most), "key long, a long, b long, n_a long, n_b long")
 
 
 def verified(near: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -168,62 +189,112 @@ def verified(near: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratc
 
 
 def pivots(entries: DataFrame, most: int) -> DataFrame:
-    """entries (key, node, root, ...): of each key up to most entries, those of its smallest roots first, so that what is not yet connected meets the rest."""
+    """entries (key, node, root, block, ...): of each key up to most entries, those of its smallest roots first, so that what is not yet connected meets the rest."""
     size = entries.groupBy("key", "root").agg(F.count("*").alias("size"))
-    order = Window.partitionBy("key").orderBy("size", F.xxhash64("node"), "node")
-    first = entries.join(size, ["key", "root"]).withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= most)
+    order = (F.col("size"), F.xxhash64("node"), F.col("node"))
+    in_block = Window.partitionBy("key", "block").orderBy(*order)  # a key of any size is cut to most entries a block first
+    first = entries.join(size, ["key", "root"]).withColumn("turn", F.row_number().over(in_block)).filter(F.col("turn") <= most)
+    in_key = Window.partitionBy("key").orderBy(*order)
+    first = first.withColumn("turn", F.row_number().over(in_key)).filter(F.col("turn") <= most)
     return first.select(*entries.columns)
 
 
+def entries_of(live: DataFrame, scratch: Scratch) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
+    """live: uid, node, keys, hot. (key, node, first) of each class in each key that another class has, too; first is the key's smallest class."""
+    rep = scratch.save(live.groupBy("node").agg(F.min("uid").alias("uid")).select("uid"), "reps")
+    one = live.join(bounded(rep), "uid", "left_semi")
+    in_key = Window.partitionBy("key").orderBy("node")
+    cold = one.select("node", F.explode("keys").alias("key"))
+    cold = cold.select("key", "node", F.first("node").over(in_key.rowsBetween(Window.unboundedPreceding, 0)).alias("first"), F.lead("node").over(in_key).alias("after"))
+    cold = scratch.save(cold.filter("first <> node or after is not null").select("key", "node", "first"), "entries")
+    # the few keys known to be frequent are summed up where they are and their entries stay where they are
+    hot = one.filter("size(hot) > 0").select("node", F.explode("hot").alias("key"))
+    least = scratch.save(hot.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")), "least")  # LATE rows at most
+    hot = scratch.save(hot.join(bounded(least.filter("first <> last").select("key", "first"), least), "key").select("key", "node", "first"), "entries")
+    scratch.drop(rep, least)
+    return cold.unionByName(hot), (cold, hot)
+
+
+def across(entries: DataFrame, root: DataFrame) -> DataFrame:
+    """The entries with their root (nodes without links are their own)."""
+    return entries.join(bounded(root), "node", "left").select(*entries.columns, F.coalesce("root", "node").alias("root"))
+
+
+def unsettled(placed: DataFrame) -> DataFrame:
+    """key and entries of those keys of placed (key, root) whose entries lie in different components."""
+    state = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("entries"))
+    return state.filter("lo <> hi").select("key", "entries")
+
+
 def linked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
     """The rows (doc_id, th, n, node) and, if any link, (node, root) of connected classes."""
     whole = scratch.save(sketched(docs, frequent_keys(docs)), "sketches")
     rows = scratch.save(whole.select("doc_id", "th", "n", "node"), "rows")
     live = whole.filter("n > 0 and doc_id is not null")
-    keyed = live.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
-    # written apart, so that the keys' exchange is done when the entries' begins; joined by key at every size, as shared keys grow with the documents
-    shared = scratch.save(shared, "shared")
-    entries = scratch.save(keyed.join(shared, "key", "left_semi").distinct(), "entries")
-    scratch.drop(shared)
+    entries, parts = entries_of(live.select("uid", "node", "keys", "hot"), scratch)
     if entries.isEmpty():
-        scratch.drop(whole)
+        scratch.drop(whole, *parts)
         return rows, None
-    nodes = live.join(bounded(scratch.save(entries.select("node").distinct(), "ids")), "node", "left_semi")
+    ids = scratch.save(entries.select("node").distinct(), "ids")
+    nodes = live.join(bounded(ids), "node", "left_semi")
     nodes = scratch.save(nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("dense").alias("dense")), "nodes")
-    scratch.drop(whole)
-    counts = scratch.save(entries.groupBy("key").agg(F.count("*").alias("classes")), "counts")
-    few = entries.join(counts.filter(F.col("classes") <= SMALL), "key").select("key", "node")
-    pairs = few.alias("x").join(few.alias("y"), "key").filter("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    links = verified(scratch.save(may_link(pairs, nodes), "near"), nodes, docs, scratch)
-    hot = entries.join(bounded(counts.filter(F.col("classes") > SMALL).select("key")), "key", "left_semi").join(nodes.select("node", "n", "dense"), "node")
-    hot = scratch.save(hot.select("key", "node", "n", "dense"), "hot")
-    scratch.drop(entries, counts)
-    root, most, nearest = scratch.save(components(links, scratch), "root"), PIVOTS, NEAREST
-    scratch.drop(links)
+    scratch.drop(whole, ids)
+
+    # each key's first class with all others of the key
+    stars = entries.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    links = verified(scratch.save(may_link(stars, nodes), "near"), nodes, docs, scratch)
+    root = scratch.save(components(links, scratch), "root")
+    placed = across(entries.filter("node <> first").select("key", "node"), root)
+    open_ = scratch.save(unsettled(placed), "open")
+    rest = scratch.save(placed.join(bounded(open_), "key"), "rest")
+    scratch.drop(links, open_, *parts)
+
+    # small keys: pairs across components
+    few = rest.filter(F.col("entries") <= SMALL).select("key", "node", "root")
+    pairs = few.alias("x").join(few.alias("y"), "key").filter("x.node < y.node and x.root <> y.root").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    root = merged(root, scratch.save(may_link(pairs, nodes), "near"), nodes, docs, scratch)
+
+    # large keys: pivots, in the first round in one key of each class
+    hot = scratch.save(rest.filter(F.col("entries") > SMALL).select("key", "node"), "hot")
+    scratch.drop(rest)
+    most, nearest, one_key = PIVOTS, NEAREST, True
     while not hot.isEmpty():
-        placed = hot.join(bounded(root), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "n", "dense")
-        state = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("entries"))
-        open_ = scratch.save(state.filter("lo <> hi").select("key", "entries"), "open")
-        placed = scratch.save(placed.join(bounded(open_), "key", "left_semi"), "placed")
-        chosen = scratch.save(pivots(placed, most), "pivots")
-        found = scratch.save(met(placed, chosen, open_, nearest), "met")
-        near = scratch.save(found.filter("b is not null").select("a", "b", "n_a", "n_b").distinct(), "near")
+        placed = across(hot, root)
+        open_ = scratch.save(unsettled(placed), "open")
+        placed = scratch.save(placed.join(bounded(open_), "key").withColumn("place", F.xxhash64("key")), "placed")
+        mine = placed.groupBy("node").agg(F.sort_array(F.collect_list("place")).alias("mine"))  # a node has fewer keys than shingles
+        mine = scratch.save(mine.join(nodes.select("node", "n", "dense"), "node"), "mine")
+        turn = scratch.save((mine.select(F.col("mine")[0].alias("place")) if one_key else placed.select("place")).distinct(), "turn")
+        now = placed.join(bounded(turn), "place", "left_semi").join(mine, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("entries") / BLOCK)))
+        now = scratch.save(now.select("key", "place", "block", "node", "root", "n", "dense", "mine", "entries"), "now")
+        chosen = scratch.save(pivots(now, most), "pivots")
+        found = scratch.save(met(now, chosen, nearest), "met")
         # the other pivots have met all of their key; one that has more than the nearest stays an entry, and nearest grows
         more = found.filter("b is null").select("key", F.col("a").alias("node")).distinct()
         done = scratch.save(chosen.select("key", "node").join(more, ["key", "node"], "left_anti"), "done")
-        left = scratch.save(placed.drop("root").join(bounded(done), ["key", "node"], "left_anti"), "hot")
-        scratch.drop(hot, placed, chosen, open_, found, done)
-        hot, most, nearest = left, min(MOST_PIVOTS, GROWTH * most), 2 * nearest
-        if not near.isEmpty():
-            new = verified(near, nodes, docs, scratch)
-            old = root
-            root = scratch.save(components(old.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new), scratch), "root")
-            scratch.drop(old, new)
+        left = scratch.save(placed.select("key", "node").join(bounded(done), ["key", "node"], "left_anti"), "hot")
+        near = scratch.save(found.filter("b is not null").select("a", "b", "n_a", "n_b").distinct(), "near")
+        scratch.drop(hot, placed, mine, now, chosen, open_, turn, found, done)
+        root = merged(root, near, nodes, docs, scratch)
+        hot, most, nearest, one_key = left, min(MOST_PIVOTS, GROWTH * most), 2 * nearest, False
     scratch.drop(nodes, hot)
     return rows, root
 
 
+def merged(root: DataFrame, near: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """root (node, root) with the links among near, a written table of may_link; both are dropped."""
+    if near.isEmpty():
+        scratch.drop(near)
+        return root
+    new = verified(near, nodes, docs, scratch)
+    if new.isEmpty():
+        scratch.drop(new)
+        return root
+    out = scratch.save(components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new), scratch), "root")
+    scratch.drop(root, new)
+    return out
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs."""
     return grouped(docs, Scratch(docs.sparkSession, "near")).select("doc_id", "n_shingles", "component_id")

@@ -39,10 +39,15 @@ def dense(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8)).view(np.int64)
 
 
+def within(keys: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """Which keys are in late, a sorted array."""
+    return late[np.minimum(np.searchsorted(late, keys), len(late) - 1)] == keys if len(late) else np.zeros(len(keys), bool)
+
+
 def band_keys(hashes: np.ndarray, late: np.ndarray | None = None) -> np.ndarray:
     """The keys by which a set is found.
 
-    In its size band a sketch has as many segments as the band's largest set has shingles; a segment is the
+    In its size band a sketch has as many segments as the band's largest set has shingles, half as many from size 64 on; a segment is the
     XOR of the shingles that fall into it. Sets that link differ in at most d segments, so of the first d + 1 of
     either set's non-empty segments, in one order for all, one at least is in both. A set within reach
     of the band below is in that one, too. late: keys (sorted) that come last in the order."""
@@ -51,7 +56,7 @@ def band_keys(hashes: np.ndarray, late: np.ndarray | None = None) -> np.ndarray:
         return np.zeros(0, np.int64)
     own, out = band_of(n), []
     for band in (own, own - 1) if own and n * PERCENT <= 100 * 4**own else (own,):
-        segments = 4 ** (band + 1)
+        segments = 4 ** (band + 1) >> (band >= 3)  # in larger bands a segment holds one to two shingles; more than d segments have some all the same
         at = mixed(hashes + np.uint64(band)) >> np.uint64(1)
         at = (at % np.uint64(segments)).astype(np.int64)
         order = np.argsort(at, kind="stable")
@@ -62,7 +67,7 @@ def band_keys(hashes: np.ndarray, late: np.ndarray | None = None) -> np.ndarray:
         take = min(len(keys), most_differing(n) + 1)
         rank = mixed(at[first].astype(np.uint64) + np.uint64(0xABCD))
         if late is not None and len(late):
-            slow = late[np.minimum(np.searchsorted(late, keys), len(late) - 1)] == keys
+            slow = within(keys, late)
             rank = (rank >> np.uint64(1)) | (slow.astype(np.uint64) << np.uint64(63))
         # with as many non-empty segments as may differ or fewer, empty ones count: one key stands for "all the same but empty"
         if len(keys) <= most_differing(n):
