@@ -189,13 +189,11 @@ def verified(near: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratc
 
 
 def pivots(entries: DataFrame, most: int) -> DataFrame:
-    """entries (key, node, root, block, ...): of each key up to most entries, those of its smallest roots first, so that what is not yet connected meets the rest."""
+    """entries (key, node, root, block, entries, ...): of each key about most entries, as many of each block (one at least), those of its smallest roots first, so that what is not yet connected meets the rest."""
     size = entries.groupBy("key", "root").agg(F.count("*").alias("size"))
-    order = (F.col("size"), F.xxhash64("node"), F.col("node"))
-    in_block = Window.partitionBy("key", "block").orderBy(*order)  # a key of any size is cut to most entries a block first
-    first = entries.join(size, ["key", "root"]).withColumn("turn", F.row_number().over(in_block)).filter(F.col("turn") <= most)
-    in_key = Window.partitionBy("key").orderBy(*order)
-    first = first.withColumn("turn", F.row_number().over(in_key)).filter(F.col("turn") <= most)
+    order = Window.partitionBy("key", "block").orderBy("size", F.xxhash64("node"), "node")
+    quota = F.ceil(most / F.ceil(F.col("entries") / BLOCK))
+    first = entries.join(size, ["key", "root"]).withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= quota)
     return first.select(*entries.columns)
 
 

@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 from . import ann, html_extract, line_dedup, mixing, near_duplicates, quality, sentencepiece_codec, sql, token_rollup, toxicity, urls
 from .common import table
 
-def held_out() -> Column:
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").filter(~held_out())
-    out = toxicity.score(docs, toxicity.fit(docs, labels))
-    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+    out = toxicity.score(docs, toxicity.fit(docs, toxicity.learnt_from(table(spark, sf_dir, "labels"))))
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,14 +9,21 @@ hold) is compressed with each; the lengths, and how many bytes the toxic
 dictionary leaves over, are looked up in a table of calibrated log-odds. A
 document's score is a logistic function of what its windows add up to.
 
+The fit reads a bounded sample of labelled rows (MAX_DOCS_PER_CLASS documents and
+MAX_BYTES_PER_CLASS bytes of text of each class) and runs in one task on an executor; only the
+model reaches the driver.
+
 Cases. Null, empty or blank texts have no windows and get the score of a text
-without evidence. Very long texts are read whole. Repeated rows each get their
-row. Without labels of both classes the score is the share of toxic labels.
+without evidence. Very long texts are read whole; as labelled rows they are left out where they alone exceed
+MAX_BYTES_PER_CLASS. Repeated rows each get their row; a doc_id with several labels is toxic if one of them says so. Without
+labels of both classes, or without any word that sets them apart, the score is the share of toxic labels; an empty table
+gives an empty result. A column of the name that score writes is refused; reject_toxic takes a free name.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import random
 from collections import Counter
 from dataclasses import dataclass, field
@@ -24,7 +31,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard as zs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +39,12 @@ from .common import fresh
 
 #: Labelled documents of each class that a fit reads at most.
 MAX_DOCS_PER_CLASS = 3000
+#: Bytes of text of each class that a fit reads at most.
+MAX_BYTES_PER_CLASS = 16 << 20
+#: Sizes of the dictionaries: what ordinary words get, what marked words get, and what ordinary words that look toxic get besides.
+ORDINARY_BYTES, MARKED_BYTES, FILL_BYTES = 16384, 8192, 8192
+#: Ordinary words that the ordinary dictionary is trained on at most, drawn from the sample.
+PLAIN_WORDS = 100_000
 #: A score from here on means toxic.
 THRESHOLD = 0.3
 #: Borders of a window: the compressor needs bytes on either side of a word.
@@ -125,9 +138,9 @@ def train(texts: list[str | None], toxic: list[int], seed: int = 7) -> Model:
     marks = _marks([set(w) for w in bad], [set(w) for w in good])
     count = Counter(w for ws in bad for w in ws if w in marks)
     plain = [w for ws in good for w in ws if len(w) > 5]
-    plain = rng.sample(plain, min(100_000, len(plain)))
-    ordinary = _dictionary(plain, 16384)
-    marked = _dictionary(sorted(w for w in count.elements()), 4096) if len(count) > 400 else b"".join(sorted(count, key=lambda w: (count[w], w)))[-4096:]
+    plain = rng.sample(plain, min(PLAIN_WORDS, len(plain)))
+    ordinary = _dictionary(plain, ORDINARY_BYTES)
+    marked = b"".join(sorted(count, key=lambda w: (count[w], w)))[-MARKED_BYTES:]  # the most frequent ones last, where the compressor finds them best
     if not marked:
         return model
     fill = b"".join(plain)[: len(marked)]
@@ -137,7 +150,7 @@ def train(texts: list[str | None], toxic: list[int], seed: int = 7) -> Model:
         pulled = Counter(w for ws in good for w in ws if cell(w)[0] >= 6)
         if turn or not pulled:
             break
-        fill = (b"".join(plain)[: len(marked)] + b"".join(w for w, _ in pulled.most_common(800)[::-1]))[-8192:]
+        fill = (b"".join(plain)[: len(marked)] + b"".join(w for w, _ in pulled.most_common()[::-1]))[-FILL_BYTES:]
         model.ordinary = TAIL + ordinary + fill + HEAD
     cell = model.cells()
     seen = np.full((2, GAINS, LEFT), 0.0)
@@ -169,14 +182,33 @@ def train(texts: list[str | None], toxic: list[int], seed: int = 7) -> Model:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs_per_class: int = MAX_DOCS_PER_CLASS) -> Model:
-    """A model from labelled documents: of each class those with the smallest hash of doc_id, max_docs_per_class at most."""
+def held_out() -> Column:
+    """Whether a row's doc_id is kept back from learning."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def learnt_from(labels: DataFrame) -> DataFrame:
+    """The labels that are not held out."""
+    return labels.filter(~held_out())
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_docs_per_class: int = MAX_DOCS_PER_CLASS, max_bytes_per_class: int = MAX_BYTES_PER_CLASS) -> Model:
+    """A model from labelled documents: of each class those with the smallest hash of doc_id, up to both bounds."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    pick = lambda y: known.filter(F.col("toxic") == y).orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id").limit(max_docs_per_class)
-    chosen = pick(0).unionByName(pick(1))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toPandas()  # at most 2 * max_docs_per_class ids
-    rows = rows.sort_values(["doc_id", "text"], kind="stable", na_position="first").drop_duplicates("doc_id")
-    return train([t if isinstance(t, str) else None for t in rows.text], [int(y) for y in rows.toxic])
+    order = (F.xxhash64(F.lit("toxicity"), "doc_id"), F.col("doc_id"))
+    pick = lambda y: known.filter(F.col("toxic") == y).orderBy(*order).limit(max_docs_per_class)
+    chosen = pick(0).unionByName(pick(1))  # at most 2 * max_docs_per_class ids
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(Window.partitionBy("toxic").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("size", size).filter(F.col("size") <= max_bytes_per_class).select("doc_id", "toxic", "text")
+
+    def run(batches):
+        got = sorted((row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)), key=lambda row: row[0])
+        model = train([t for _, _, t in got], [y for _, y, _ in got])
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(vars(model))]})
+
+    return Model(**pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").first().model))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
