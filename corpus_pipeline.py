@@ -13,7 +13,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"))
+    """Documents scored as toxic go; the model learns from the labels that are not held out."""
+    return toxicity.reject_toxic(docs, toxicity.learnt_from(table(spark, sf_dir, "labels")))
 
 
 def without_copied_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
