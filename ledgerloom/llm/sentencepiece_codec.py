@@ -3,11 +3,13 @@
 A text is normalised here: at each place the longest prefix in the model's
 compiled character map is replaced (no map, or no prefix: the character stays),
 white space is treated as the model's settings say, and for each byte that results
-the byte of the text that it came from is recorded. The library merges pieces; the
-pieces' lengths then project each of them to its bytes of the text.
+the byte of the text that it came from is recorded. The normalised text is merged into pieces
+by the model with its own normaliser switched off; the pieces' lengths then project each of them
+to its bytes of the text. So ids and spans both come from this normalisation.
 
-Cases. Null is the empty text, which has no pieces. Texts are encoded whole.
-Repeated rows each get their row. The model file is read on the driver (below 10 MB)
+Cases. Null is the empty text, which has no pieces. Texts are encoded whole, very long ones too.
+Repeated rows each get their row; an empty table gives an empty result. Columns that docs already has under a new
+column's name stay, and the new one gets an underscore. The model file is read on the driver (below 10 MB)
 and travels with the function.
 """
 
@@ -21,9 +23,10 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece as spm
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh
+
 SPACE = "▁".encode()
 
 
@@ -87,6 +90,24 @@ class CharMap:
         return found
 
 
+def _message(fields) -> bytes:
+    """A protocol-buffer message of (number, value) pairs; whole numbers as such, bytes with their length."""
+
+    def varint(n: int) -> bytes:
+        out = bytearray()
+        while n > 127:
+            out.append(n & 127 | 128)
+            n >>= 7
+        return bytes([*out, n])
+
+    return b"".join(varint(k << 3) + varint(v) if isinstance(v, int) else varint(k << 3 | 2) + varint(len(v)) + v for k, v in fields)
+
+
+def without_normaliser(model: bytes) -> bytes:
+    """The model with a normaliser that changes nothing: a later normalizer_spec (field 3) is merged into the one before."""
+    return model + _message([(3, _message([(2, b""), (3, 0), (4, 0), (5, 0)]))])
+
+
 @dataclass
 class Settings:
     map: CharMap
@@ -159,62 +180,68 @@ def normalise(text: bytes, how: Settings) -> tuple[bytes, np.ndarray]:
 class Codec:
     def __init__(self, model: bytes):
         self.sp = spm.SentencePieceProcessor(model_proto=model)
+        self.merger = spm.SentencePieceProcessor(model_proto=without_normaliser(model))
         self.how = settings(model)
         n = self.sp.get_piece_size()
         self.names = [str(i) for i in range(n)]
         self.lengths = np.array([1 if self.sp.is_byte(i) else len(self.sp.id_to_piece(i).encode()) for i in range(n)], np.int64)
         self.unknown = self.sp.unk_id()
 
-    def encode(self, text: str | None) -> list[int]:
-        return self.sp.encode(text or "")
-
-    def spans(self, text: str | None, ids: list[int]) -> np.ndarray:
-        """Of each piece the first byte of the text and the one after its last; an inserted prefix is empty."""
-        data = (text or "").encode()
-        normal, back = normalise(data, self.how)
-        ends = np.cumsum(self.lengths[ids]) if ids else np.zeros(0, np.int64)
-        if len(ids) and (ends[-1] != len(normal) or self.unknown in ids):  # an unknown piece stands for any characters
-            got = self.sp.encode(text, out_type="immutable_proto").pieces
+    def encode(self, text: str | None) -> tuple[list[int], np.ndarray]:
+        """The ids, and of each piece the first byte of the text and the one after its last; an inserted prefix is empty."""
+        normal, back = normalise((text or "").encode(), self.how)
+        if not text or not normal:
+            return [], np.zeros((0, 2), np.int64)
+        merged = normal.decode()
+        ids = self.merger.encode(merged)
+        ends = np.cumsum(self.lengths[ids])
+        if ends[-1] != len(normal) or self.unknown in ids:  # an unknown piece stands for any characters
+            got = self.merger.encode(merged, out_type="immutable_proto").pieces
             ends = np.cumsum([len(p.piece.encode()) if not self.sp.is_byte(p.id) else 1 for p in got])
         bounds = np.concatenate([[0], ends]).astype(np.int64)
-        return np.stack([back[bounds[:-1]], back[np.minimum(bounds[1:], len(back) - 1)]], 1) if len(ids) else np.zeros((0, 2), np.int64)
+        return ids, np.stack([back[bounds[:-1]], back[np.minimum(bounds[1:], len(back) - 1)]], 1)
 
     def decode(self, ids: list[int]) -> str:
         return self.sp.decode(ids) if ids else ""
 
 
+def covers(span: np.ndarray, text: str | None) -> bool:
+    """Whether the spans cover the text in order and without gap."""
+    return not len(span) or bool(span[0, 0] == 0 and span[-1, 1] == len(text.encode()) and (span[1:, 0] == span[:-1, 1]).all())
+
+
 def encode(docs: DataFrame, model_path: str | None = None, text: str = "text", digests: bool = True, pieces: bool = True) -> DataFrame:
-    """docs with n_tokens; with digests, ids_sha256, decoded_sha256 and spans_ok (the spans cover the text without gap); with pieces, ids, starts and ends."""
+    """docs with n_tokens; with digests, ids_sha256, decoded_sha256, spans_sha256 (of starts and ends as "start:end" joined by commas) and spans_ok (the spans cover the text without gap); with pieces, ids, starts and ends."""
     with open(model_path or default_model(), "rb") as f:
         model = f.read()
     at = docs.columns.index(text)
-    more = [T.StructField("n_tokens", T.LongType())]
+    new = [("n_tokens", T.LongType())]
     if digests:
-        more += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("spans_ok", T.BooleanType())]
+        new += [*((c, T.StringType()) for c in ("ids_sha256", "decoded_sha256", "spans_sha256")), ("spans_ok", T.BooleanType())]
     if pieces:
-        more += [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("ids", "starts", "ends")]
+        new += [(c, T.ArrayType(T.IntegerType())) for c in ("ids", "starts", "ends")]
+    more = [T.StructField(fresh(docs, c), t) for c, t in new]
 
     def run(batches):
-        codec = Codec(model)
+        codec, digest = Codec(model), lambda x: hashlib.sha256(x.encode()).hexdigest()
         for big in batches:
             for k in range(0, big.num_rows, 256):  # few texts at a time hold their pieces in memory
                 batch = big.slice(k, 256)
-                n, sha_ids, sha_text, ok, ids_, starts, ends = [], [], [], [], [], [], []
+                rows = []
                 for t in batch.column(at).to_pylist():
-                    ids = codec.encode(t)
-                    span = codec.spans(t, ids)
-                    n.append(len(ids))
+                    ids, span = codec.encode(t)
+                    row: list = [len(ids)]
                     if digests:
-                        sha_ids.append(hashlib.sha256(",".join([codec.names[i] for i in ids]).encode()).hexdigest())
-                        sha_text.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
-                        ok.append(not len(ids) or bool(span[0, 0] == 0 and span[-1, 1] == len(t.encode()) and (span[1:, 0] == span[:-1, 1]).all()))
+                        row += [digest(",".join([codec.names[i] for i in ids])), digest(codec.decode(ids)), digest(spans_text(span)), covers(span, t)]
                     if pieces:
-                        ids_.append(np.array(ids, np.int32)), starts.append(span[:, 0].astype(np.int32)), ends.append(span[:, 1].astype(np.int32))
-                out = [pa.array(n, pa.int64())]
-                if digests:
-                    out += [pa.array(sha_ids, pa.string()), pa.array(sha_text, pa.string()), pa.array(ok, pa.bool_())]
-                if pieces:
-                    out += [pa.array(x, pa.list_(pa.int32())) for x in (ids_, starts, ends)]
+                        row += [np.array(ids, np.int32), span[:, 0].astype(np.int32), span[:, 1].astype(np.int32)]
+                    rows.append(row)
+                types = [pa.int64(), *[pa.string()] * (3 * digests), *[pa.bool_()] * digests, *[pa.list_(pa.int32())] * (3 * pieces)]
+                out = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*batch.schema.names, *(f.name for f in more)])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
+
+
+def spans_text(span: np.ndarray) -> str:
+    return ",".join([f"{a}:{b}" for a, b in span.tolist()])

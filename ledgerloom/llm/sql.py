@@ -44,7 +44,7 @@ SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + CASE WHE
 
 OP6 = r"""
 WITH l0 AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS p FROM documents WHERE text IS NOT NULL),
-l AS (SELECT doc_id, p, line, (row_number() OVER (PARTITION BY doc_id ORDER BY p))::INT AS i, least(len(line) - len(replace(line, ' ', '')) + 1, 8) AS w FROM l0 WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+l AS (SELECT doc_id, p, line, (row_number() OVER (PARTITION BY doc_id ORDER BY p))::INT AS i, least(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')), 8) AS w FROM l0 WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 runs AS (
   SELECT a.doc_id, a.i AS start, b.i - a.i + 1 AS n, sum(c.w) AS words, sum(CASE WHEN c.i < b.i THEN c.w ELSE 0 END) AS less_last, sum(CASE WHEN c.i > a.i THEN c.w ELSE 0 END) AS less_first,
     string_agg(c.line, chr(10) ORDER BY c.i) AS body
@@ -58,13 +58,6 @@ kept AS (
 SELECT d.doc_id, coalesce(n_removed, 0)::BIGINT AS n_removed, len(coalesce(body, ''))::BIGINT AS n_chars, md5(coalesce(body, '')) AS text_md5 FROM documents d LEFT JOIN kept USING (doc_id)
 """
 
-OP7 = rf"""
-WITH d AS (SELECT source, lang, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w, len(coalesce(text, ''))::BIGINT AS chars FROM documents),
-k AS (SELECT source, lang, len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]')))::BIGINT AS words, chars FROM d WHERE len(w) >= 20)
-SELECT source, lang, 'words' AS tokenizer, count(*) AS n_docs, sum(words)::BIGINT AS n_tokens FROM k GROUP BY source, lang
-UNION ALL SELECT source, lang, 'chars', count(*), sum(chars)::BIGINT FROM k GROUP BY source, lang
-"""
-
 OP8 = rf"""
 WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
 sh AS (
@@ -80,4 +73,4 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.m AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) r ON r.a = d.doc_id
 """
 
-ORACLES = {"op2_quality_rules": OP2, "op3_source_mixing": OP3, "op6_line_dedup": OP6, "op7_token_counts": OP7, "op8_jaccard_join": OP8}
+ORACLES = {"op2_quality_rules": OP2, "op3_source_mixing": OP3, "op6_line_dedup": OP6, "op8_jaccard_join": OP8}

@@ -208,7 +208,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs_per_class: int = MAX_DOCS_P
         model = train([t for _, _, t in got], [y for _, y, _ in got])
         yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(vars(model))]})
 
-    return Model(**pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").first().model))
+    found = rows.repartition(1).mapInArrow(run, "model binary").first()  # none if no row is labelled
+    return Model(**pickle.loads(found.model)) if found else Model()
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
