@@ -111,7 +111,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, removed: str | None
     gone = copied_lines(docs.select("doc_id", "text"), scratch, min_words)
     names = [fresh(docs, x) for x in ("gone_d", "gone_th", "gone_p")]
     d, th = _places(F.col("doc_id"), F.col("text"))
-    joined = docs.withColumns({names[0]: d, names[1]: th}).join(gone.select(F.col("d").alias(names[0]), F.col("th").alias(names[1]), F.col("gone").alias(names[2])), names[:2], "left")
+    found = gone.select(F.col("d").alias(names[0]), F.col("th").alias(names[1]), F.col("gone").alias(names[2]))
+    joined = docs.withColumns({names[0]: d, names[1]: th}).join(bounded(found, gone), names[:2], "left")  # where few documents lose lines no text is shuffled
     lines, p = split_lines(F.col("text")), F.col(names[2])
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), p)
     text = F.when(p.isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))

@@ -263,10 +263,10 @@ def linked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | No
         mine = placed.groupBy("node").agg(F.sort_array(F.collect_list("place")).alias("mine"))  # a node has fewer keys than shingles
         mine = scratch.save(mine.join(nodes.select("node", "n", "dense"), "node"), "mine")
         turn = scratch.save((mine.select(F.col("mine")[0].alias("place")) if one_key else placed.select("place")).distinct(), "turn")
-        now = placed.join(bounded(turn), "place", "left_semi").join(mine, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("entries") / BLOCK)))
-        now = scratch.save(now.select("key", "place", "block", "node", "root", "n", "dense", "mine", "entries"), "now")
-        chosen = scratch.save(pivots(now, most), "pivots")
-        found = scratch.save(met(now, chosen, nearest), "met")
+        now = placed.join(bounded(turn), "place", "left_semi").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("entries") / BLOCK)))
+        now = scratch.save(now.select("key", "place", "block", "node", "root", "entries"), "now")
+        chosen = scratch.save(pivots(now, most), "pivots")  # sketches come in only where they are compared
+        found = scratch.save(met(now.join(mine, "node"), chosen.join(mine.select(*(F.col(c).alias(c) for c in mine.columns)), "node"), nearest), "met")
         # the other pivots have met all of their key; one that has more than the nearest stays an entry, and nearest grows
         more = found.filter("b is null").select("key", F.col("a").alias("node")).distinct()
         done = scratch.save(chosen.select("key", "node").join(more, ["key", "node"], "left_anti"), "done")
