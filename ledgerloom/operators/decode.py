@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .rule_catalogue import DEX_SELECTORS, LENDING_SELECTORS, LP_SELECTORS
 
-SPAM_CERTAIN, SPAM_SIGNAL, SPAM_FROM = 0.99, 0.46, 0.90
+# A contract known for spam, each other signal, what counts as spam, and below which price (USD) a transfer is dust.
+SPAM_CERTAIN, SPAM_SIGNAL, SPAM_FROM, DUST_USD = 0.99, 0.46, 0.90, 0.001
 
 
 def selector_of(calldata: Column) -> Column:
@@ -28,15 +29,19 @@ def path_tokens(path_hex: Column) -> Column:
 
 
 def legs(tokens: Column, fee: Column) -> Column:
-    """A swap's parent, sell leg, one leg for each token between, buy leg and, with a fee, its leg; more than one hop asks for review."""
-    n = F.size(tokens)
-    leg = lambda kind, token, i: F.struct(F.lit(kind).alias("leg_type"), token.alias("token"), i.cast("int").alias("leg_index"), (n > 2).alias("needs_review"))
-    between = F.transform(F.slice(tokens, 2, F.greatest(n - 2, F.lit(0))), lambda t, i: leg("intermediate", t, i + 2))
-    out = F.concat(F.array(leg("parent", F.lit(None).cast("string"), F.lit(0)), leg("sell_leg", F.get(tokens, F.lit(0)), F.lit(1))), between, F.array(leg("buy_leg", F.get(tokens, n - 1), n)))
-    return F.when(F.coalesce(fee, F.lit(0)) > 0, F.concat(out, F.array(leg("fee_leg", F.lit(None).cast("string"), n + 1)))).otherwise(out)
+    """A swap's parent, sell leg (0), one numbered leg for each token between, buy leg after them and, with a fee, its leg last.
 
+    With more than one hop the parent and the legs between ask for review."""
+    n, no, none = F.size(tokens), F.lit(False), F.lit(None).cast("string")
+    leg = lambda kind, token, i, review: F.struct(kind.alias("leg_type"), token.alias("token"), i.cast("int").alias("leg_index"), review.alias("needs_review"))
+    between = F.transform(F.slice(tokens, 2, F.greatest(n - 2, F.lit(0))), lambda t, i: leg(F.concat(F.lit("intermediate_leg_"), (i + 1).cast("string")), t, i + 1, F.lit(True)))
+    out = F.concat(F.array(leg(F.lit("parent"), none, F.lit(0), n > 2), leg(F.lit("sell_leg"), F.get(tokens, F.lit(0)), F.lit(0), no)), between, F.array(leg(F.lit("buy_leg"), F.get(tokens, n - 1), n - 1, no)))
+    return F.when(F.coalesce(fee, F.lit(0)) > 0, F.concat(out, F.array(leg(F.lit("fee_leg"), none, n, no)))).otherwise(out)
 
-def spam_score(known_contract: Column, *signals: Column) -> Column:
-    """0.99 for a contract known for spam, else 0.46 a signal, 0.99 at most."""
+
+def spam_score(known_contract: Column, usd: Column, direction: Column, tagged: Column) -> Column:
+    """0.99 for a contract known for spam; else a signal each for dust, for dust that came in, and for a tagged token, 1.0 at most. Without a price (or at 0) nothing is dust."""
+    dust = (usd > 0) & (usd < DUST_USD)
+    signals = (dust, dust & (direction == "in"), tagged)
     total = sum((F.when(F.coalesce(s, F.lit(False)), SPAM_SIGNAL).otherwise(0.0) for s in signals), F.lit(0.0))
-    return F.when(F.coalesce(known_contract, F.lit(False)), SPAM_CERTAIN).otherwise(F.least(F.lit(SPAM_CERTAIN), total))
+    return F.when(F.coalesce(known_contract, F.lit(False)), SPAM_CERTAIN).otherwise(F.least(F.lit(1.0), total))

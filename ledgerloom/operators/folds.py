@@ -51,7 +51,7 @@ class Pool:
             used = half_up(units * each, ONE)
             gain = value - fee - used
             self.units -= units
-            self.cost = max(0, self.cost - used) if self.units else 0
+            self.cost = self.cost - used if self.units else 0
         elif kind == "in":
             self.units += units
         elif kind == "out":

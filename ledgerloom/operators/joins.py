@@ -37,10 +37,10 @@ def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_ts: str, ri
 
 
 def nearest_join(left: DataFrame, right: DataFrame, on: list[str], left_ts: str, right_ts: str, value: str, tolerance: int) -> DataFrame:
-    """left with value and right_ts of the right row nearest in time within tolerance; of two as near, the earlier."""
+    """left with value and right_ts of the right row nearest in time within tolerance; of two as near, the earlier. Equal left rows each keep theirs."""
     key = "__row"
-    ranked = range_join(left.withColumn(key, F.struct(*left.columns)), right, on, left_ts, right_ts, -tolerance, tolerance)
-    best = ranked.groupBy(key).agg(F.min(F.struct(F.abs(F.col(right_ts) - F.col(left_ts)).alias("gap"), F.col(right_ts).alias("at"), F.col(value).alias("v"))).alias("b"))
+    ranked = range_join(left.withColumn("__id", F.monotonically_increasing_id()).withColumn(key, F.struct(*left.columns)), right, on, left_ts, right_ts, -tolerance, tolerance)
+    best = ranked.groupBy("__id").agg(F.first(key).alias(key), F.min(F.struct(F.abs(F.col(right_ts) - F.col(left_ts)).alias("gap"), F.col(right_ts).alias("at"), F.col(value).alias("v"))).alias("b"))
     return best.select(f"{key}.*", F.col("b.at").alias(right_ts), F.col("b.v").alias(value), F.col("b.gap").alias("gap"))
 
 

@@ -31,10 +31,10 @@ def a05(spark, sf_dir):
     return ledger(spark, sf_dir).filter(year).groupBy("user_id", "token").agg(F.max("value").cast("double").alias("peak"))
 
 
-@query("a06_foreign_property_threshold", f"WITH {LEDGER}, p AS (SELECT user_id, token, max(value) AS peak FROM ledger GROUP BY 1, 2) SELECT user_id, sum(peak)::DOUBLE AS total, sum(peak) > 300000 AS required FROM p GROUP BY 1")
+@query("a06_foreign_property_threshold", f"WITH {LEDGER}, p AS (SELECT user_id, token, max(value) AS peak FROM ledger GROUP BY 1, 2) SELECT user_id, sum(peak)::DOUBLE AS total, sum(peak) > 100000 AS required FROM p GROUP BY 1")
 def a06(spark, sf_dir):
     peak = ledger(spark, sf_dir).groupBy("user_id", "token").agg(F.max("value").alias("peak"))
-    return peak.groupBy("user_id").agg(F.sum("peak").cast("double").alias("total"), (F.sum("peak") > 300000).alias("required"))
+    return peak.groupBy("user_id").agg(F.sum("peak").cast("double").alias("total"), (F.sum("peak") > 100000).alias("required"))
 
 
 @query("a07_business_income", f"""WITH {LEDGER} SELECT user_id, sum(CASE WHEN category IN ('income', 'reward', 'airdrop') THEN value ELSE 0 END)::DOUBLE AS income, sum(CASE WHEN kind = 'dispose' THEN value ELSE 0 END)::DOUBLE AS proceeds, sum(CASE WHEN category = 'fee' THEN fee ELSE 0 END)::DOUBLE AS fees,
@@ -272,8 +272,8 @@ def w06(spark, sf_dir):
     return run.select("user_id", "ts_s", F.greatest(F.lit(0).cast("long"), F.col("staked") - F.col("prev") - (F.col("sum") - F.col("before"))).alias("reward"))
 
 
-@query("w07_forward_fill", f"""WITH {EXCHANGE}, r AS (SELECT ts::DATE AS day, (sum(quantity) / count(*))::DOUBLE AS rate FROM exchange WHERE day(ts) % 9 = 0 GROUP BY 1),
- c AS (SELECT unnest(generate_series(DATE '1996-01-01', DATE '1996-12-31', INTERVAL 1 DAY))::DATE AS day) SELECT strftime(c.day, '%Y-%m-%d') AS day, round((SELECT rate FROM r WHERE r.day <= c.day ORDER BY r.day DESC LIMIT 1), 4) AS rate FROM c""")
+@query("w07_forward_fill", f"""WITH {EXCHANGE}, r AS (SELECT ts::DATE AS day, (sum(quantity) / count(*))::DOUBLE AS rate FROM exchange GROUP BY 1), c AS (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM r)
+ SELECT strftime(c.day, '%Y-%m-%d') AS day, round((SELECT rate FROM r WHERE r.day <= c.day ORDER BY r.day DESC LIMIT 1), 4) AS rate FROM c""")
 def w07(spark, sf_dir):
     e = exchange(spark, sf_dir)
     rates = e.groupBy(F.to_date("ts").alias("day")).agg((F.sum("quantity").cast("double") / F.count("*")).alias("rate"))

@@ -19,7 +19,7 @@ e AS (SELECT *, row_number() OVER (PARTITION BY user_id, token ORDER BY ts, a, b
 f AS (
  SELECT user_id, token, 0::BIGINT AS rn, 0::HUGEINT AS su, 0::HUGEINT AS sc, 0::HUGEINT AS used, 0::HUGEINT AS gain, 0::HUGEINT AS sold, false AS review FROM ledger GROUP BY user_id, token
  UNION ALL
- SELECT user_id, token, rn, CASE WHEN kind = 'acquire' THEN su + u ELSE su - least(u, su) END, CASE WHEN kind = 'acquire' THEN sc + v + x WHEN u >= su THEN 0 ELSE greatest(0, sc - uc) END,
+ SELECT user_id, token, rn, CASE WHEN kind = 'acquire' THEN su + u ELSE su - least(u, su) END, CASE WHEN kind = 'acquire' THEN sc + v + x WHEN u >= su THEN 0 ELSE sc - uc END,
   CASE WHEN kind = 'acquire' THEN 0 ELSE uc END, CASE WHEN kind = 'acquire' THEN 0 ELSE v - x - uc END, CASE WHEN kind = 'acquire' THEN 0 ELSE least(u, su) END, kind = 'dispose' AND u > su
  FROM (SELECT e.*, f.su, f.sc, CASE WHEN f.su > 0 THEN (2 * least(e.u, f.su) * ((2 * f.sc * {_E8} + f.su) // (2 * f.su)) + {_E8}) // (2 * {_E8}) ELSE 0 END AS uc
    FROM f JOIN e ON e.user_id = f.user_id AND e.token = f.token AND e.rn = f.rn + 1)),
@@ -76,7 +76,7 @@ def a03(spark, sf_dir):
 
 def superficial(spark, sf_dir) -> DataFrame:
     """Losses with what was bought of the same token within 30 days before or after, and the part denied."""
-    losses = disposals(spark, sf_dir).filter("gain < 0").select(*KEYS, "ts_s", "ts", "a", "b", "c", "units", "value", "gain")
+    losses = disposals(spark, sf_dir).filter("gain < 0").withColumn("row", F.monotonically_increasing_id()).select("row", *KEYS, "ts_s", "ts", "a", "b", "c", "units", "value", "gain")
     buys = ledger(spark, sf_dir).filter("kind = 'acquire'").select(*KEYS, F.col("ts_s").alias("buy_s"), F.col("units").alias("bought"))
     near = range_join(losses, buys, KEYS, "ts_s", "buy_s", -_MONTH, _MONTH)
     hit = near.groupBy(*losses.columns).agg(F.sum("bought").alias("rebought"))
@@ -85,7 +85,7 @@ def superficial(spark, sf_dir) -> DataFrame:
 
 
 SUPERFICIAL = f"""{FOLD},
-s AS (SELECT l.user_id, l.token, l.ts, l.ts_s, l.a, l.b, l.c, l.units, l.value, l.u, l.gain, sum(r.u) AS ru, sum(r.units) AS rebought FROM g l JOIN ledger_buys r ON r.user_id = l.user_id AND r.token = l.token AND r.ts_s BETWEEN l.ts_s - {_MONTH} AND l.ts_s + {_MONTH} WHERE l.kind = 'dispose' AND l.gain < 0 GROUP BY ALL),
+s AS (SELECT l.user_id, l.token, l.rn, l.ts, l.ts_s, l.a, l.b, l.c, l.units, l.value, l.u, l.gain, sum(r.u) AS ru, sum(r.units) AS rebought FROM g l JOIN ledger_buys r ON r.user_id = l.user_id AND r.token = l.token AND r.ts_s BETWEEN l.ts_s - {_MONTH} AND l.ts_s + {_MONTH} WHERE l.kind = 'dispose' AND l.gain < 0 GROUP BY ALL),
 sl AS (SELECT *, (2 * least(ru, u) * {_E8} + u) // (2 * u) AS ratio8 FROM s),
 sd AS (SELECT *, (2 * (-gain) * ratio8 + 100000000000000::HUGEINT) // (2 * 100000000000000::HUGEINT) AS denied100 FROM sl)""".replace("e AS (SELECT *", "ledger_buys AS (SELECT user_id, token, ts_s, units, (units * 100)::HUGEINT * 1000000 AS u FROM ledger WHERE kind = 'acquire'),\ne AS (SELECT *", 1)
 

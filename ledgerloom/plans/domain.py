@@ -74,17 +74,19 @@ def k02(spark, sf_dir):
 
 
 @query("c03_swap_legs", f"""WITH {ONCHAIN}, s AS (SELECT id, k % 3 + 2 AS n, CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END AS fee FROM onchain WHERE k IS NOT NULL)
- SELECT id, 'parent' AS leg_type, NULL AS token, 0 AS leg_index, n > 2 AS needs_review FROM s UNION ALL SELECT id, 'sell_leg', 't0', 1, n > 2 FROM s UNION ALL SELECT id, 'intermediate', 't' || i, (i + 1)::INT, n > 2 FROM s, range(1, 4) AS r(i) WHERE i < n - 1
- UNION ALL SELECT id, 'buy_leg', 't' || (n - 1), n::INT, n > 2 FROM s UNION ALL SELECT id, 'fee_leg', NULL, (n + 1)::INT, n > 2 FROM s WHERE fee > 0""")
+ SELECT id, 'parent' AS leg_type, NULL AS token, 0 AS leg_index, n > 2 AS needs_review FROM s UNION ALL SELECT id, 'sell_leg', 't0', 0, false FROM s UNION ALL SELECT id, 'intermediate_leg_' || i, 't' || i, i::INT, true FROM s, range(1, 4) AS r(i) WHERE i < n - 1
+ UNION ALL SELECT id, 'buy_leg', 't' || (n - 1), (n - 1)::INT, false FROM s UNION ALL SELECT id, 'fee_leg', NULL, n::INT, false FROM s WHERE fee > 0""")
 def c03(spark, sf_dir):
     t = onchain(spark, sf_dir).filter("k is not null")
     tokens = F.transform(F.sequence(F.lit(0), (F.col("k") % 3 + 1).cast("int")), lambda i: F.concat(F.lit("t"), i.cast("string")))
     return t.select("id", F.inline(legs(tokens, F.when(F.col("k") % 4 == 0, 1).otherwise(0))))
 
 
-@query("c08_spam_score", f"WITH {CALLS}, s AS (SELECT id, CASE WHEN counterparty = 'meta-pool.near' THEN 0.99 ELSE least(0.99, CASE WHEN amount < 5 THEN 0.46 ELSE 0 END + CASE WHEN direction = 'in' AND method_name IS NULL THEN 0.46 ELSE 0 END + CASE WHEN tx_type = 'mystery' THEN 0.46 ELSE 0 END) END::DOUBLE AS score FROM calls) SELECT id, round(score, 2) AS score, score >= 0.9 AS is_spam FROM s")
+@query("c08_spam_score", f"WITH {CALLS}, s AS (SELECT id, CASE WHEN counterparty = 'meta-pool.near' THEN 0.99 ELSE least(1.0, CASE WHEN usd > 0 AND usd < 0.001 THEN 0.46 ELSE 0 END + CASE WHEN direction = 'in' AND usd > 0 AND usd < 0.001 THEN 0.46 ELSE 0 END + CASE WHEN starts_with(lower(tx_type), 'myst') THEN 0.46 ELSE 0 END) END::DOUBLE AS score FROM (SELECT *, CASE WHEN id % 5 > 0 THEN amount / 100000 END::DOUBLE AS usd FROM calls)) SELECT id, round(score, 2) AS score, score >= 0.9 AS is_spam FROM s")
 def c08(spark, sf_dir):
-    score = spam_score(F.col("counterparty") == "meta-pool.near", F.col("amount") < 5, (F.col("direction") == "in") & F.col("method_name").isNull(), F.col("tx_type") == "mystery")
+    """One row in five has no price; a tag's token is told by how the type begins."""
+    usd = F.when(F.col("id") % 5 > 0, F.col("amount").cast("double") / 100000)
+    score = spam_score(F.col("counterparty") == "meta-pool.near", usd, F.col("direction"), F.lower("tx_type").startswith("myst"))
     return calls(spark, sf_dir).withColumn("s", score).select("id", F.round("s", 2).alias("score"), (F.col("s") >= SPAM_FROM).alias("is_spam"))
 
 
@@ -158,12 +160,14 @@ def _sides(spark, sf_dir, *keys):
     return side("out", "out"), side("in", "in")
 
 
-PAIRS = f"{ONCHAIN}, x AS (SELECT *, round(value * 100) AS cents FROM onchain), pairs AS (SELECT o.id AS out_id, i.id AS in_id, o.symbol, round(1 - abs(i.cents - o.cents) / o.cents / 0.05 * 0.5 - abs(i.ts_s - o.ts_s) / 1800 * 0.5, 4) AS score FROM x o JOIN x i ON i.symbol = o.symbol AND o.direction = 'out' AND i.direction = 'in' AND i.chain <> o.chain AND i.ts_s - o.ts_s BETWEEN -1800 AND 1800 AND o.cents > 0 AND abs(i.cents - o.cents) / o.cents <= 0.05)"
+PAIRS = f"{ONCHAIN}, x AS (SELECT *, round(value * 100) AS cents FROM onchain), pairs AS (SELECT o.user_id, o.id AS out_id, i.id AS in_id, round(1 - abs(i.cents - o.cents) / o.cents / 0.05 * 0.5 - abs(i.ts_s - o.ts_s) / 1800 * 0.5, 4) AS score FROM x o JOIN x i ON i.user_id = o.user_id AND o.direction = 'out' AND i.direction = 'in' AND i.chain <> o.chain AND i.ts_s - o.ts_s BETWEEN -1800 AND 1800 AND o.cents > 0 AND abs(i.cents - o.cents) / o.cents <= 0.05)"
 
 
-@query("j07_cross_chain_pairs", f"WITH {PAIRS} SELECT out_id, in_id, symbol, score::DOUBLE AS score FROM pairs")
+@query("j07_cross_chain_pairs", f"WITH {PAIRS} SELECT user_id, out_id, in_id, score::DOUBLE AS score FROM pairs")
 def j07(spark, sf_dir):
-    return candidates(*_sides(spark, sf_dir), ["symbol"], 1800, 5, both_ways=True).select("out_id", "in_id", "symbol", "score")
+    """Transfers of one user on two chains, whatever their symbols."""
+    out_, in_ = _sides(spark, sf_dir, "user_id")
+    return candidates(out_.drop("symbol"), in_.drop("symbol"), ["user_id"], 1800, 5, both_ways=True).select("user_id", "out_id", "in_id", "score")
 
 
 @query("j08_bridge_greedy")
@@ -173,9 +177,26 @@ def j08(spark, sf_dir):
     return greedy(candidates(*runs(out_, in_, on, 1800), [*on, "run"], 1800, 1, both_ways=True, of="in"), [*on, "run"]).select(*on, "out_id", "in_id", "score")
 
 
-@query("j09_best_score", f"WITH {PAIRS} SELECT out_id, in_id, score::DOUBLE AS score FROM pairs QUALIFY row_number() OVER (PARTITION BY out_id ORDER BY score DESC, in_id) = 1")
+# What two signals of an exchange entry and a transfer count, and how near in time the first two ask for.
+SAME_TIME_AND_ASSET, SAME_TIME, SAME_DAY_AND_ASSET, MATCH_SECONDS = 0.85, 0.80, 0.60, 600
+
+
+@query("j09_best_score", f"""WITH {ONCHAIN}, x AS (SELECT *, round(value * 100)::BIGINT AS cents FROM onchain), e AS (SELECT * FROM x WHERE event_type = 'purchase'), t AS (SELECT * FROM x WHERE event_type <> 'purchase'),
+ p AS (SELECT e.id AS entry_id, t.id AS transfer_id, t.ts_s, abs(t.ts_s - e.ts_s) <= 600 AS soon, t.symbol = e.symbol AS same, t.ts::DATE = e.ts::DATE AS day
+  FROM e JOIN t ON t.user_id = e.user_id AND CASE WHEN t.cents = 0 THEN e.cents = 0 ELSE 100 * abs(e.cents - t.cents) <= t.cents END),
+ s AS (SELECT *, CASE WHEN soon AND same THEN 0.85 WHEN soon THEN 0.8 WHEN same AND day THEN 0.6 END::DOUBLE AS score FROM p)
+ SELECT entry_id, transfer_id, score FROM s WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY score DESC, ts_s, transfer_id) = 1""")
 def j09(spark, sf_dir):
-    return latest(candidates(*_sides(spark, sf_dir), ["symbol"], 1800, 5, both_ways=True), ["out_id"], [F.desc("score"), F.col("in_id")]).select("out_id", "in_id", "score")
+    """Of each exchange entry (here purchases) the transfer of the same user and, within 1 %, amount that agrees best in time, asset and day; the earliest of equals."""
+    t = onchain(spark, sf_dir).withColumn("cents", F.round(F.col("value") * 100).cast("long"))
+    side = lambda test, n: t.filter(test).select("user_id", F.col("id").alias(f"{n}_id"), F.col("ts_s").alias(f"{n}_s"), F.col("symbol").alias(f"{n}_symbol"), F.col("cents").alias(f"{n}_cents"))
+    entry, transfer = side("event_type = 'purchase'", "entry"), side("event_type <> 'purchase'", "transfer")
+    day = lambda n: F.floor(F.col(f"{n}_s") / 86400)
+    soon = range_join(entry, transfer, ["user_id"], "entry_s", "transfer_s", -MATCH_SECONDS, MATCH_SECONDS)
+    same_day = entry.withColumn("day", day("entry")).join(transfer.withColumn("day", day("transfer")), ["user_id", "day"]).filter("entry_symbol = transfer_symbol").drop("day")
+    close = F.when(F.col("transfer_cents") == 0, F.col("entry_cents") == 0).otherwise(100 * F.abs(F.col("entry_cents") - F.col("transfer_cents")) <= F.col("transfer_cents"))
+    pairs = soon.withColumn("score", F.when(F.col("entry_symbol") == F.col("transfer_symbol"), SAME_TIME_AND_ASSET).otherwise(SAME_TIME)).unionByName(same_day.withColumn("score", F.lit(SAME_DAY_AND_ASSET)))
+    return latest(pairs.filter(close), ["entry_id"], [F.desc("score"), F.col("transfer_s"), F.col("transfer_id")]).select("entry_id", "transfer_id", "score")
 
 
 @query("j15_latest_of_two", f"WITH {EXCHANGE} SELECT c_custkey, j.id AS job, k.id AS cost FROM customer LEFT JOIN (SELECT user_id, max_by(id, (ts, id)) AS id FROM exchange WHERE tx_type = 'buy' GROUP BY 1) j ON j.user_id = c_custkey LEFT JOIN (SELECT user_id, max_by(id, (ts, id)) AS id FROM exchange WHERE tx_type = 'sell' GROUP BY 1) k ON k.user_id = c_custkey")
@@ -191,7 +212,8 @@ def j20(spark, sf_dir):
     return minute_prices(t.filter("event_type = 'purchase'").select("id", "symbol", "ts_s"), prices, ["symbol"]).select("id", "price_s", "price", "estimated")
 
 
-@query("j21_rate_lookback", f"WITH {EXCHANGE}, r AS (SELECT date_diff('day', DATE '1970-01-01', ts::DATE) AS d, round((sum(quantity) / count(*))::DOUBLE, 2) AS rate FROM exchange WHERE id % 40 = 0 GROUP BY 1), q AS (SELECT id, date_diff('day', DATE '1970-01-01', ts::DATE) AS day FROM exchange WHERE tx_type = 'deposit') SELECT q.id, coalesce(max_by(r.rate, r.d), 1.36)::DOUBLE AS rate, count(r.d) = 0 AS estimated FROM q LEFT JOIN r ON r.d BETWEEN q.day - 5 AND q.day GROUP BY 1")
+@query("j21_rate_lookback", f"""WITH {EXCHANGE}, r AS (SELECT date_diff('day', DATE '1970-01-01', ts::DATE) AS d, round((sum(quantity) / count(*))::DOUBLE, 2) AS rate FROM exchange GROUP BY 1), q AS (SELECT id, date_diff('day', DATE '1970-01-01', ts::DATE) AS day FROM exchange WHERE tx_type = 'deposit')
+ SELECT q.id, coalesce(max_by(r.rate, r.d), 1.36)::DOUBLE AS rate, count(r.d) = 0 AS estimated FROM q LEFT JOIN r ON r.d BETWEEN q.day - 5 AND q.day GROUP BY 1""")
 def j21(spark, sf_dir):
     day = F.unix_date(F.to_date("ts"))
     e = exchange(spark, sf_dir)
@@ -236,7 +258,8 @@ def prc06(spark, sf_dir):
     return onchain(spark, sf_dir).select("id", F.round(value, 6).alias("fmv"), tier.alias("tier"))
 
 
-@query("prc07_missing_days", f"WITH {EXCHANGE}, h AS (SELECT DISTINCT asset, ts::DATE AS day FROM exchange WHERE id % 3 = 1), c AS (SELECT a.asset, d::DATE AS day FROM (SELECT DISTINCT asset FROM exchange) a, generate_series(DATE '1996-01-01', DATE '1996-12-31', INTERVAL 1 DAY) AS g(d)) SELECT asset, strftime(day, '%Y-%m-%d') AS day FROM (SELECT * FROM c EXCEPT SELECT * FROM h)")
+@query("prc07_missing_days", f"""WITH {EXCHANGE}, h AS (SELECT DISTINCT asset, ts::DATE AS day FROM exchange), c AS (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM h)
+ SELECT asset, strftime(day, '%Y-%m-%d') AS day FROM (SELECT a.asset, c.day FROM (SELECT DISTINCT asset FROM h) a, c EXCEPT SELECT * FROM h)""")
 def prc07(spark, sf_dir):
     e = exchange(spark, sf_dir)
     span = e.select(F.min(F.to_date("ts")).alias("first"), F.max(F.to_date("ts")).alias("last"))
@@ -270,13 +293,13 @@ def v05(spark, sf_dir):
     return ledger(spark, sf_dir).groupBy("a", "b", "c").agg((F.count("*") - 1).alias("extra")).filter("extra > 0")
 
 
-@query("v11_coverage", "SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49.5)")
+@query("v11_coverage", "SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49.5 AND l_linenumber = 7 AND l_returnflag = 'R')")
 def v11(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").select("s_suppkey").join(table(spark, sf_dir, "lineitem").filter("l_quantity > 49.5").select(F.col("l_suppkey").alias("s_suppkey")), "s_suppkey", "left_anti")
+    return table(spark, sf_dir, "supplier").select("s_suppkey").join(table(spark, sf_dir, "lineitem").filter("l_quantity > 49.5 and l_linenumber = 7 and l_returnflag = 'R'").select(F.col("l_suppkey").alias("s_suppkey")), "s_suppkey", "left_anti")
 
 
 # -- reports and sinks -------------------------------------------------------
-@query("r03_ledger_report", f"WITH {EXCHANGE}, {ONCHAIN} SELECT strftime(ts, '%Y-%m-%d') AS day, source, user_id, ref, amount FROM (SELECT ts, 'chain' AS source, user_id, id AS ref, round(value, 4) AS amount FROM onchain WHERE user_id % 10 = 3 UNION ALL SELECT ts, exchange, user_id, id, quantity::DOUBLE FROM exchange WHERE user_id % 10 = 3)")
+@query("r03_ledger_report", f"WITH {EXCHANGE}, {ONCHAIN} SELECT strftime(ts, '%Y-%m-%d') AS day, 'chain' AS source, user_id, id AS ref, round(value, 4) AS amount FROM onchain UNION ALL SELECT strftime(ts, '%Y-%m-%d'), exchange, user_id, id, quantity::DOUBLE FROM exchange")
 def r03(spark, sf_dir):
     both = onchain(spark, sf_dir).select("ts", F.lit("chain").alias("source"), "user_id", F.col("id").alias("ref"), F.round("value", 4).alias("amount")).unionByName(exchange(spark, sf_dir).select("ts", F.col("exchange").alias("source"), "user_id", F.col("id").alias("ref"), F.col("quantity").cast("double").alias("amount")))
     return both.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "source", "user_id", "ref", "amount")

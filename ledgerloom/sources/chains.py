@@ -20,7 +20,7 @@ def evm_rows(pages: DataFrame, wallet: str, kind: str = "transfer") -> DataFrame
     """Explorer rows of a wallet (hash, from, to, value, gasUsed, gasPrice, timeStamp, logIndex, contractAddress: text) as transactions. Only plain transfers carry the fee."""
     me = wallet.lower()
     to, sender = F.lower("to"), F.lower("from")
-    direction = F.when((to == me) & (sender != me), "in").otherwise("out")
+    direction = F.when(to == me, "in").otherwise("out")
     fee = F.col("gasUsed").try_cast("decimal(19,0)") * F.col("gasPrice").try_cast("decimal(19,0)")
     token = kind in ("erc20", "nft")
     return pages.select(
@@ -30,20 +30,22 @@ def evm_rows(pages: DataFrame, wallet: str, kind: str = "transfer") -> DataFrame
 
 
 def near_actions(txs: DataFrame, account: str) -> DataFrame:
-    """txs: hash, predecessor, receiver, actions (array of struct action, method, args, deposit). The action that ranks first speaks; fungible-token arguments (JSON, plain or in base 64) override amount and counterparty."""
+    """txs: hash, predecessor, receiver, actions (array of struct action, method, args, deposit and, if any, stake). The action that ranks first speaks; fungible-token arguments (JSON, plain or in base 64) override amount and counterparty."""
     rank = F.array(*map(F.lit, ACTION_PRIORITY))
+    has_stake = "stake" in txs.schema["actions"].dataType.elementType.names
     ranked = F.array_sort(F.transform("actions", lambda a: F.struct(F.when(F.array_position(rank, a["action"]) == 0, 99).otherwise(F.array_position(rank, a["action"])).alias("o"), a.alias("a"))))
     one = txs.withColumn("a", F.get(ranked, F.lit(0))["a"])
     schema = "receiver_id string, amount string, token_id string"
     plain, packed = F.from_json(F.col("a.args"), schema), F.from_json(F.try_to_binary("a.args", F.lit("base64")).cast("string"), schema)
     args = F.coalesce(F.when(F.col("a.args").startswith("{"), plain), packed)
-    is_ft = F.coalesce(F.col("a.method").startswith("ft_"), F.lit(False))
+    is_ft = F.coalesce(F.col("a.method").isin("ft_transfer", "ft_transfer_call"), F.lit(False))
     direction = F.when(F.col("predecessor") == account, "out").otherwise("in")
+    stake = F.col("a.stake") if has_stake else F.lit(None).cast("string")
     one = one.withColumns({"args": args, "direction": direction})
     other = F.when(F.col("direction") == "out", F.when(is_ft, F.coalesce("args.receiver_id", "receiver")).otherwise(F.col("receiver"))).otherwise(F.col("predecessor"))
     return one.select(
         F.col("hash").alias("tx_hash"), "direction", other.alias("counterparty"), F.col("a.action").alias("action_type"), F.col("a.method").alias("method_name"),
-        F.when(is_ft, F.col("args.amount")).otherwise(F.col("a.deposit")).try_cast("decimal(38,0)").alias("amount"), F.when(is_ft, F.col("receiver")).alias("token_id"),
+        F.coalesce(F.when(is_ft, F.col("args.amount")), F.when(F.col("a.action") == "STAKE", stake).otherwise(F.col("a.deposit"))).try_cast("decimal(38,0)").alias("amount"), F.when(is_ft, F.col("receiver")).alias("token_id"),
     )
 
 

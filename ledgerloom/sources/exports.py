@@ -116,7 +116,7 @@ def unify(raw: DataFrame, exchange: str | None = None) -> DataFrame:
     broken = F.array(F.when(zero, "zero_amount"), F.when(F.col("tx_date").isNull(), "no_date"), F.when(F.col("asset").isNull(), "no_asset"))
     out = out.withColumn("violations", F.filter(broken, lambda v: v.isNotNull())).withColumn("needs_review", F.size("violations") > 0)
     key = F.concat_ws("_", F.date_format("tx_date", "yyyyMMddHHmmss"), "asset", "quantity", "tx_type")
-    return out.withColumns({"exchange": F.lit(exchange or name), "tx_id": key})
+    return out.withColumns({"exchange": F.lit(exchange or name), "tx_id": F.coalesce(F.nullif(F.trim("tx_id"), F.lit("")), key) if "tx_id" in out.columns else key})
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:

@@ -26,11 +26,11 @@ def double_entry(rows: DataFrame, proceeds: str, cost: str) -> DataFrame:
     return rows.select("*", F.explode(lines).alias("l")).select(*rows.columns, "l.*")
 
 
-def iif_lines(rows: DataFrame, key: str, date: str, proceeds: str, cost: str) -> DataFrame:
-    """Tab-separated TRNS, SPL and ENDTRNS lines of each row, in order."""
+def iif_lines(rows: DataFrame, key: str, date: str, proceeds: str) -> DataFrame:
+    """Tab-separated TRNS, SPL and ENDTRNS lines of each row, in order; what a disposal brings stands on both sides, so that they balance."""
     text = lambda c: F.col(c).cast("decimal(18,2)").cast("string")
     neg = lambda c: (-F.col(c)).cast("decimal(18,2)").cast("string")
-    lines = F.array(F.concat_ws("\t", F.lit("TRNS"), date, F.lit("cash"), text(proceeds)), F.concat_ws("\t", F.lit("SPL"), date, F.lit("assets"), neg(cost)), F.lit("ENDTRNS"))
+    lines = F.array(F.concat_ws("\t", F.lit("TRNS"), date, F.lit("assets"), text(proceeds)), F.concat_ws("\t", F.lit("SPL"), date, F.lit("gains"), neg(proceeds)), F.lit("ENDTRNS"))
     return rows.select(key, F.posexplode(lines).alias("n", "line"))
 
 

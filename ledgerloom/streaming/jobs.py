@@ -36,7 +36,7 @@ def pools(stream: DataFrame) -> DataFrame:
     """stream: user_id, token, ts, seq, kind, units, value, fee. The pool of each key after each batch.
 
     Movements are put in order within a batch; one that is older than the last that its pool has taken is not replayed but counted as late."""
-    rows = stream.select("user_id", "token", F.unix_micros("ts").alias("at"), "seq", "kind", *(scaled(F.col(c)).cast("long").alias(c) for c in ("units", "value", "fee")))
+    rows = stream.select("user_id", "token", F.unix_micros("ts").alias("at"), "seq", "kind", *(scaled(F.col(c)).cast("string").alias(c) for c in ("units", "value", "fee")))
     out = "user_id long, token string, units_after double, cost_after double, gain double, late long"
     state = "units string, cost string, gain string, at long, late long"
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import scalars
 from ledgerloom.operators import filters
 from ledgerloom.operators.components import components
-from ledgerloom.operators.decode import legs, path_tokens
+from ledgerloom.operators.decode import legs, path_tokens, spam_score
 from ledgerloom.operators.folds import ONE, Lots, Pool, replay
 from ledgerloom.operators.joins import asof_join, nearest_join, range_join
 from ledgerloom.operators.matching import greedy
@@ -65,7 +65,7 @@ def test_time_joins(spark):
     assert rows(asof_join(left, right, ["k"], "t", "rt", ["v"], "forward", exact=False)) == sorted([("a", 10, 19, 2), ("a", 20, 25, 3), ("a", 20, 25, 3), ("b", 5, None, None)], key=str)
     assert rows(asof_join(left, right, ["k"], "t", "rt", ["v"], exact=False, tolerance=0)) == sorted([("a", 10, None, None), ("a", 20, None, None), ("a", 20, None, None), ("b", 5, None, None)], key=str)
     assert range_join(left, right, ["k"], "t", "rt", -1, 5).count() == 1 + 2 * 3
-    assert rows(nearest_join(left.distinct(), right, ["k"], "t", "rt", "v", 3)) == [("a", 10, 10, 1, 0), ("a", 20, 20, 4, 0)]
+    assert rows(nearest_join(left, right, ["k"], "t", "rt", "v", 3)) == [("a", 10, 10, 1, 0), ("a", 20, 20, 4, 0), ("a", 20, 20, 4, 0)]
 
 
 def test_upsert_modes(spark):
@@ -101,7 +101,15 @@ def test_swaps_and_paths(spark):
     path = "0x" + "a" * 40 + "0001f4" + "b" * 40 + "000bb8" + "C" * 40
     row = spark.createDataFrame([(path,)], "p string").select(path_tokens(F.col("p")).alias("t")).select("t", legs(F.col("t"), F.lit(1)).alias("l")).first()
     assert row.t == ["0x" + c * 40 for c in "abc"]
-    assert [(x.leg_type, x.leg_index) for x in row.l] == [("parent", 0), ("sell_leg", 1), ("intermediate", 2), ("buy_leg", 3), ("fee_leg", 4)] and row.l[0].needs_review
+    assert [(x.leg_type, x.leg_index) for x in row.l] == [("parent", 0), ("sell_leg", 0), ("intermediate_leg_1", 1), ("buy_leg", 2), ("fee_leg", 3)]
+    assert [x.needs_review for x in row.l] == [True, False, True, False, False]
+
+
+def test_spam_signals(spark):
+    rows = [("known", None, "out", False), ("x", 0.0005, "in", False), ("x", 0.0005, "out", False), ("x", 0.0, "in", False), ("x", None, "in", True), ("x", 0.0005, "in", True), ("x", 5.0, "in", None)]
+    t = spark.createDataFrame(rows, "c string, usd double, direction string, tagged boolean")
+    got = [round(r[0], 2) for r in t.select(spam_score(F.col("c") == "known", F.col("usd"), F.col("direction"), F.col("tagged"))).collect()]
+    assert got == [0.99, 0.92, 0.46, 0.0, 0.46, 1.0, 0.0]
 
 
 def test_scalars(spark):

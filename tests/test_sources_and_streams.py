@@ -39,12 +39,17 @@ def test_chain_rows(spark):
     page = spark.createDataFrame([("h1", "0xA", "0xb", "5", "21000", "10", "1700000000", "3", "0xT"), ("h2", "0xb", "0xa", "7", "1", "1", "1700000001", "4", "0xT")], "hash string, `from` string, `to` string, value string, gasUsed string, gasPrice string, timeStamp string, logIndex string, contractAddress string")
     out = {r.tx_hash: r for r in chains.evm_rows(page, "0xA").collect()}
     assert (out["h1"].direction, out["h2"].direction) == ("out", "in") and out["h1"].fee == 210000 and out["h1"].counterparty == "0xb"
+    own = page.limit(1).withColumn("to", F.lit("0xA"))
+    assert chains.evm_rows(own, "0xa").first().direction == "in"  # to oneself
     assert {r.tx_hash for r in chains.evm_rows(page, "0xa", "erc20").collect()} == {"h1-3", "h2-4"}
     action = "array<struct<action:string,method:string,args:string,deposit:string>>"
     ft = [("ADD_KEY", None, None, None), ("FUNCTION_CALL", "ft_transfer", json.dumps({"receiver_id": "bob", "amount": "42"}), "1")]
     near = spark.createDataFrame([("t1", "me", "tok", ft), ("t2", "x", "me", [("TRANSFER", None, None, "99")])], f"hash string, predecessor string, receiver string, actions {action}")
     got = {r.tx_hash: (r.direction, r.counterparty, r.action_type, int(r.amount), r.token_id) for r in chains.near_actions(near, "me").collect()}
     assert got == {"t1": ("out", "bob", "FUNCTION_CALL", 42, "tok"), "t2": ("in", "x", "TRANSFER", 99, None)}
+    more = [("t3", "me", "tok", [("FUNCTION_CALL", "ft_balance_of", None, "3", None)]), ("t4", "me", "tok", [("FUNCTION_CALL", "ft_transfer", "{}", "1", None)]), ("t5", "me", "pool", [("STAKE", None, None, None, "77")])]
+    more = spark.createDataFrame(more, "hash string, predecessor string, receiver string, actions array<struct<action:string,method:string,args:string,deposit:string,stake:string>>")
+    assert {r.tx_hash: (int(r.amount), r.token_id) for r in chains.near_actions(more, "me").collect()} == {"t3": (3, None), "t4": (1, "tok"), "t5": (77, None)}
     block = {"block": {"header": {"height": 5, "timestamp": 1}}, "shards": [{"chunk": {"transactions": [{"transaction": {"hash": "a", "signer_id": "me", "receiver_id": "you"}}]}, "receipt_execution_outcomes": [{"receipt": {"predecessor_id": "me", "receiver_id": "z"}, "tx_hash": "a"}, {"receipt": {"predecessor_id": "q", "receiver_id": "me"}, "tx_hash": "b"}]}]}
     rows = chains.near_block_rows(spark.createDataFrame([(json.dumps(block),)], "value string"), spark.createDataFrame([("me",)], "account_id string")).collect()
     assert {(r.height, r.tx_hash, r.branch) for r in rows} == {(5, "a", 0), (5, "b", 1)}
@@ -63,7 +68,9 @@ def test_sinks(spark, tmp_path):
     assert k == {1: ("10.00000000", ""), 2: ("", "5.00000000")}
     lines = sinks.double_entry(rows, "p", "c")
     assert lines.count() == 6 and lines.groupBy("id").agg((F.sum("debit") - F.sum("credit")).alias("x")).filter("x <> 0").count() == 0
-    assert [r.line.split("\t")[0] for r in sinks.iif_lines(rows.withColumn("d", F.lit("1/2/24")), "id", "d", "p", "c").filter("id = 1").orderBy("n").collect()] == ["TRNS", "SPL", "ENDTRNS"]
+    assert [r.line.split("\t")[0] for r in sinks.iif_lines(rows.withColumn("d", F.lit("1/2/24")), "id", "d", "p").filter("id = 1").orderBy("n").collect()] == ["TRNS", "SPL", "ENDTRNS"]
+    amounts = [float(r.line.split("\t")[3]) for r in sinks.iif_lines(rows.withColumn("d", F.lit("1/2/24")), "id", "d", "p").filter("id = 1 and n < 2").collect()]
+    assert sum(amounts) == 0 and max(amounts) > 0
     sinks.write_csv(rows, str(tmp_path / "out"))
     assert spark.read.csv(str(tmp_path / "out"), header=True).count() == 2
     assert sinks.manifest(spark, str(tmp_path / "out" / "*.csv")).filter("length(sha256) = 64 and size > 0").count() >= 1

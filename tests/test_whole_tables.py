@@ -4,29 +4,20 @@ import os
 
 import pytest
 
-from ledgerloom.adapters import EXCHANGE, ONCHAIN, onchain
+from ledgerloom.adapters import onchain
 from ledgerloom.operators.pricing import with_rate
 from ledgerloom.plans import catalogue
 
 from .test_queries import DATA, cell, duck  # noqa: F401
 
-WHOLE = {
-    "r03_ledger_report": f"WITH {EXCHANGE}, {ONCHAIN} SELECT strftime(ts, '%Y-%m-%d') AS day, 'chain' AS source, user_id, id AS ref, round(value, 4) AS amount FROM onchain UNION ALL SELECT strftime(ts, '%Y-%m-%d'), exchange, user_id, id, quantity::DOUBLE FROM exchange",
-    "t02_review_queue": f"WITH {EXCHANGE} SELECT id, CASE WHEN id % 11 = 0 THEN NULL ELSE round((id % 100) / 100, 2) END AS confidence FROM exchange ORDER BY confidence ASC NULLS LAST, ts, id",
-    "w07_forward_fill": f"""WITH {EXCHANGE}, r AS (SELECT ts::DATE AS day, (sum(quantity) / count(*))::DOUBLE AS rate FROM exchange GROUP BY 1), c AS (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM r)
-        SELECT strftime(c.day, '%Y-%m-%d') AS day, round((SELECT rate FROM r WHERE r.day <= c.day ORDER BY r.day DESC LIMIT 1), 4) AS rate FROM c""",
-    "j21_rate_lookback": f"""WITH {EXCHANGE}, r AS (SELECT date_diff('day', DATE '1970-01-01', ts::DATE) AS d, round((sum(quantity) / count(*))::DOUBLE, 2) AS rate FROM exchange GROUP BY 1), q AS (SELECT id, date_diff('day', DATE '1970-01-01', ts::DATE) AS day FROM exchange WHERE tx_type = 'deposit')
-        SELECT q.id, coalesce(max_by(r.rate, r.d), 1.36)::DOUBLE AS rate, count(r.d) = 0 AS estimated FROM q LEFT JOIN r ON r.d BETWEEN q.day - 5 AND q.day GROUP BY 1""",
-    "prc07_missing_days": f"""WITH {EXCHANGE}, h AS (SELECT DISTINCT asset, ts::DATE AS day FROM exchange), c AS (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM h)
-        SELECT asset, strftime(day, '%Y-%m-%d') AS day FROM (SELECT a.asset, c.day FROM (SELECT DISTINCT asset FROM h) a, c EXCEPT SELECT * FROM h)""",
-}
+WHOLE = ("r03_ledger_report", "t02_review_queue", "w07_forward_fill", "j21_rate_lookback", "prc07_missing_days")
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
-@pytest.mark.parametrize("name", sorted(WHOLE))
+@pytest.mark.parametrize("name", WHOLE)
 def test_reads_the_whole_table(spark, duck, name):  # noqa: F811
     df = catalogue.queries()[name](spark, DATA)
-    rel = duck.execute(WHOLE[name])
+    rel = duck.execute(catalogue.oracle_sql()[name])
     names = [x[0] for x in rel.description]
     assert sorted(names) == sorted(df.columns)
     mine, theirs = [tuple(cell(r[c]) for c in names) for r in df.collect()], [tuple(map(cell, r)) for r in rel.fetchall()]
