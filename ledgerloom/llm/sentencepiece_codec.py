@@ -211,7 +211,7 @@ def covers(span: np.ndarray, text: str | None) -> bool:
 
 
 def encode(docs: DataFrame, model_path: str | None = None, text: str = "text", digests: bool = True, pieces: bool = True) -> DataFrame:
-    """docs with n_tokens; with digests, ids_sha256, decoded_sha256, spans_sha256 (of starts and ends as "start:end" joined by commas) and spans_ok (the spans cover the text without gap); with pieces, ids, starts and ends."""
+    """docs with n_tokens; with digests, ids_sha256, decoded_sha256, spans_sha256 (of each piece's start and end as little-endian 64-bit numbers) and spans_ok (the spans cover the text without gap); with pieces, ids, starts and ends."""
     with open(model_path or default_model(), "rb") as f:
         model = f.read()
     at = docs.columns.index(text)
@@ -232,7 +232,7 @@ def encode(docs: DataFrame, model_path: str | None = None, text: str = "text", d
                     ids, span = codec.encode(t)
                     row: list = [len(ids)]
                     if digests:
-                        row += [digest(",".join([codec.names[i] for i in ids])), digest(codec.decode(ids)), digest(spans_text(span)), covers(span, t)]
+                        row += [digest(",".join([codec.names[i] for i in ids])), digest(codec.decode(ids)), hashlib.sha256(span.astype("<i8").tobytes()).hexdigest(), covers(span, t)]
                     if pieces:
                         row += [np.array(ids, np.int32), span[:, 0].astype(np.int32), span[:, 1].astype(np.int32)]
                     rows.append(row)
@@ -241,7 +241,3 @@ def encode(docs: DataFrame, model_path: str | None = None, text: str = "text", d
                 yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*batch.schema.names, *(f.name for f in more)])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
-
-
-def spans_text(span: np.ndarray) -> str:
-    return ",".join([f"{a}:{b}" for a, b in span.tolist()])
