@@ -9,13 +9,15 @@ templates by a seed; other labelled pages can be passed.
 
 Cases. Null and empty html give the empty text. Broken markup is read as browsers
 do in the main: what is never closed ends with its parent, a paragraph ends where the next begins. Long
-pages are read whole. Repeated rows each get their row.
+pages are read whole, in time in proportion to their length however broken they are. Repeated rows each get their row; equal blocks each
+stay in their place; an empty table gives an empty result. Columns that clash with text and n_chars are the caller's to rename.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -25,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
+#: A tag without an end is over at the next "<"; what opens but never closes is read once, so a page takes time in proportion to its length.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']|"[^"]*"|'[^']*')*+)(?:>|(?=<)|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 LETTERS = re.compile(r"[a-z]+")
 #: Elements of HTML by how they are read.
@@ -93,13 +96,22 @@ def parse(html: str | None) -> Page:
                 page.add(stack[-1][1], 0, linked=min(len(text), linked), block=text)
         linked = 0
 
+    opened: Counter = Counter()  # how many elements of each name are open
+    below = [0]  # of each place in stack, the place of the inmost block there or before it
+
+    def push(name: str, node: int) -> None:
+        below.append(len(stack) if name in GROUP_OF and name != "label" else below[-1])
+        stack.append((name, node))
+        opened[name] += 1
+
     def close(k: int) -> None:
         nonlocal in_link, unread
         if any(name in GROUP_OF for name, _ in stack[k:]):
             flush()
         in_link -= sum(name == "a" for name, _ in stack[k:])
         unread -= sum(name in UNREAD for name, _ in stack[k:])
-        del stack[k:]
+        opened.subtract(name for name, _ in stack[k:])
+        del stack[k:], below[k:]
 
     while at < len(html):
         m = TOKEN.search(html, at)
@@ -118,14 +130,11 @@ def parse(html: str | None) -> Page:
             continue
         name = name.lower()
         if m[1]:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-            if k:
-                close(k)
+            if opened[name] > 0:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name))
             continue
-        if unread and name not in IN_HEAD:  # </head> may be left out
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] in ("head", "template")), 0)
-            if k and stack[k][0] == "head":
-                close(k)
+        if unread and name not in IN_HEAD and opened["head"] > 0 and not opened["template"]:  # </head> may be left out
+            close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "head"))
         if name == "br" or name == "hr":
             held.append(" ")
         if name in VOID or name in ("html", "body"):
@@ -137,10 +146,11 @@ def parse(html: str | None) -> Page:
         if group is None:
             in_link += name == "a"
             unread += name in UNREAD
-            stack.append((name, stack[-1][1]))
+            push(name, stack[-1][1])
             continue
         flush()
-        for k in range(len(stack) - 1, 0, -1):  # what this element can't be in
+        k = len(stack)
+        while (k := below[k - 1]) > 0:  # the open blocks from the inmost on: what this element can't be in
             open_ = stack[k][0]
             if open_ == "p" and name != "label":
                 close(k)
@@ -149,7 +159,7 @@ def parse(html: str | None) -> Page:
                 close(k)
                 if name in ("li", "dt", "dd"):
                     break
-            elif open_ in GROUP_OF and open_ != "label":
+            else:
                 break
         hints, hidden = (), False
         if m[3] and "=" in m[3]:
@@ -162,7 +172,7 @@ def parse(html: str | None) -> Page:
                 elif key == "aria-hidden":
                     hidden = hidden or "true" in value.lower()
         hidden = hidden or bool(m[3] and re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", re.sub(r'"[^"]*"|\'[^\']*\'', "", m[3])))
-        stack.append((name, page.add(stack[-1][1], group, hints, hidden)))
+        push(name, page.add(stack[-1][1], group, hints, hidden))
     flush()
     return page
 
@@ -183,7 +193,7 @@ def forest(pages: list[Page]) -> Forest:
     every = lambda name: [x for p in pages for x in getattr(p, name)]
     own, depth, group = np.array(every("parent"), np.int64), np.array(every("depth"), np.int64), np.array(every("group"), np.int64)
     parent = np.where(own < 0, -1, own + base)
-    levels = [np.flatnonzero(depth == k) for k in range(int(depth.max(initial=-1)) + 1)]
+    levels = np.split(np.argsort(depth, kind="stable"), np.cumsum(np.bincount(depth))[:-1]) if len(depth) else []
     blocks = every("block")
     chars = np.array([len(b) if b else 0 for b in blocks], float)
     leaf = chars > 0
