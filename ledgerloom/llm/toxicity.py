@@ -106,15 +106,20 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(self.weights, self.features(text, cell)))))))
 
 
-def _marks(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> set[bytes]:
+def _marks(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> set[bytes]:
     """Words of toxic documents one of whose beginnings is far more frequent there than elsewhere."""
     least = max(3, 0.02 * len(toxic))
-    starts = lambda ws: {w[:k] for w in ws for k in range(5, len(w) + 1)}
-    there = Counter(x for ws in toxic for x in starts(ws))
-    there = {x: n for x, n in there.items() if n >= least}
+    longest = max((len(w) for ws in toxic for w in ws), default=0)
+    there: dict[bytes, int] = {}
+    for k in range(5, longest + 1):  # a beginning is frequent only if the shorter ones are, so no counter holds the rare ones' longer ones
+        n = Counter(x for ws in toxic for x in {w[:k] for w in ws if len(w) >= k and (k == 5 or w[: k - 1] in there)})
+        longer = {x: c for x, c in n.items() if c >= least}
+        if not longer:
+            break
+        there |= longer
     other: Counter = Counter()
     for ws in ordinary:
-        other.update({w[:k] for w in ws for k in range(5, len(w) + 1) if w[:k] in there})
+        other.update({w[:k] for w in set(ws) for k in range(5, len(w) + 1) if w[:k] in there})
     far = {x for x, n in there.items() if math.log(n / len(toxic)) - math.log((other[x] + 0.5) / len(ordinary)) > 3}
     return {w for ws in toxic for w in ws if any(w[:k] in far for k in range(5, len(w) + 1))}
 
@@ -130,12 +135,14 @@ def _dictionary(sample: list[bytes], size: int) -> bytes:
 def train(texts: list[str | None], toxic: list[int], seed: int = 7) -> Model:
     """A model from labelled texts, the same each time."""
     model = Model(prior=sum(toxic) / len(toxic) if toxic else 0.0)
-    docs = [(windows(t), y) for t, y in zip(texts, toxic, strict=True)]
+    known: dict[bytes, bytes] = {}  # one object a word
+    docs = [([known.setdefault(w, w) for w in windows(t)], y) for t, y in zip(texts, toxic, strict=True)]
+    del known
     bad, good = [w for w, y in docs if y], [w for w, y in docs if not y]
     if not any(bad) or not any(good):
         return model
     rng = random.Random(seed)
-    marks = _marks([set(w) for w in bad], [set(w) for w in good])
+    marks = _marks(bad, good)
     count = Counter(w for ws in bad for w in ws if w in marks)
     plain = [w for ws in good for w in ws if len(w) > 5]
     plain = rng.sample(plain, min(PLAIN_WORDS, len(plain)))
