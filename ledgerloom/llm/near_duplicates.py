@@ -44,6 +44,8 @@ SMALL = 24
 PIVOTS, GROWTH, MOST_PIVOTS, BLOCK = 16, 16, 1024, 512
 #: Words of sketches that a comparison holds at a time.
 CELLS = 1 << 18
+#: Rows that are sketched at a time.
+ROWS = 256
 #: A pivot is verified with so many entries of a root and block in the first round, with twice as many in each later one.
 NEAREST = 1
 #: One document in SAMPLE is asked for frequent keys; a key is frequent from FREQUENT such documents on. LATE keys at most are told to all.
@@ -56,16 +58,18 @@ def sketched(docs: DataFrame, late: np.ndarray) -> DataFrame:
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("th", "uid", "n", "node")), *(T.StructField(c, longs) for c in ("keys", "hot", "dense"))])
 
     def run(batches):
-        for batch in batches:
-            n, node, keys, hot, dense = [], [], [], [], []
-            for t in batch.column(1).to_pylist():
-                h = shingle_hashes(t)
-                k = parity.band_keys(h, late)
-                slow = parity.within(k, late)
-                n.append(len(h)), node.append(parity.identity(h)), dense.append(parity.dense(h))
-                keys.append(k[~slow]), hot.append(k[slow])
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, hot, dense)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(n, pa.int64()), pa.array(node, pa.int64()), *lists], names=schema.names)
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                n, node, keys, hot, dense = [], [], [], [], []
+                for t in batch.column(1).to_pylist():
+                    h = shingle_hashes(t)
+                    k = parity.band_keys(h, late)
+                    slow = parity.within(k, late)
+                    n.append(len(h)), node.append(parity.identity(h)), dense.append(parity.dense(h))
+                    keys.append(k[~slow]), hot.append(k[slow])
+                lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, hot, dense)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(n, pa.int64()), pa.array(node, pa.int64()), *lists], names=schema.names)
 
     return docs.select("doc_id", "text", F.xxhash64("text"), F.monotonically_increasing_id()).mapInArrow(run, schema)
 
