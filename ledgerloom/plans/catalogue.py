@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, costbasis, domain, filters  # noqa: F401
+from . import accounting, aggregates, costbasis, domain, filters  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

@@ -251,13 +251,6 @@ def prc01(spark, sf_dir):
     return onchain(spark, sf_dir).select("id", F.round(two_sources(a, b), 6).alias("price"))
 
 
-@query("prc06_tiered_value", f"WITH {ONCHAIN} SELECT id, round(CASE WHEN k % 10 = 0 THEN 1.0 WHEN k % 3 = 0 THEN value WHEN value > 100 AND k % 2 = 0 THEN value * 1.01 WHEN k % 4 <> 1 THEN value * 1.36 END, 6) AS fmv, CASE WHEN k % 10 = 0 THEN 'fiat' WHEN k % 3 = 0 THEN 'staking' WHEN value > 100 AND k % 2 = 0 THEN 'minute' WHEN k % 4 <> 1 THEN 'daily' END AS tier FROM onchain")
-def prc06(spark, sf_dir):
-    k, v = F.col("k"), F.col("value")
-    value, tier = tiered(("fiat", F.when(k % 10 == 0, F.lit(1.0))), ("staking", F.when(k % 3 == 0, v)), ("minute", F.when((v > 100) & (k % 2 == 0), v * 1.01)), ("daily", F.when(k % 4 != 1, v * 1.36)))
-    return onchain(spark, sf_dir).select("id", F.round(value, 6).alias("fmv"), tier.alias("tier"))
-
-
 @query("prc07_missing_days", f"""WITH {EXCHANGE}, h AS (SELECT DISTINCT asset, ts::DATE AS day FROM exchange), c AS (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM h)
  SELECT asset, strftime(day, '%Y-%m-%d') AS day FROM (SELECT a.asset, c.day FROM (SELECT DISTINCT asset FROM h) a, c EXCEPT SELECT * FROM h)""")
 def prc07(spark, sf_dir):
@@ -312,15 +305,6 @@ def snk03(spark, sf_dir):
     return koinly_rows(exchange(spark, sf_dir).withColumn("direction", F.when(F.col("tx_type") == "sell", "out").otherwise("in")), "quantity", "asset").select("id", "date", "sent", "sent_currency", "received", "received_currency")
 
 
-@query("snk07_double_entry", f"WITH {EXCHANGE} SELECT user_id, 3 * count(*) AS lines, sum(quantity)::DOUBLE AS debit, sum(quantity)::DOUBLE AS credit FROM exchange WHERE tx_type = 'sell' GROUP BY 1")
-def snk07(spark, sf_dir):
-    from ..sources.sinks import double_entry
-
-    e = exchange(spark, sf_dir).filter("tx_type = 'sell'").withColumns({"cost": (F.col("quantity") * 3 / 4).cast("decimal(18,2)")})
-    rows = double_entry(e, "quantity", "cost")
-    return rows.groupBy("user_id").agg(F.count("*").alias("lines"), F.sum("debit").cast("double").alias("debit"), F.sum("credit").cast("double").alias("credit"))
-
-
 @query("snk14_weekly_consolidation", f"WITH {LEDGER} SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, token, sum(units)::DOUBLE AS units FROM ledger WHERE category = 'reward' GROUP BY 1, 2")
 def snk14(spark, sf_dir):
     week = F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd")

@@ -140,17 +140,3 @@ def c14(spark, sf_dir):
     kinds = [(c, "income" if c in income else "capital" if c in capital else "none", c in income + capital) for c in CATEGORIES]
     map_ = spark.createDataFrame(kinds, "category string, treatment string, taxable boolean")
     return ledger(spark, sf_dir).join(F.broadcast(map_), "category").groupBy("category", "treatment", "taxable").agg(F.count("*").alias("n"))
-
-
-@query("c15_ordered_categorizer", f"WITH {ONCHAIN} SELECT id, CASE WHEN event_type = 'error' THEN 'failed' WHEN direction = 'in' AND value > 100 THEN 'income' WHEN k % 5 = 0 THEN 'stake' WHEN direction = 'out' THEN 'withdrawal' ELSE 'deposit' END AS category FROM onchain")
-def c15(spark, sf_dir):
-    """Later steps of the ladder only fill what earlier ones left."""
-    steps = [(F.col("event_type") == "error", "failed"), ((F.col("direction") == "in") & (F.col("value") > 100), "income"), (F.col("k") % 5 == 0, "stake"), (F.col("direction") == "out", "withdrawal")]
-    return onchain(spark, sf_dir).select("id", F.coalesce(*(F.when(t, c) for t, c in steps), F.lit("deposit")).alias("category"))
-
-
-@query("c18_price_warnings", f"WITH {LEDGER} SELECT warning, count(*) AS n FROM (SELECT CASE WHEN value / units > 3000 THEN 'high' WHEN value / units < 1100 THEN 'low' WHEN fee > value / 20 THEN 'fee' END AS warning FROM ledger WHERE units > 0) WHERE warning IS NOT NULL GROUP BY warning")
-def c18(spark, sf_dir):
-    each = F.col("value").cast("double") / F.col("units").cast("double")
-    warning = F.when(each > 3000, "high").when(each < 1100, "low").when(F.col("fee").cast("double") > F.col("value").cast("double") / 20, "fee")
-    return ledger(spark, sf_dir).filter("units > 0").groupBy(warning.alias("warning")).agg(F.count("*").alias("n")).filter("warning is not null")
