@@ -93,7 +93,78 @@ class Lots:
         return [self.units, self.cost, half_up(self.cost * ONE, self.units) if self.units else 0, used, gain], review
 
 
-METHODS = {"acb": Pool, "fifo": Lots, "lifo": lambda: Lots(last=True)}
+class Unrounded:
+    """Average cost without rounding or clamp: more than is held may go, and then the pool is below zero; from an empty pool nothing goes."""
+
+    fields = Pool.fields
+
+    def __init__(self):
+        self.units, self.cost = 0, Decimal(0)
+
+    def step(self, kind: str, units: int, value: int, fee: int) -> tuple[list[int], bool]:
+        used, gain, review = Decimal(0), Decimal(0), False
+        if kind == "acquire":
+            self.units, self.cost = self.units + units, _WIDE.add(self.cost, value + fee)
+        elif kind == "dispose":
+            review = units > self.units
+            if self.units > 0:
+                used = _WIDE.divide(_WIDE.multiply(self.cost, units), self.units)
+                gain = _WIDE.subtract(Decimal(value - fee), used)
+                self.units, self.cost = self.units - units, _WIDE.subtract(self.cost, used)
+        each = _WIDE.divide(self.cost * ONE, self.units) if self.units else Decimal(0)
+        return [self.units, *(int(x.to_integral_value(context=_WIDE)) for x in (self.cost, each, used, gain))], review
+
+
+def half_even(a: int, b: int) -> int:
+    """a / b, neither below zero, rounded to the nearest, halves to the even one."""
+    q, r = divmod(a, b)
+    return q + (2 * r > b or (2 * r == b and q % 2 == 1))
+
+
+class Cents:
+    """Average cost whose disposals cost whole cents; what rounding would take below zero stays zero."""
+
+    fields = Pool.fields
+
+    def __init__(self):
+        self.units = self.cost = 0
+
+    def step(self, kind: str, units: int, value: int, fee: int) -> tuple[list[int], bool]:
+        used = gain = 0
+        review = False
+        each = half_even(self.cost * ONE, self.units) if self.units else 0
+        if kind == "acquire":
+            self.units, self.cost = self.units + units, self.cost + value + fee
+        elif kind == "dispose":
+            review = units > self.units
+            units = min(units, self.units)
+            used = half_up(units * each, 10**14) * 10**6
+            gain = value - fee - used
+            self.units, self.cost = self.units - units, max(0, self.cost - used)
+        return [self.units, self.cost, each, used, gain], review
+
+
+class Principal:
+    """What was staked; an unstaking of more than that has the rest as reward (in gain), and then nothing is left. out takes all."""
+
+    fields = Pool.fields
+
+    def __init__(self):
+        self.units = 0
+
+    def step(self, kind: str, units: int, value: int, fee: int) -> tuple[list[int], bool]:
+        reward = 0
+        if kind == "acquire":
+            self.units += units
+        elif kind == "dispose":
+            reward = units - self.units if units > self.units > 0 else 0
+            self.units = max(0, self.units - units)
+        elif kind == "out":
+            self.units = 0
+        return [self.units, 0, 0, 0, reward], False
+
+
+METHODS = {"acb": Pool, "unrounded": Unrounded, "cents": Cents, "principal": Principal, "fifo": Lots, "lifo": lambda: Lots(last=True)}
 
 
 def replay(events: DataFrame, keys: list[str], order: list[str], method: str = "acb", seed: DataFrame | None = None) -> DataFrame:

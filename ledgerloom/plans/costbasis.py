@@ -115,7 +115,39 @@ def _method(method):
 
 query("k10_fifo_lots")(_method("fifo"))
 query("k12_lifo_lots")(_method("lifo"))
-query("k13_method_acb", f"WITH RECURSIVE {FOLD} SELECT user_id, token, round((sum(used) / 1e8)::DOUBLE, 2) AS cost_used, round((sum(gain) / 1e8)::DOUBLE, 2) AS gain, count(*) FILTER (review) AS oversold, round((max_by(su, rn) / 1e8)::DOUBLE, 2) AS units_left FROM g GROUP BY 1, 2")(_method("acb"))
+EVENTS = FOLD.split(",\nf AS (")[0]
+_FROM = "FROM e JOIN f ON e.user_id = f.user_id AND e.token = f.token AND e.rn = f.rn + 1"
+_START = "SELECT user_id, token, 0::BIGINT AS rn, 0::HUGEINT AS su,"
+UNROUNDED = f"""{EVENTS}, f AS ({_START} 0::DOUBLE AS sc, 0::DOUBLE AS used, 0::DOUBLE AS gain, false AS review FROM ledger GROUP BY ALL
+ UNION ALL SELECT user_id, token, rn, CASE WHEN kind = 'acquire' THEN su + u WHEN su > 0 THEN su - u ELSE su END, CASE WHEN kind = 'acquire' THEN sc + (v + x)::DOUBLE ELSE sc - uc END, uc, CASE WHEN kind = 'dispose' AND su > 0 THEN (v - x)::DOUBLE - uc ELSE 0 END, kind = 'dispose' AND u > su
+ FROM (SELECT e.*, f.su, f.sc, CASE WHEN e.kind = 'dispose' AND f.su > 0 THEN f.sc * e.u::DOUBLE / f.su::DOUBLE ELSE 0 END AS uc {_FROM})), g AS (SELECT e.ts, e.kind, f.* FROM f JOIN e USING (user_id, token, rn))"""
+CENTS = f"""{EVENTS}, f AS ({_START} 0::HUGEINT AS sc, 0::HUGEINT AS used, 0::HUGEINT AS gain, false AS review FROM ledger GROUP BY ALL
+ UNION ALL SELECT user_id, token, rn, CASE WHEN kind = 'acquire' THEN su + u ELSE su - least(u, su) END, CASE WHEN kind = 'acquire' THEN sc + v + x ELSE greatest(0, sc - uc) END, CASE WHEN kind = 'acquire' THEN 0 ELSE uc END, CASE WHEN kind = 'acquire' THEN 0 ELSE v - x - uc END, kind = 'dispose' AND u > su
+ FROM (SELECT *, ((2 * least(u, su) * each + 100000000000000::HUGEINT) // 200000000000000::HUGEINT) * 1000000 AS uc FROM (SELECT *, q + CASE WHEN 2 * r > su OR (2 * r = su AND q % 2 = 1) THEN 1 ELSE 0 END AS each
+ FROM (SELECT e.*, f.su, f.sc, CASE WHEN f.su > 0 THEN (f.sc * {_E8}) // f.su ELSE 0 END AS q, CASE WHEN f.su > 0 THEN (f.sc * {_E8}) % f.su ELSE 0 END AS r {_FROM})))), g AS (SELECT e.ts, e.kind, f.* FROM f JOIN e USING (user_id, token, rn))"""
+_TOTALS = "SELECT user_id, token, round((sum(used) / 1e8)::DOUBLE, 2) AS cost_used, round((sum(gain) / 1e8)::DOUBLE, 2) AS gain, count(*) FILTER (review) AS oversold, round((max_by(su, rn) / 1e8)::DOUBLE, 2) AS units_left FROM g GROUP BY 1, 2"
+query("k13_method_acb", f"WITH RECURSIVE {UNROUNDED} {_TOTALS}")(_method("unrounded"))
+query("k14_cost_in_cents", f"WITH RECURSIVE {CENTS} {_TOTALS}")(_method("cents"))
+
+
+@query("a35_gains_by_year", f"WITH RECURSIVE {UNROUNDED}, h AS (SELECT year(ts)::INT AS tax_year, token, gain / 1e8 AS gain FROM g WHERE kind = 'dispose') SELECT tax_year, token, count(*) AS disposals, round(sum(greatest(gain, 0)) / 2, 2) AS taxable, round(sum(greatest(-gain, 0)) / 2, 2) AS allowable FROM h GROUP BY 1, 2")
+def a35(spark, sf_dir):
+    """Half of the unrounded gains is taxable, half of the losses allowable."""
+    d = snapshots(spark, sf_dir, "unrounded").filter("kind = 'dispose'")
+    half = lambda c: F.round(money(F.sum(F.greatest(c, F.lit(0).cast("decimal(38,8)")))) / 2, 2)
+    return d.groupBy(F.year("ts").alias("tax_year"), "token").agg(F.count("*").alias("disposals"), half(F.col("gain")).alias("taxable"), half(-F.col("gain")).alias("allowable"))
+
+
+@query("w10_unstake_rewards", f"""WITH RECURSIVE {LEDGER}, m AS (SELECT *, CASE category WHEN 'stake' THEN 'acquire' WHEN 'unstake' THEN 'dispose' ELSE 'out' END AS move FROM ledger WHERE category IN ('stake', 'unstake', 'withdrawal')),
+e AS (SELECT *, row_number() OVER (PARTITION BY user_id, token ORDER BY ts, a, b, c, units, value) AS rn FROM m), f AS (SELECT user_id, token, 0::BIGINT AS rn, 0::DECIMAL(18,2) AS held, 0::DECIMAL(18,2) AS reward FROM m GROUP BY ALL
+ UNION ALL SELECT e.user_id, e.token, e.rn, (CASE e.move WHEN 'acquire' THEN held + units WHEN 'dispose' THEN greatest(0, held - units) ELSE 0 END)::DECIMAL(18,2), (CASE WHEN e.move = 'dispose' AND units > held AND held > 0 THEN units - held ELSE 0 END)::DECIMAL(18,2) {_FROM})
+SELECT user_id, token, count(*) AS rewards, sum(reward)::DOUBLE AS units FROM f WHERE reward > 0 GROUP BY 1, 2""")
+def w10(spark, sf_dir):
+    """What came back on unstaking beyond what was staked."""
+    kind = F.when(F.col("category") == "stake", "acquire").when(F.col("category") == "unstake", "dispose").otherwise("out")
+    moves = ledger(spark, sf_dir).filter("category in ('stake', 'unstake', 'withdrawal')").withColumn("kind", kind)
+    return replay(moves, KEYS, ORDER, "principal").filter("gain > 0").groupBy(*KEYS).agg(F.count("*").alias("rewards"), money(F.sum("gain")).alias("units"))
+
 
 
 @query("k08_incremental_equals_full", f"WITH RECURSIVE {FOLD} SELECT user_id, token, (max_by(su, rn) / 1e8)::DOUBLE AS units_after, (max_by(sc, rn) / 1e8)::DOUBLE AS cost_after FROM g WHERE ts >= TIMESTAMP '1999-01-01' GROUP BY 1, 2")
