@@ -192,7 +192,7 @@ def test_toxicity_separates_and_is_total(spark):
 
 
 def test_held_out_is_the_crc(spark):
-    from ledgerloom.llm.queries import held_out
+    from ledgerloom.llm.toxicity import held_out
 
     rows = spark.range(50).withColumnRenamed("id", "doc_id").withColumn("h", held_out()).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
