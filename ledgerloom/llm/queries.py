@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from . import ann, html_extract, line_dedup, mixing, near_duplicates, quality, sentencepiece_codec, sql, token_rollup, toxicity, urls
-from .common import table
+from . import ann, html_extract, line_dedup, mixing, near_duplicates, quality, runs, sentencepiece_codec, sql, token_rollup, toxicity, urls
+from .common import table, words
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,8 +74,27 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("score")
 
 
+def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, by the crc of doc_id, is given a run first; then the digests of what periodic_runs finds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h, w = F.crc32(F.col("doc_id").cast("string").cast("binary")), words(F.col("text"))
+    docs = docs.withColumn("g", F.floor(h / 10)).withColumn("w", F.when(h % 10 == 0, w))  # only where a run is planted
+    docs = docs.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    docs = docs.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    block, times = F.slice("w", F.col("a") + 1, F.col("p")), F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    planted = F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(F.flatten(F.array_repeat(block, times)), F.lit(1), F.col("n") - F.col("a")))
+    docs = docs.select("doc_id", F.when(F.col("n") > 0, F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+
+    found = runs.periodic_runs(docs).select("doc_id", "runs", "collapsed")
+    best = F.element_at(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period")))), 1)
+    found = found.withColumn("best", F.when(F.size("runs") > 0, best))
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))))
+    length, sha = -F.col("best.less"), lambda c: F.sha2(c.cast("binary"), 256)
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", length.alias("length"), "best.period", F.floor(1000 * length / F.col("best.period")).alias("exponent_milli"), sha(lines).alias("runs_sha256"), sha(F.col("collapsed")).alias("collapsed_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_source_mixing, op4_html_extraction, op5_nearest_neighbours, op6_line_dedup, op7_token_counts, op8_jaccard_join, op9_sentencepiece, op10_url_filter)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_source_mixing, op4_html_extraction, op5_nearest_neighbours, op6_line_dedup, op7_token_counts, op8_jaccard_join, op9_sentencepiece, op10_url_filter, op13_word_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
