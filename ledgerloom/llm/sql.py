@@ -73,4 +73,25 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.m AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) r ON r.a = d.doc_id
 """
 
-ORACLES = {"op2_quality_rules": OP2, "op3_source_mixing": OP3, "op6_line_dedup": OP6, "op8_jaccard_join": OP8}
+
+
+def _op12(rounds: int = 3) -> str:
+    """Plain k-means, all distances taken, one round after another."""
+    parts = ["""v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+  "c0 AS (SELECT row_number() OVER (ORDER BY h NULLS LAST, q) - 1 AS c, q FROM (SELECT sha256('1:' || vec_id) AS h, q FROM v ORDER BY h NULLS LAST, q LIMIT 16))"]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS (SELECT r, min({{'d': d, 'c': c}}) AS m FROM (
+  SELECT v.r, c{i}.c, list_sum(list_transform(range(1, 65), lambda i: (v.q[i] - c{i}.q[i]) * (v.q[i] - c{i}.q[i])))::BIGINT AS d FROM v CROSS JOIN c{i}) GROUP BY r)""")
+        if i < rounds:
+            parts.append(f"""m{i} AS (SELECT c, list(x ORDER BY i) AS q FROM (SELECT a{i}.m.c AS c, i, floor(sum(v.q[i])::DOUBLE / count(*))::BIGINT AS x FROM a{i} JOIN v USING (r), range(1, 65) t(i) GROUP BY 1, 2) GROUP BY c),
+c{i + 1} AS (SELECT c, coalesce(m{i}.q, c{i}.q) AS q FROM c{i} LEFT JOIN m{i} USING (c))""")
+    last = f"a{rounds}"
+    return f"""WITH {", ".join(parts)}
+SELECT v.vec_id, {last}.m.c::INT AS cluster, {last}.m.d AS distance, (sum({last}.m.d) OVER (PARTITION BY {last}.m.c))::BIGINT AS cluster_inertia, (sum({last}.m.d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(k.q, ',')) AS centroid_sha256 FROM v JOIN {last} USING (r) JOIN c{rounds} k ON k.c = {last}.m.c"""
+
+
+OP12 = _op12()
+
+ORACLES = {"op12_centroid_clusters": OP12, "op2_quality_rules": OP2, "op3_source_mixing": OP3, "op6_line_dedup": OP6, "op8_jaccard_join": OP8}
