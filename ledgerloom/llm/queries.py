@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from . import ann, clustering, html_extract, line_dedup, mixing, near_duplicates, quality, runs, sentencepiece_codec, sql, token_rollup, toxicity, urls
+from . import ann, clustering, html_extract, language_id, line_dedup, mixing, near_duplicates, quality, runs, sentencepiece_codec, sql, token_rollup, toxicity, urls
 from .common import table, words
 
 
@@ -74,6 +74,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("score")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.filter(~toxicity.held_out()))
+    return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", toxicity.held_out().alias("held_out"), "lang_pred", "score", "bits")
+
+
 def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, centroids = clustering.sort_means(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return clustering.with_inertia(found, centroids).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
@@ -99,7 +105,7 @@ def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_source_mixing, op4_html_extraction, op5_nearest_neighbours, op6_line_dedup, op7_token_counts, op8_jaccard_join, op9_sentencepiece, op10_url_filter, op12_centroid_clusters, op13_word_runs)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_source_mixing, op4_html_extraction, op5_nearest_neighbours, op6_line_dedup, op7_token_counts, op8_jaccard_join, op9_sentencepiece, op10_url_filter, op11_language_id, op12_centroid_clusters, op13_word_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
