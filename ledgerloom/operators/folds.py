@@ -9,14 +9,16 @@ from __future__ import annotations
 
 from collections import deque
 from decimal import Context, Decimal
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ONE = 10**8
-_WIDE = Context(prec=60)
+_WIDE, _LOW = Context(prec=60), (1 << 64) - 1
 
 
 def scaled(c):
@@ -24,6 +26,30 @@ def scaled(c):
     return F.round(F.coalesce(c.cast("decimal(38,8)"), F.lit(0)) * ONE).cast("decimal(38,0)")
 
 
+def wide(c):
+    """A decimal column with eight decimals; null counts as zero. Its unscaled value is a whole number of 1e-8."""
+    return F.coalesce(c.cast("decimal(38,8)"), F.lit(0).cast("decimal(38,8)"))
+
+
+def unscaled(column: pa.Array) -> list[int | None]:
+    """The unscaled values of a decimal128 column, read from its buffer."""
+    if not len(column):
+        return []
+    raw = np.frombuffer(column.buffers()[1], np.int64, 2 * len(column), 16 * column.offset)
+    low, high = raw[::2], raw[1::2]
+    if (high == low >> 63).all():
+        out = low.tolist()
+    else:
+        out = [(h << 64) | (x & _LOW) for x, h in zip(low.tolist(), high.tolist(), strict=True)]
+    return [x if ok else None for x, ok in zip(out, column.is_valid().to_pylist(), strict=True)] if column.null_count else out
+
+
+def decimals(values: list[int]) -> pa.Array:
+    """A decimal128(38, 8) column of whole numbers of 1e-8."""
+    data = b"".join([x.to_bytes(16, "little", signed=True) for x in values])
+    return pa.Array.from_buffers(pa.decimal128(38, 8), len(values), [None, pa.py_buffer(data)])
+
+
 def half_up(a: int, b: int) -> int:
     """a / b rounded half away from zero."""
     q = (2 * abs(a) + b) // (2 * b)
@@ -172,32 +198,33 @@ def replay(events: DataFrame, keys: list[str], order: list[str], method: str = "
 
     seed (keys, units_after, cost_after; average cost only) is what each pool holds before the first event."""
     amounts = ["units", "value", "fee"]
-    rows = events.withColumns({f"__{c}": scaled(F.col(c)) for c in amounts})
+    rows = events.withColumns({f"__{c}": wide(F.col(c)) for c in amounts})
     if seed is not None:
-        start = seed.select(*keys, scaled(F.col("units_after")).alias("__held"), scaled(F.col("cost_after")).alias("__cost"))
+        start = seed.select(*keys, wide(F.col("units_after")).alias("__held"), wide(F.col("cost_after")).alias("__cost"))
         rows = rows.join(start, keys, "left")
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
     kept = [f for f in events.schema.fields]
     fields, make, money = Pool.fields, METHODS[method], T.DecimalType(38, 8)
     schema = T.StructType([*kept, *(T.StructField(f, money) for f in fields), T.StructField("needs_review", T.BooleanType())])
-    names = rows.columns
+    place = {n: i for i, n in enumerate(rows.columns)}
 
     def run(batches):
         at, state = None, None
         for batch in batches:
-            cols = {n: batch.column(names.index(n)).to_pylist() for n in [*keys, "kind", *(f"__{c}" for c in amounts), *(("__held", "__cost") if "__held" in names else ())]}
-            got, review = [[] for _ in fields], []
-            for i in range(batch.num_rows):
-                key = tuple(cols[k][i] for k in keys)
+            column = lambda n: batch.column(place[n])
+            held = zip(unscaled(column("__held")), unscaled(column("__cost")), strict=True) if "__held" in place else repeat((None, None))
+            moves = zip(zip(*(column(k).to_pylist() for k in keys), strict=True), column("kind").to_pylist(), *(unscaled(column(f"__{c}")) for c in amounts), held)
+            got, review = [], []
+            for key, kind, units, value, fee, (units_held, cost_held) in moves:
                 if state is None or key != at:
                     at, state = key, make()
-                    if "__held" in cols and cols["__held"][i] is not None:
-                        state.units, state.cost = int(cols["__held"][i]), int(cols["__cost"][i])
-                out, flag = state.step(cols["kind"][i], *(int(cols[f"__{c}"][i]) for c in amounts))
-                for g, x in zip(got, out, strict=True):
-                    g.append(Decimal(x).scaleb(-8, _WIDE))
+                    if units_held is not None:
+                        state.units, state.cost = units_held, cost_held
+                out, flag = state.step(kind, units, value, fee)
+                got.append(out)
                 review.append(flag)
-            arrays = [batch.column(names.index(f.name)) for f in kept]
-            yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(g, pa.decimal128(38, 8)) for g in got), pa.array(review, pa.bool_())], names=schema.names)
+            arrays = [batch.column(place[f.name]) for f in kept]
+            sums = [decimals(list(g)) for g in zip(*got, strict=True)] if got else [decimals([])] * len(fields)
+            yield pa.RecordBatch.from_arrays([*arrays, *sums, pa.array(review, pa.bool_())], names=schema.names)
 
     return dealt.mapInArrow(run, schema)

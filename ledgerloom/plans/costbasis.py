@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..adapters import LEDGER, ORDER, ledger
 from ..operators.folds import replay
 from ..operators.joins import asof_join, range_join
+from ..operators.lots import fifo
 from .registry import query
 
 KEYS = ["user_id", "token"]
@@ -113,7 +114,76 @@ def _method(method):
     return run
 
 
-query("k10_fifo_lots")(_method("fifo"))
+LINE = f"""{FOLD.split(",{chr(10)}f AS (")[0]},
+line0 AS (SELECT *, sum(CASE WHEN kind = 'acquire' THEN u ELSE 0 END) OVER w AS got, sum(CASE WHEN kind = 'dispose' THEN u ELSE 0 END) OVER w AS gone FROM e WINDOW w AS (PARTITION BY user_id, token ORDER BY rn)),
+line1 AS (SELECT *, greatest(0, max(gone - got) OVER (PARTITION BY user_id, token ORDER BY rn)) AS lost FROM line0),
+line AS (SELECT *, gone - lost AS sold_to, lag(gone - lost, 1, 0::HUGEINT) OVER p AS sold_from, lost > lag(lost, 1, 0::HUGEINT) OVER p AS oversold FROM line1 WINDOW p AS (PARTITION BY user_id, token ORDER BY rn)),
+met AS (SELECT d.user_id, d.token, l.rn AS lot, d.rn AS sold, greatest(l.got - l.u, d.sold_from) AS x0, least(l.got, d.sold_to) AS x1, l.got - l.u AS l0, l.u AS lu, l.v + l.x AS cost
+ FROM line d JOIN line l ON l.user_id = d.user_id AND l.token = d.token AND d.kind = 'dispose' AND l.kind = 'acquire' AND l.got > d.sold_from AND l.got - l.u < d.sold_to),
+pieces AS (SELECT user_id, token, lot, sold, x1 - x0 AS units, (2 * cost * (x1 - l0) + lu) // (2 * lu) - (2 * cost * (x0 - l0) + lu) // (2 * lu) AS cost FROM met WHERE x1 > x0)"""
+
+
+@query("k10_fifo_lots", f"""WITH {LINE}, used AS (SELECT user_id, token, sold AS rn, sum(cost) AS cost FROM pieces GROUP BY 1, 2, 3)
+SELECT user_id, token, round((sum(coalesce(used.cost, 0)) / 1e8)::DOUBLE, 2) AS cost_used, round((sum(CASE WHEN kind = 'dispose' THEN v - x - coalesce(used.cost, 0) ELSE 0 END) / 1e8)::DOUBLE, 2) AS gain,
+ count(*) FILTER (kind = 'dispose' AND oversold) AS oversold, round((max_by(got - sold_to, line.rn) / 1e8)::DOUBLE, 2) AS units_left FROM line LEFT JOIN used USING (user_id, token, rn) GROUP BY 1, 2""")
+def k10(spark, sf_dir):
+    """First in, first out, in closed form: which lots went with which disposals, without replaying them."""
+    pieces, at = fifo(ledger(spark, sf_dir), KEYS, ORDER)
+    cost = pieces.filter("sold").groupBy(*KEYS).agg(F.sum("cost").alias("used"))
+    bought, now = F.col("kind") == "acquire", F.struct(*ORDER)
+    whole = lambda c: (F.coalesce(F.col(c).cast("decimal(28,8)"), F.lit(0)) * 100000000).cast("decimal(38,0)")
+    sums = at.groupBy(*KEYS).agg(
+        F.sum(F.when(~bought, whole("value") - whole("fee"))).alias("net"), F.count_if("oversold").alias("oversold"),
+        F.coalesce(F.max(F.when(bought, F.col("to_"))), F.lit(0)).alias("got"), F.coalesce(F.max(F.when(~bought, F.col("to_"))), F.lit(0)).alias("sold"),
+    )
+    eighth = lambda c: F.round(c.cast("double") / 1e8, 2)
+    used = F.coalesce("used", F.lit(0))
+    return sums.join(cost, KEYS, "left").select(*KEYS, eighth(used).alias("cost_used"), eighth(F.coalesce("net", F.lit(0)) - used).alias("gain"), "oversold", eighth(F.col("got") - F.col("sold")).alias("units_left"))
+
+
+def of_eighths(c: str):
+    """A whole number of 1e-8 as a double."""
+    return F.col(c).cast("double") / 1e8
+
+
+@query("k10_lot_matches", f"""WITH {LINE} SELECT user_id, token, l.ts AS acquired, d.ts AS disposed, d.a, d.b, d.c, (sum(p.units) / 1e8)::DOUBLE AS units, (sum(p.cost) / 1e8)::DOUBLE AS cost, bool_or(d.oversold) AS needs_review
+ FROM pieces p JOIN line l ON l.user_id = p.user_id AND l.token = p.token AND l.rn = p.lot JOIN line d ON d.user_id = p.user_id AND d.token = p.token AND d.rn = p.sold GROUP BY p.user_id, p.token, l.ts, d.ts, d.a, d.b, d.c""".replace("SELECT user_id, token, l.ts", "SELECT p.user_id, p.token, l.ts"))
+def k10_matches(spark, sf_dir):
+    """Every lot with every disposal that took from it; a disposal of more than was held needs a review."""
+    pieces, at = fifo(ledger(spark, sf_dir), KEYS, ORDER)
+    flag = at.filter("kind = 'dispose'").groupBy(*KEYS, "ts", "a", "b", "c").agg(F.bool_or("oversold").alias("needs_review"))
+    taken = pieces.filter("sold").groupBy(*KEYS, F.col("lot_ts").alias("acquired"), F.col("sold_ts").alias("ts"), *(F.col(f"sold_{x}").alias(x) for x in "abc")).agg(F.sum("units").alias("units"), F.sum("cost").alias("cost"))
+    out = taken.join(flag, [*KEYS, "ts", "a", "b", "c"])
+    return out.select(*KEYS, "acquired", F.col("ts").alias("disposed"), "a", "b", "c", *(of_eighths(x).alias(x) for x in ("units", "cost")), "needs_review")
+
+
+@query("k10_holdings", f"""WITH {LINE}, now AS (SELECT user_id, token, max(sold_to) AS sold FROM line WHERE kind = 'dispose' GROUP BY 1, 2), held AS (
+ SELECT l.*, greatest(l.got - l.u, coalesce(now.sold, 0)) AS x0 FROM line l LEFT JOIN now USING (user_id, token) WHERE l.kind = 'acquire' AND l.got > coalesce(now.sold, 0))
+SELECT user_id, token, ts AS acquired, count(*) AS lots, (sum(got - x0) / 1e8)::DOUBLE AS units, (sum((2 * (v + x) * u + u) // (2 * u) - (2 * (v + x) * (x0 - got + u) + u) // (2 * u)) / 1e8)::DOUBLE AS cost FROM held GROUP BY 1, 2, 3""")
+def k10_holdings(spark, sf_dir):
+    """The lots that are left, by day of acquisition."""
+    pieces, _ = fifo(ledger(spark, sf_dir), KEYS, ORDER)
+    held = pieces.filter("not sold").groupBy(*KEYS, F.col("lot_ts").alias("acquired")).agg(F.count("*").alias("lots"), F.sum("units").alias("units"), F.sum("cost").alias("cost"))
+    return held.select(*KEYS, "acquired", "lots", *(of_eighths(x).alias(x) for x in ("units", "cost")))
+
+
+@query("k11_snapshot_replay", f"""WITH RECURSIVE {FOLD}, snap AS (SELECT user_id, token, rn, ts, kind, CASE WHEN kind = 'acquire' THEN u ELSE sold END AS u, CASE WHEN kind = 'acquire' THEN v + x ELSE 0 END AS cost FROM g WHERE CASE WHEN kind = 'acquire' THEN u ELSE sold END > 0),
+p AS (SELECT *, sum(CASE WHEN kind = 'acquire' THEN u ELSE 0 END) OVER w AS got, sum(CASE WHEN kind = 'dispose' THEN u ELSE 0 END) OVER w AS gone FROM snap WINDOW w AS (PARTITION BY user_id, token ORDER BY rn)),
+m AS (SELECT d.user_id, d.token, d.ts, greatest(l.got - l.u, d.gone - d.u) AS x0, least(l.got, d.gone) AS x1, l.got - l.u AS l0, l.u AS lu, l.cost FROM p d JOIN p l ON l.user_id = d.user_id AND l.token = d.token AND d.kind = 'dispose' AND l.kind = 'acquire' AND l.got > d.gone - d.u AND l.got - l.u < d.gone)
+SELECT user_id, token, year(ts)::INT AS year, (sum(x1 - x0) / 1e8)::DOUBLE AS units, (sum((2 * cost * (x1 - l0) + lu) // (2 * lu) - (2 * cost * (x0 - l0) + lu) // (2 * lu)) / 1e8)::DOUBLE AS cogs FROM m GROUP BY 1, 2, 3""")
+def k11(spark, sf_dir):
+    """Lots restored from the snapshots of average-cost pools (units moved, cost of what came in), and the cost of goods sold by year."""
+    s = snapshots(spark, sf_dir)
+    sold = F.col("units").cast("decimal(28,8)")
+    moved = F.when(F.col("kind") == "dispose", F.when(F.col("needs_review"), F.col("held")).otherwise(sold)).otherwise(sold)
+    held = F.lag("units_after", 1, 0).over(Window.partitionBy(*KEYS).orderBy(*ORDER))
+    moves = s.withColumn("held", F.coalesce(held, F.lit(0))).withColumn("units_delta", moved).filter("units_delta > 0")
+    moves = moves.select(*KEYS, *ORDER[:4], F.col("units").alias("listed"), "value", "fee", "ts_s", "kind", "units_delta")
+    pieces, _ = fifo(moves.withColumnRenamed("units_delta", "units"), KEYS, [*ORDER[:4], "listed", "value"])
+    out = pieces.filter("sold").groupBy(*KEYS, F.year("sold_ts").alias("year")).agg(F.sum("units").alias("u"), F.sum("cost").alias("c"))
+    return out.select(*KEYS, "year", of_eighths("u").alias("units"), of_eighths("c").alias("cogs"))
+
+
 query("k12_lifo_lots")(_method("lifo"))
 EVENTS = FOLD.split(",\nf AS (")[0]
 _FROM = "FROM e JOIN f ON e.user_id = f.user_id AND e.token = f.token AND e.rn = f.rn + 1"
