@@ -14,8 +14,8 @@ MAX_BYTES_PER_CLASS bytes of text of each class) and runs in one task on an exec
 model reaches the driver.
 
 Cases. Null, empty or blank texts have no windows and get the score of a text
-without evidence. Very long texts are read whole; as labelled rows they are left out where they alone exceed
-MAX_BYTES_PER_CLASS. Repeated rows each get their row; a doc_id with several labels is toxic if one of them says so. Without
+without evidence. Very long texts are read whole; as labelled rows they are left out, and no other, where they don't
+fit into what is left of MAX_BYTES_PER_CLASS; it is an error if no text of a class fits. Repeated rows each get their row; a doc_id with several labels is toxic if one of them says so. Without
 labels of both classes, or without any word that sets them apart, the score is the share of toxic labels; an empty table
 gives an empty result. A column of the name that score writes is refused; reject_toxic takes a free name.
 """
@@ -31,7 +31,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard as zs
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -207,15 +207,25 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs_per_class: int = MAX_DOCS_P
     chosen = pick(0).unionByName(pick(1))  # at most 2 * max_docs_per_class ids
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = rows.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
-    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(Window.partitionBy("toxic").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("size", size).filter(F.col("size") <= max_bytes_per_class).select("doc_id", "toxic", "text")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    rows = rows.select("doc_id", "toxic", F.when(size <= max_bytes_per_class, F.col("text")).alias("text"), size.alias("size"), order[0].alias("place"))
 
     def run(batches):
-        got = sorted((row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)), key=lambda row: row[0])
+        got, used, there = [], [0, 0], [0, 0]
+        for batch in batches:
+            for i, y, text, size, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                there[y] += 1
+                if used[y] + size <= max_bytes_per_class:  # a text that doesn't fit is left out alone
+                    used[y] += size
+                    got.append((i, y, text))
+        for y in (0, 1):
+            if there[y] and not any(z == y for _, z, _ in got):
+                raise ValueError(f"no labelled text of class {y} fits into {max_bytes_per_class} bytes")
+        got.sort(key=lambda row: row[0])
         model = train([t for _, _, t in got], [y for _, y, _ in got])
         yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(vars(model))]})
 
-    found = rows.repartition(1).mapInArrow(run, "model binary").first()  # none if no row is labelled
+    found = rows.repartition(1).sortWithinPartitions("place", "doc_id").mapInArrow(run, "model binary").first()  # none if no row is labelled
     return Model(**pickle.loads(found.model)) if found else Model()
 
 
