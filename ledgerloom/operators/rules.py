@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,13 +29,14 @@ class Rule:
     selector: str | None = None
     own: bool | None = None
 
-    def test(self) -> Column:
+    def test(self, low=lambda name: F.lower(F.coalesce(F.col(name), F.lit(""))), action: Column | None = None) -> Column:
+        """low gives a field in lower case, action is action_type in upper case; both with "" for null."""
         c, tests = F.col, []
-        low = lambda name: F.lower(F.coalesce(c(name), F.lit("")))
         if self.chain != "all":
             tests.append(c("chain") == self.chain)
         if self.action:
-            tests.append(F.upper(F.coalesce(c("action_type"), F.lit(""))).isin(*(a.upper() for a in self.action)))
+            upper = F.upper(F.coalesce(c("action_type"), F.lit(""))) if action is None else action
+            tests.append(upper.isin(*(a.upper() for a in self.action)))
         if self.method:
             tests.append(low("method_name").isin(*(m.lower() for m in self.method)))
         if self.tx_type:
@@ -85,5 +86,23 @@ def classify(rules: list[Rule]) -> Column:
     return none if case is None else case.otherwise(none)
 
 
+_TEXTS = ("method_name", "tx_type", "counterparty", "selector")
+
+
+def match(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """rows with rule, category and confidence of the first rule that fits, null where none does.
+
+    Texts are folded once, the rules are one CASE that gives a number, and that is looked up in the table of the rules."""
+    ranked = sorted(rules, key=lambda r: -r.priority)
+    folded = rows.withColumns({f"__{n}": F.lower(F.coalesce(F.col(n), F.lit(""))) for n in _TEXTS} | {"__action": F.upper(F.coalesce(F.col("action_type"), F.lit("")))})
+    number = None
+    for i, r in enumerate(ranked):
+        hit = r.test(lambda n: F.col(f"__{n}"), F.col("__action"))
+        number = F.when(hit, i) if number is None else number.when(hit, i)
+    known = rows.sparkSession.createDataFrame([(i, r.name, r.category, r.confidence) for i, r in enumerate(ranked)], "__i int, rule string, category string, confidence double")
+    folded = folded.withColumn("__i", F.lit(None).cast("int") if number is None else number).drop(*(f"__{n}" for n in _TEXTS), "__action")
+    return folded.join(F.broadcast(known), "__i", "left").drop("__i")  # a row a rule
+
+
 def needs_review(confidence: Column) -> Column:
     return confidence < REVIEW_BELOW
