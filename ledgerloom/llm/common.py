@@ -29,3 +29,15 @@ def fresh(df: DataFrame, stem: str) -> str:
     while name.lower() in have:
         name += "_"
     return name
+
+
+#: Bytes of rows that reach Python at a time, where the session has Spark's own default.
+BATCH_BYTES, _KEY = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """docs; texts reach Python in batches of BATCH_BYTES or one row, so a batch takes little memory on either side however long they are."""
+    conf = docs.sparkSession.conf
+    if conf.get(_KEY) in ("67108864b", "64MB", "67108864"):
+        conf.set(_KEY, str(BATCH_BYTES))
+    return docs

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from ..operators.components import components
 from ..scratch import Scratch, bounded
 from . import parity
-from .common import fresh
+from .common import fresh, small_batches
 from .shingles import shingle_hashes
 
 #: Entries of a key up to which pairs across components are compared without pivots.
@@ -71,7 +71,7 @@ def sketched(docs: DataFrame, late: np.ndarray) -> DataFrame:
                 lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, hot, dense)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(n, pa.int64()), pa.array(node, pa.int64()), *lists], names=schema.names)
 
-    return docs.select("doc_id", "text", F.xxhash64("text"), F.monotonically_increasing_id()).mapInArrow(run, schema)
+    return small_batches(docs).select("doc_id", "text", F.xxhash64("text"), F.monotonically_increasing_id()).mapInArrow(run, schema)
 
 
 def frequent_keys(docs: DataFrame) -> np.ndarray:

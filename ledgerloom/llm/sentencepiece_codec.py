@@ -25,7 +25,7 @@ import sentencepiece as spm
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import fresh
+from .common import fresh, small_batches
 
 SPACE = "▁".encode()
 
@@ -240,4 +240,4 @@ def encode(docs: DataFrame, model_path: str | None = None, text: str = "text", d
                 out = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*batch.schema.names, *(f.name for f in more)])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
+    return small_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, *more]))

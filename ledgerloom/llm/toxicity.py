@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh
+from .common import fresh, small_batches
 
 #: Labelled documents of each class that a fit reads at most.
 MAX_DOCS_PER_CLASS = 3000
@@ -241,7 +241,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
             got = [model_.score(t, cell) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    return small_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
