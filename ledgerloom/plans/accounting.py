@@ -263,38 +263,6 @@ def v03(spark, sf_dir):
     return known.groupBy("user_id", "chain").agg(F.max_by("k", F.struct("ts_s", "id")).alias("balance"), F.max("ts_s").alias("at_s"))
 
 
-@query("v08_balance_aware_merge", f"""WITH {ONCHAIN}, x AS (SELECT *, round(value * 100)::BIGINT AS cents FROM onchain), b AS (SELECT user_id, sum(CASE WHEN direction = 'in' THEN cents ELSE -cents END)::BIGINT AS held, max_by(k, (ts_s, id)) * 100 AS actual FROM x GROUP BY 1)
-SELECT x.id, coalesce(abs(held + CASE WHEN direction = 'in' THEN -cents ELSE cents END - actual) < abs(held - actual), false) AS merge FROM x JOIN b USING (user_id) WHERE event_type IN ('purchase', 'signup')""")
-def v08(spark, sf_dir):
-    """A duplicate is merged only if the balance without it is nearer to the one on chain; never where that is unknown."""
-    cents = F.round(F.col("value") * 100).cast("long")
-    t = onchain(spark, sf_dir).withColumn("cents", cents)
-    signed = F.when(F.col("direction") == "in", F.col("cents")).otherwise(-F.col("cents"))
-    held = t.groupBy("user_id").agg(F.sum(signed).alias("held"), (F.max_by("k", F.struct("ts_s", "id")) * 100).alias("actual"))
-    both = t.filter("event_type in ('purchase', 'signup')").join(held, "user_id")
-    nearer = F.abs(F.col("held") - signed - F.col("actual")) < F.abs(F.col("held") - F.col("actual"))
-    return both.select("id", F.coalesce(nearer, F.lit(False)).alias("merge"))
-
-
-GAP_CENTS = 500  # a gap is more than this between what was indexed and what the chain says
-
-
-@query("v10_gap_detection", f"""WITH {LEDGER}, m AS (SELECT wallet_id, strftime(date_trunc('month', ts), '%Y-%m') AS month, sum(CASE WHEN direction = 'in' THEN units ELSE -units END * 100)::BIGINT AS moved, max(a) AS block FROM ledger GROUP BY 1, 2),
-r AS (SELECT *, lag(month) OVER w AS prev, lag(block) OVER w AS start_block, moved + CASE WHEN block % 7 = 0 THEN block % 1500 ELSE 0 END - coalesce(CASE WHEN lag(block) OVER w % 7 = 0 THEN lag(block) OVER w % 1500 ELSE 0 END, 0) AS onchain FROM m WINDOW w AS (PARTITION BY wallet_id ORDER BY month))
-SELECT wallet_id, month, start_block, block AS end_block, abs(moved - onchain)::BIGINT AS gap FROM r WHERE prev IS NOT NULL AND abs(moved - onchain) > {GAP_CENTS}""")
-def v10(spark, sf_dir):
-    """Months whose change of the indexed balance differs from that of the archived one; one row a wallet and month goes through the window."""
-    signed = F.when(F.col("direction") == "in", F.col("units")).otherwise(-F.col("units"))
-    month = F.date_format("ts", "yyyy-MM")
-    m = ledger(spark, sf_dir).groupBy("wallet_id", month.alias("month")).agg((F.sum(signed) * 100).cast("long").alias("moved"), F.max("a").alias("block"))
-    w = Window.partitionBy("wallet_id").orderBy("month")
-    m = m.withColumn("running", F.sum("moved").over(w))
-    m = m.withColumn("archived", F.col("running") + F.when(F.col("block") % 7 == 0, F.col("block") % 1500).otherwise(0))
-    change = lambda c: F.col(c) - F.lag(c).over(w)
-    gaps = m.withColumns({"gap": F.abs(change("running") - change("archived")), "start_block": F.lag("block").over(w)})
-    return gaps.filter(F.col("gap") > GAP_CENTS).select("wallet_id", "month", "start_block", F.col("block").alias("end_block"), "gap")
-
-
 @query("v12_reindex_cap", f"WITH {EXCHANGE}, d AS (SELECT max(ts::DATE) AS today FROM exchange) SELECT user_id, count(*) FILTER (ts::DATE >= today) AS today_n, count(*) FILTER (ts::DATE >= today) < 3 AS may_queue FROM exchange, d WHERE tx_type = 'deposit' GROUP BY 1")
 def v12(spark, sf_dir):
     """Jobs of the last day in the data, at most three a wallet; the day is a table of one row."""
@@ -304,14 +272,6 @@ def v12(spark, sf_dir):
     return e.filter("tx_type = 'deposit'").join(F.broadcast(today)).groupBy("user_id").agg(n.alias("today_n"), (n < 3).alias("may_queue"))
 
 
-@query("j16_holding_source", f"WITH {EXCHANGE}, s AS (SELECT user_id, asset, max_by(exchange, (ts, id)) AS source FROM exchange WHERE tx_type <> 'sell' GROUP BY 1, 2) SELECT DISTINCT e.user_id, e.asset, coalesce(s.source, 'self_custody') AS source FROM exchange e LEFT JOIN s USING (user_id, asset)")
-def j16(spark, sf_dir):
-    """Where a token was last bought or paid in, for every user and token held."""
-    e = exchange(spark, sf_dir)
-    last = latest(e.filter("tx_type <> 'sell'"), ["user_id", "asset"], [F.desc("ts"), F.desc("id")]).select("user_id", "asset", "exchange")
-    return e.select("user_id", "asset").distinct().join(last, ["user_id", "asset"], "left").select("user_id", "asset", F.coalesce("exchange", F.lit("self_custody")).alias("source"))
-
-
 @query("j23_journal_reference", f"WITH {LEDGER}, {EXCHANGE} SELECT l.a, l.b, l.c, coalesce(CASE WHEN l.b % 2 = 0 THEN 'tx' || l.a END, e.exchange || e.id, l.a || '-' || l.b) AS ref FROM ledger l LEFT JOIN exchange e ON e.id = l.a AND e.tx_type = 'sell' WHERE l.kind = 'dispose'")
 def j23(spark, sf_dir):
     """A disposal's reference: its transaction, else the exchange's entry, else its own key."""

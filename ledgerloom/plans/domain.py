@@ -273,14 +273,6 @@ def v01(spark, sf_dir):
     return r.select("user_id", "chain", "replay", "actual", status.alias("status"))
 
 
-@query("v04_first_diagnosis", f"WITH {ONCHAIN}, a AS (SELECT user_id, count(*) FILTER (event_type = 'click') / count(*) AS c1, count(*) FILTER (event_type = 'error') / count(*) * 2.5 AS c2, count(*) FILTER (direction = 'in') / count(*) AS c3 FROM onchain GROUP BY 1) SELECT user_id, CASE WHEN c1 > 0.25 THEN 'missing_staking' WHEN c2 > 0.5 THEN 'uncounted_fees' WHEN c3 > 0.6 THEN 'misclassified' END AS diagnosis FROM a")
-def v04(spark, sf_dir):
-    n = F.count("*")
-    a = onchain(spark, sf_dir).groupBy("user_id").agg((F.count_if(F.col("event_type") == "click") / n).alias("c1"), (F.count_if(F.col("event_type") == "error") / n * 2.5).alias("c2"), (F.count_if(F.col("direction") == "in") / n).alias("c3"))
-    tests = (("c1", 0.25, "missing_staking"), ("c2", 0.5, "uncounted_fees"), ("c3", 0.6, "misclassified"))
-    return a.select("user_id", F.coalesce(*(F.when(F.col(c) > x, name) for c, x, name in tests)).alias("diagnosis"))
-
-
 @query("v05_hash_duplicates", f"WITH {LEDGER} SELECT a, b, c, count(*) - 1 AS extra FROM ledger GROUP BY 1, 2, 3 HAVING count(*) > 1")
 def v05(spark, sf_dir):
     return ledger(spark, sf_dir).groupBy("a", "b", "c").agg((F.count("*") - 1).alias("extra")).filter("extra > 0")

@@ -38,11 +38,6 @@ def f05(spark, sf_dir):
     return ledger(spark, sf_dir).filter((F.col("ts") >= F.lit(start).cast("timestamp")) & (F.col("ts") < F.lit(end).cast("timestamp"))).groupBy("token").agg(F.count("*").alias("n"), F.sum("value").cast("double").alias("total"))
 
 
-@query("f07_spam_symbols", "SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%http%' OR lower(p_name) LIKE '%visit%' OR lower(p_name) LIKE '%claim%' OR lower(p_name) LIKE '%.com%' OR lower(p_name) LIKE '%.org%' OR p_name LIKE '%a%'")
-def f07(spark, sf_dir):
-    return table(spark, sf_dir, "part").filter(looks_like_spam(F.col("p_name")) | F.col("p_name").contains("a")).select("p_partkey", "p_name")
-
-
 @query("f08_small_holdings", "SELECT c_custkey, c_acctbal, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_acctbal END AS usd FROM customer WHERE NOT (c_mktsegment <> 'BUILDING' AND c_acctbal < 1) AND c_nationkey IN (1, 2, 3)")
 def f08(spark, sf_dir):
     usd = F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_acctbal"))
