@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rule_catalogue import DEX_SELECTORS, LENDING_SELECTORS, LP_SELECTORS
@@ -28,6 +28,54 @@ def path_tokens(path_hex: Column) -> Column:
     return F.when(F.length(h) >= 40, F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(F.lit("0x"), F.substr(h, i * 46 + 1, F.lit(40)))))
 
 
+def call_path(calldata: Column) -> Column:
+    """The tokens of a packed path in call data: its first word after the selector says where the path's length stands, and the path follows it.
+
+    Null where that points beyond the data, or the data is not hex; no tokens where the path is shorter than one address."""
+    def let(value: Column, use) -> Column:  # use(value), with value computed once
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def word(params: Column, at: Column) -> Column:  # twice a word of 32 bytes as a number, null where it ends beyond the data or is larger than any data
+        text = F.substr(params, (at + 1).cast("int"), F.lit(64))
+        return let(text, lambda t: F.when((F.length(t) == 64) & (F.substr(t, F.lit(1), F.lit(56)) == "0" * 56), F.conv(F.substr(t, F.lit(57), F.lit(8)), 16, 10).cast("long") * 2))
+
+    def path(params: Column) -> Column:
+        n = F.length(params)
+        cut = lambda at, size: F.when(at + 64 + size <= n, F.coalesce(path_tokens(F.substr(params, (at + 65).cast("int"), size.cast("int"))), F.array().cast("array<string>")))
+        return let(word(params, F.lit(0)), lambda at: F.when(at + 64 <= n, let(word(params, at), lambda size: cut(at, size))))
+
+    hexed = let(F.regexp_replace(F.lower(calldata), "^0x", ""), lambda d: F.when(d.rlike("^([0-9a-f]{2})*$"), F.substring(d, 9, 1 << 30)))
+    return let(hexed, path)
+
+
+def spread_rules(moves: DataFrame, rules: DataFrame) -> DataFrame:
+    """rule_id, tx_id and user_id of every movement of any user that an active rule fits.
+
+    rules: rule_id, rule_type (contract_address: the counterparty, whole; token_symbol: how the token begins), value, is_active; case doesn't
+    count. A token is cut to each length that some rule has, and the cuts are joined by equality; the lengths are one row."""
+    live = rules.filter("is_active and value <> ''").select("rule_id", "rule_type", F.lower("value").alias("__v"))
+    named = moves.withColumn("__v", F.lower("counterparty")).join(live.filter("rule_type = 'contract_address'"), "__v")
+    starts = live.filter("rule_type = 'token_symbol'")
+    sizes = starts.agg(F.collect_set(F.length("__v")).alias("__sizes"))
+    low = F.lower("token")
+    cuts = F.transform(F.filter("__sizes", lambda n: n <= F.length("token")), lambda n: F.substr(low, F.lit(1), n))
+    begun = moves.join(F.broadcast(sizes)).withColumn("__v", F.explode(cuts)).join(starts, "__v")
+    pick = lambda df: df.select("rule_id", F.col("id").alias("tx_id"), "user_id")
+    return pick(named).unionByName(pick(begun))
+
+
+def pool_prices(pools: DataFrame, base: str, base_price: Column) -> DataFrame:
+    """token and price: of each token the first pool (by pool_id) of it and base alone, with two reserves above zero, times the price of base.
+
+    pools: pool_id, tokens, amounts (text, as they come). Pools of other sizes, with unequal arrays or amounts that are no numbers are left out."""
+    two = pools.filter((F.size("tokens") == 2) & (F.size("amounts") == 2) & F.array_contains("tokens", base))
+    side = F.array_position("tokens", base).cast("int")
+    amount = lambda i: F.element_at("amounts", i).try_cast("double")
+    p = two.select("pool_id", F.element_at("tokens", 3 - side).alias("token"), amount(side).alias("__near"), amount(3 - side).alias("__own"))
+    p = p.filter((F.col("__near") > 0) & (F.col("__own") > 0) & (F.col("token") != base))
+    return p.groupBy("token").agg(F.min_by(F.col("__near") / F.col("__own") * base_price, "pool_id").alias("price"), F.min("pool_id").alias("pool_id"))
+
+
 def legs(tokens: Column, fee: Column) -> Column:
     """A swap's parent, sell leg (0), one numbered leg for each token between, buy leg after them and, with a fee, its leg last.
 
