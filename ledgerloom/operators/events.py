@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 from .joins import nearest_join
 from .pricing import EXACT_SECONDS, LARGE, NEAR_SECONDS, STABLE, with_rate
 from .rule_catalogue import KINDS, SKIPPED
@@ -81,6 +82,7 @@ def pool_events(moves: DataFrame, daily: DataFrame, minutes: DataFrame, rates: D
     known = F.when(income & staked, c("staking_fmv")).when(income & vested, c("lockup_fmv")).when(c("__single"), F.coalesce("fmv_cad", "staking_fmv", "lockup_fmv"))
     source = F.when(income, F.when(staked, "staking").when(vested, "vesting").otherwise("airdrop"))
     e = e.select("id", "user_id", "ts_s", "category", "__e.*", F.when(c("__e.priced"), known).alias("known"), source.alias("source_type"))
+    e = Scratch(moves.sparkSession, "events").save(e)  # read for prices, for those of minutes, and for what needs none
     asked = resolve_prices(e.filter("priced"), daily, minutes, rates, ["id", "leg_no"])
     moved = e.filter("not priced").withColumns({"price_cad": none.cast("decimal(24,6)"), "tier": none.cast("string"), "estimated": F.lit(False)})
     e = asked.unionByName(moved)

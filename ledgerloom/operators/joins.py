@@ -18,6 +18,25 @@ def range_join(left: DataFrame, right: DataFrame, on: list[str], left_ts: str, r
     return many.join(one, [*on, "__bucket"]).filter((gap >= low) & (gap <= high)).drop("__bucket")
 
 
+def window_sum(left: DataFrame, right: DataFrame, on: list[str], left_ts: str, right_ts: str, low: int, high: int, values: dict[str, Column], slice_seconds: int = 90 * 86400) -> DataFrame:
+    """left with the sums of right's values where right_ts - left_ts is in [low, high] and on agrees (0 where nothing is), without forming the pairs.
+
+    Each left row asks twice for a running sum: after the last of its range, and before the first. Running sums are taken within slices of time of a key and
+    shifted by the slices before, so a key with very many rows is many tasks. Equal left rows each keep theirs."""
+    names = list(values)
+    none = [F.lit(0).alias(f"__{n}") for n in names]
+    ask = lambda shift, side: left.select(*on, (F.col(left_ts) + shift).alias("__t"), F.lit(side).alias("__side"), F.struct(*left.columns).alias("__l"), *none)
+    rows = right.select(*on, F.col(right_ts).alias("__t"), F.lit(1).alias("__side"), F.lit(None).alias("__l"), *(values[n].alias(f"__{n}") for n in names))
+    rows = rows.unionByName(ask(low, 0)).unionByName(ask(high, 2)).withColumn("__slice", F.floor(F.col("__t") / slice_seconds))
+    w = Window.partitionBy(*on, "__slice").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    past = Window.partitionBy(*on).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*on, "__slice").agg(*(F.sum(f"__{n}").alias(f"__all_{n}") for n in names)).select(*on, "__slice", *(F.coalesce(F.sum(f"__all_{n}").over(past), F.lit(0)).alias(f"__past_{n}") for n in names))
+    points = rows.withColumns({f"__run_{n}": F.sum(f"__{n}").over(w) for n in names}).filter("__side <> 1").join(sums, [*on, "__slice"])
+    upto = lambda n, side: F.max(F.when(F.col("__side") == side, F.col(f"__run_{n}") + F.col(f"__past_{n}")))
+    found = points.groupBy("__l").agg((F.count("*") / 2).cast("int").alias("__copies"), *((upto(n, 2) - upto(n, 0)).alias(n) for n in names))
+    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select("__l.*", *names)
+
+
 def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_ts: str, right_ts: str, values: list[str], direction: str = "backward", exact: bool = True, tolerance: int | None = None) -> DataFrame:
     """left with the values (and right_ts) of the nearest right row before (or after) in time, null where there is none.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..adapters import EXCHANGE, LEDGER, ONCHAIN, exchange, ledger, onchain, table
-from ..operators.joins import latest, range_join
+from ..operators.joins import latest, window_sum
 from .registry import query
 
 d = lambda c, n=2: F.round((F.col(c) if isinstance(c, str) else c).cast("double"), n)
@@ -310,4 +310,5 @@ def j04(spark, sf_dir):
     t = ledger(spark, sf_dir)
     sells = t.filter("kind = 'dispose'").select("user_id", "token", "a", "b", "c", "ts_s").distinct()
     buys = t.filter("kind = 'acquire'").select("user_id", "token", F.col("ts_s").alias("buy_s"), "units")
-    return range_join(sells, buys, ["user_id", "token"], "ts_s", "buy_s", -2592000, 2592000).groupBy("user_id", "token", "a", "b", "c", "ts_s").agg(F.count("*").alias("rebuys"), F.sum("units").cast("double").alias("units"))
+    found = window_sum(sells, buys, ["user_id", "token"], "ts_s", "buy_s", -2592000, 2592000, {"rebuys": F.lit(1).cast("long"), "bought": F.col("units")})
+    return found.filter("rebuys > 0").select("user_id", "token", "a", "b", "c", "ts_s", "rebuys", F.col("bought").cast("double").alias("units"))

@@ -18,6 +18,8 @@ from ..operators.decode import spam_score
 from ..operators.events import pool_events
 from ..operators.folds import replay
 from ..operators.pipeline import classify_stages
+from ..operators.superficial import denied_losses, into_later_cost
+from ..scratch import Scratch
 from .domain import _CATEGORY, _CONFIDENCE, _rule_sql, _sql_list
 from .registry import query
 
@@ -64,10 +66,13 @@ def lockups(spark, sf_dir):
 def classified(spark: SparkSession, sf_dir: str, chain: str) -> DataFrame:
     t = movements(spark, sf_dir).filter(F.col("chain") == chain)
     if chain == "exchange":
-        return classify_stages(t, _owned(t).limit(0), catalogue.EXCHANGE).withColumns({"staking_event_id": F.lit(None).cast("long"), "lockup_event_id": F.lit(None).cast("long")})
+        return classify_stages(t, _owned(t).limit(0), catalogue.EXCHANGE)
+    return classify_stages(t, _owned(t), catalogue.NEAR, staking(spark, sf_dir), lockups(spark, sf_dir), _spam())
+
+
+def _spam():
     usd = F.when(F.col("id") % 5 > 0, F.col("units").cast("double") / 10000)
-    spam = spam_score(F.lower("counterparty") == SPAM_PARTY, usd, F.col("direction"), F.lower("token").startswith(SPAM_TOKEN))
-    return classify_stages(t, _owned(t), catalogue.NEAR, staking(spark, sf_dir), lockups(spark, sf_dir), spam)
+    return spam_score(F.lower("counterparty") == SPAM_PARTY, usd, F.col("direction"), F.lower("token").startswith(SPAM_TOKEN))
 
 
 def _owned(t: DataFrame) -> DataFrame:
@@ -75,7 +80,11 @@ def _owned(t: DataFrame) -> DataFrame:
 
 
 def all_classified(spark, sf_dir):
-    return classified(spark, sf_dir, "near").unionByName(classified(spark, sf_dir, "exchange"))
+    """Both pipelines in one pass: rules know their chain; only what is on chain can be spam, an own account's or linked."""
+    on_chain = F.col("chain") == "near"
+    t = movements(spark, sf_dir).withColumn("counterparty", F.when(on_chain, F.col("counterparty")))
+    found = classify_stages(t, _owned(t), [*catalogue.NEAR, *catalogue.EXCHANGE], staking(spark, sf_dir), lockups(spark, sf_dir), F.when(on_chain, _spam()).otherwise(0.0))
+    return found.withColumn("staking_event_id", F.when(on_chain, F.col("staking_event_id")))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,3 +231,36 @@ def k09_chain(spark, sf_dir):
         "id", "leg_no", "user_id", "token", F.date_format(F.timestamp_seconds("ts_s"), "yyyy-MM-dd").alias("disposal_date"), F.col("gone").cast("double").alias("units_disposed"), (F.col("value") - F.col("fee")).cast("double").alias("net_proceeds"),
         F.col("cost_used").cast("double").alias("acb_used"), F.col("fee").cast("double").alias("fees"), *dollars("gain"), "estimated", "needs_review",
     )
+
+
+# -- superficial losses on the chain's pools ----------------------------------------
+LOSSES = f"""{POOLS},
+loss AS (SELECT l.*, (SELECT coalesce(sum(r.u), 0) FROM g r WHERE r.user_id = l.user_id AND r.token = l.token AND r.kind = 'acquire' AND r.ts_s BETWEEN l.ts_s - 2592000 AND l.ts_s + 2592000 AND NOT (l.leg <> 'whole' AND r.leg <> 'whole' AND r.id = l.id)) AS ru FROM g l WHERE l.kind = 'dispose' AND l.gain < 0),
+rated AS (SELECT *, CASE WHEN gone > 0 THEN (2 * least(ru, gone) * {_E8} + gone) // (2 * gone) ELSE 0 END AS ratio8 FROM loss WHERE ru > 0),
+denied AS (SELECT *, (2 * (-gain) * ratio8 + 100000000000000::HUGEINT) // (2 * 100000000000000::HUGEINT) AS denied100 FROM rated)"""
+
+
+def _chain_losses(spark, sf_dir):
+    """The chain's snapshots, written once, and its losses with what is denied of them."""
+    snaps = Scratch(spark, "chain").save(pools(spark, sf_dir))
+    before = F.coalesce(F.lag("units_after").over(Window.partitionBy(*KEYS).orderBy(*ORDER)), F.lit(0))
+    swap = F.when(F.col("leg") != "whole", F.col("id"))
+    sold = snaps.withColumn("gone", F.least(F.col("units"), before)).filter("kind = 'dispose' and gain < 0").select("id", "leg_no", *KEYS, "ts_s", F.col("gone").alias("units"), "gain", swap.alias("parent"))
+    bought = snaps.filter("kind = 'acquire'").select(*KEYS, F.col("ts_s").alias("buy_s"), F.col("units").alias("bought"), swap.alias("parent"))
+    return snaps, denied_losses(sold, bought, KEYS, "parent").filter("rebought > 0")
+
+
+@query("k15_chain_superficial", f"WITH RECURSIVE {LOSSES} SELECT id, leg_no, user_id, token, (gain / 1e8)::DOUBLE AS gain, (ru / 1e8)::DOUBLE AS rebought, (ratio8 / 1e8)::DOUBLE AS ratio, (denied100 / 100)::DOUBLE AS denied FROM denied")
+def k15_chain(spark, sf_dir):
+    """Losses near purchases of the same token, of whatever source, but not the other leg of the same swap."""
+    return _chain_losses(spark, sf_dir)[1].select("id", "leg_no", *KEYS, *dollars("gain", "rebought", "ratio", "denied"))
+
+
+@query("k16_chain_later_cost", f"""WITH RECURSIVE {LOSSES}, hit AS (SELECT d.denied100, (SELECT min_by((g.id, g.leg_no), (g.ts_s, g.id, g.leg_no)) FROM g WHERE g.user_id = d.user_id AND g.token = d.token AND g.kind = 'acquire' AND g.ts_s > d.ts_s) AS k FROM denied d),
+sums AS (SELECT k[1] AS id, k[2] AS leg_no, sum(denied100) AS added, count(*) AS losses FROM hit WHERE k IS NOT NULL GROUP BY 1, 2)
+SELECT g.id, g.leg_no, user_id, token, losses, (added / 100)::DOUBLE AS added, ((sc + added * 1000000) / 1e8)::DOUBLE AS cost_after, (((2 * (sc + added * 1000000) * {_E8} + su) // (2 * su)) / 1e8)::DOUBLE AS acb_per_unit FROM sums JOIN g USING (id, leg_no)""")
+def k16_chain(spark, sf_dir):
+    """What is denied enters the cost of the first later acquisition, and its cost a unit."""
+    snaps, denied = _chain_losses(spark, sf_dir)
+    out = into_later_cost(snaps, denied, KEYS, ORDER)
+    return out.select("id", "leg_no", *KEYS, "losses", *dollars("added", "cost_after", "acb_per_unit"))

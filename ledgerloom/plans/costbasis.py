@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..adapters import LEDGER, ORDER, ledger
 from ..operators.folds import replay
-from ..operators.joins import asof_join, range_join
+from ..operators.joins import asof_join
 from ..operators.lots import fifo
+from ..operators.superficial import denied_losses
+from ..scratch import Scratch
 from .registry import query
 
 KEYS = ["user_id", "token"]
-_MONTH = 30 * 86400
+_MONTH = 30 * 86400  # as operators.superficial has it
 
 _E8 = "100000000::HUGEINT"
 FOLD = f"""{LEDGER},
@@ -56,39 +58,66 @@ def k09(spark, sf_dir):
     return d.select("user_id", "token", F.date_format("ts", "yyyy-MM-dd").alias("disposal_date"), "tax_year", "a", "b", "c", money("units").alias("units"), money("value").alias("proceeds"), money("fee").alias("fees"), money("gain").alias("gain"), "needs_review")
 
 
-@query("a02_capital_gains_by_token", f"""WITH RECURSIVE {FOLD} SELECT year(ts)::INT AS tax_year, token, count(*) AS disposals, round((sum(value))::DOUBLE, 2) AS proceeds, round((sum(used) / 1e8)::DOUBLE, 2) AS acb_used, round((sum(fee))::DOUBLE, 2) AS fees,
- round((sum(gain) / 1e8)::DOUBLE, 2) AS net_gain, round((sum(CASE WHEN gain > 0 THEN gain ELSE 0 END) / 1e8)::DOUBLE, 2) AS gains, round((sum(CASE WHEN gain < 0 THEN gain ELSE 0 END) / 1e8)::DOUBLE, 2) AS losses, count(*) FILTER (review) AS flagged FROM g WHERE kind = 'dispose' GROUP BY 1, 2""")
+def stored_disposals(spark, sf_dir) -> DataFrame:
+    """The fold's disposals, written once for all that reads them."""
+    kept = disposals(spark, sf_dir).select(*KEYS, "ts_s", "ts", "a", "b", "c", "units", "value", "fee", "cost_used", "gain", "needs_review", "tax_year")
+    return Scratch(spark, "disposals").save(kept)
+
+
+def superficial(spark, sf_dir, sold: DataFrame | None = None) -> DataFrame:
+    """Losses with what was bought of the same token within 30 days before or after, and the part denied."""
+    losses = (stored_disposals(spark, sf_dir) if sold is None else sold).filter("gain < 0")
+    buys = ledger(spark, sf_dir).filter("kind = 'acquire'")
+    return denied_losses(losses, buys.select(*KEYS, F.col("ts_s").alias("buy_s"), F.col("units").alias("bought")), KEYS).filter("rebought > 0")
+
+
+SUPERFICIAL = f"""{FOLD},
+s AS (SELECT l.user_id, l.token, l.rn, l.ts, l.ts_s, l.a, l.b, l.c, l.units, l.value, l.u, l.gain, sum(r.u) AS ru, sum(r.units) AS rebought FROM g l JOIN ledger_buys r ON r.user_id = l.user_id AND r.token = l.token AND r.ts_s BETWEEN l.ts_s - {_MONTH} AND l.ts_s + {_MONTH} WHERE l.kind = 'dispose' AND l.gain < 0 GROUP BY ALL),
+sl AS (SELECT *, (2 * least(ru, u) * {_E8} + u) // (2 * u) AS ratio8 FROM s),
+sd AS (SELECT *, (2 * (-gain) * ratio8 + 100000000000000::HUGEINT) // (2 * 100000000000000::HUGEINT) AS denied100 FROM sl)""".replace("e AS (SELECT *", "ledger_buys AS (SELECT user_id, token, ts_s, units, (units * 100)::HUGEINT * 1000000 AS u FROM ledger WHERE kind = 'acquire'),\ne AS (SELECT *", 1)
+
+
+@query("a02_capital_gains_by_token", f"""WITH RECURSIVE {SUPERFICIAL}, denied AS (SELECT year(ts)::INT AS tax_year, token, count(*) AS n, (sum(denied100) / 100)::DOUBLE AS denied FROM sd GROUP BY 1, 2),
+t AS (SELECT year(ts)::INT AS tax_year, token, count(*) AS disposals, round((sum(value))::DOUBLE, 2) AS proceeds, round((sum(used) / 1e8)::DOUBLE, 2) AS acb_used, round((sum(fee))::DOUBLE, 2) AS fees,
+ round((sum(gain) / 1e8)::DOUBLE, 2) AS net_gain, round((sum(CASE WHEN gain > 0 THEN gain ELSE 0 END) / 1e8)::DOUBLE, 2) AS gains, round((sum(CASE WHEN gain < 0 THEN gain ELSE 0 END) / 1e8)::DOUBLE, 2) AS losses, count(*) FILTER (review) AS flagged FROM g WHERE kind = 'dispose' GROUP BY 1, 2)
+SELECT t.*, coalesce(n, 0) AS superficial, coalesce(denied, 0)::DOUBLE AS denied FROM t LEFT JOIN denied USING (tax_year, token)""")
 def a02(spark, sf_dir):
-    gain = F.col("gain")
-    return disposals(spark, sf_dir).groupBy("tax_year", "token").agg(
+    """By year and token; the fold is written once and read for the totals and for the superficial losses."""
+    gain, sold = F.col("gain"), stored_disposals(spark, sf_dir)
+    totals = sold.groupBy("tax_year", "token").agg(
         F.count("*").alias("disposals"), F.round(money(F.sum("value")), 2).alias("proceeds"), F.round(money(F.sum("cost_used")), 2).alias("acb_used"), F.round(money(F.sum("fee")), 2).alias("fees"), F.round(money(F.sum("gain")), 2).alias("net_gain"),
         F.round(money(F.sum(F.when(gain > 0, gain).otherwise(0))), 2).alias("gains"), F.round(money(F.sum(F.when(gain < 0, gain).otherwise(0))), 2).alias("losses"), F.count_if("needs_review").alias("flagged"),
     )
+    denied = superficial(spark, sf_dir, sold).groupBy("tax_year", "token").agg(F.count("*").alias("superficial"), money(F.sum("denied")).alias("denied"))
+    return totals.join(denied, ["tax_year", "token"], "left").withColumns({"superficial": F.coalesce("superficial", F.lit(0)), "denied": F.coalesce("denied", F.lit(0.0))})
 
 
-@query("a03_capital_gains_summary", f"WITH RECURSIVE {FOLD} SELECT year(ts)::INT AS tax_year, round((sum(CASE WHEN gain > 0 THEN gain ELSE 0 END) / 1e8)::DOUBLE, 2) AS total_gains, round((sum(CASE WHEN gain < 0 THEN -gain ELSE 0 END) / 1e8)::DOUBLE, 2) AS total_losses, round((sum(gain) / 1e8)::DOUBLE, 2) AS net, round((sum(gain) / 2e8)::DOUBLE, 2) AS taxable FROM g WHERE kind = 'dispose' GROUP BY 1")
+@query("a03_capital_gains_summary", f"""WITH RECURSIVE {SUPERFICIAL}, denied AS (SELECT year(ts)::INT AS tax_year, count(*) AS n, (sum(denied100) / 100)::DOUBLE AS denied FROM sd GROUP BY 1),
+t AS (SELECT year(ts)::INT AS tax_year, round((sum(CASE WHEN gain > 0 THEN gain ELSE 0 END) / 1e8)::DOUBLE, 2) AS total_gains, round((sum(CASE WHEN gain < 0 THEN -gain ELSE 0 END) / 1e8)::DOUBLE, 2) AS total_losses, round((sum(gain) / 1e8)::DOUBLE, 2) AS net, round((sum(gain) / 2e8)::DOUBLE, 2) AS taxable FROM g WHERE kind = 'dispose' GROUP BY 1)
+SELECT t.*, coalesce(n, 0) AS superficial, coalesce(denied, 0)::DOUBLE AS denied FROM t LEFT JOIN denied USING (tax_year)""")
 def a03(spark, sf_dir):
-    gain = F.col("gain")
-    return disposals(spark, sf_dir).groupBy("tax_year").agg(
+    gain, sold = F.col("gain"), stored_disposals(spark, sf_dir)
+    totals = sold.groupBy("tax_year").agg(
         F.round(money(F.sum(F.when(gain > 0, gain).otherwise(0))), 2).alias("total_gains"), F.round(money(F.sum(F.when(gain < 0, -gain).otherwise(0))), 2).alias("total_losses"),
         F.round(money(F.sum("gain")), 2).alias("net"), F.round(money(F.sum("gain")) / 2, 2).alias("taxable"),
     )
+    denied = superficial(spark, sf_dir, sold).groupBy("tax_year").agg(F.count("*").alias("superficial"), money(F.sum("denied")).alias("denied"))
+    return totals.join(denied, "tax_year", "left").withColumns({"superficial": F.coalesce("superficial", F.lit(0)), "denied": F.coalesce("denied", F.lit(0.0))})
 
 
-def superficial(spark, sf_dir) -> DataFrame:
-    """Losses with what was bought of the same token within 30 days before or after, and the part denied."""
-    losses = disposals(spark, sf_dir).filter("gain < 0").withColumn("row", F.monotonically_increasing_id()).select("row", *KEYS, "ts_s", "ts", "a", "b", "c", "units", "value", "gain")
+@query("r01_capital_gains_report", f"""WITH RECURSIVE {SUPERFICIAL} SELECT strftime(g.ts, '%Y-%m-%d') AS disposal_date, g.user_id, g.token, g.a, g.b, g.c, g.units::DOUBLE AS units, g.value::DOUBLE AS proceeds, (g.used / 1e8)::DOUBLE AS acb_used, g.fee::DOUBLE AS fees, (g.gain / 1e8)::DOUBLE AS gain,
+ sd.rn IS NOT NULL AS is_superficial, (sd.denied100 / 100)::DOUBLE AS denied, g.review OR sd.rn IS NOT NULL AS needs_review FROM g LEFT JOIN sd ON sd.user_id = g.user_id AND sd.token = g.token AND sd.rn = g.rn WHERE g.kind = 'dispose'""")
+def r01(spark, sf_dir):
+    """Every disposal with what of its loss is denied; a superficial one needs a review."""
+    sold = stored_disposals(spark, sf_dir)
     buys = ledger(spark, sf_dir).filter("kind = 'acquire'").select(*KEYS, F.col("ts_s").alias("buy_s"), F.col("units").alias("bought"))
-    near = range_join(losses, buys, KEYS, "ts_s", "buy_s", -_MONTH, _MONTH)
-    hit = near.groupBy(*losses.columns).agg(F.sum("bought").alias("rebought"))
-    ratio = F.round(F.least(F.col("rebought").cast("decimal(24,8)"), F.col("units").cast("decimal(24,8)")) / F.col("units").cast("decimal(24,8)"), 8).cast("decimal(10,8)")
-    return hit.withColumn("ratio", ratio).withColumn("denied", F.round(F.abs("gain").cast("decimal(24,8)") * F.col("ratio"), 2).cast("decimal(24,2)"))
-
-
-SUPERFICIAL = f"""{FOLD},
-s AS (SELECT l.user_id, l.token, l.rn, l.ts, l.ts_s, l.a, l.b, l.c, l.units, l.value, l.u, l.gain, sum(r.u) AS ru, sum(r.units) AS rebought FROM g l JOIN ledger_buys r ON r.user_id = l.user_id AND r.token = l.token AND r.ts_s BETWEEN l.ts_s - {_MONTH} AND l.ts_s + {_MONTH} WHERE l.kind = 'dispose' AND l.gain < 0 GROUP BY ALL),
-sl AS (SELECT *, (2 * least(ru, u) * {_E8} + u) // (2 * u) AS ratio8 FROM s),
-sd AS (SELECT *, (2 * (-gain) * ratio8 + 100000000000000::HUGEINT) // (2 * 100000000000000::HUGEINT) AS denied100 FROM sl)""".replace("e AS (SELECT *", "ledger_buys AS (SELECT user_id, token, ts_s, units, (units * 100)::HUGEINT * 1000000 AS u FROM ledger WHERE kind = 'acquire'),\ne AS (SELECT *", 1)
+    losses = denied_losses(sold.filter("gain < 0"), buys, KEYS).withColumn("denied", F.when(F.col("rebought") > 0, F.col("denied")))
+    rows = losses.select(*sold.columns, "denied").unionByName(sold.filter("gain >= 0").withColumn("denied", F.lit(None).cast("decimal(24,2)")))
+    flag = F.col("denied").isNotNull()
+    return rows.select(
+        F.date_format("ts", "yyyy-MM-dd").alias("disposal_date"), *KEYS, "a", "b", "c", money("units").alias("units"), money("value").alias("proceeds"), money("cost_used").alias("acb_used"), money("fee").alias("fees"), money("gain").alias("gain"),
+        flag.alias("is_superficial"), money("denied").alias("denied"), (F.col("needs_review") | flag).alias("needs_review"),
+    )
 
 
 @query("k15_superficial_losses", f"WITH RECURSIVE {SUPERFICIAL} SELECT user_id, token, ts, a, b, c, (gain / 1e8)::DOUBLE AS gain, rebought::DOUBLE AS rebought, (ratio8 / 1e8)::DOUBLE AS ratio, (denied100 / 100)::DOUBLE AS denied FROM sd")
