@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
         return there.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if not own:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError(f"set {KEY} to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")
@@ -27,7 +29,7 @@ class Scratch:
     """Written tables of one run of an operator, dropped one by one as they go out of use."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.count = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.count, self.kept = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0, []
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write df and return the DataFrame that reads it back."""
@@ -36,15 +38,27 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._scratch_path = path
+        self.kept.append(path)
         return back
 
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Delete all tables saved so far but these."""
+        stay = {getattr(df, "_scratch_path", None) for df in tables}
+        for path in self.kept:
+            if path not in stay:
+                self._delete(path)
+        self.kept = [p for p in self.kept if p in stay]
+
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Delete tables that no later plan reads."""
         for df in tables:
             path = getattr(df, "_scratch_path", None)
             if path:
-                p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+                self._delete(path)
 
 
 #: Bytes that a written table may have on disk to be broadcast.
