@@ -202,13 +202,15 @@ def pivots(entries: DataFrame, most: int) -> DataFrame:
 
 
 def entries_of(live: DataFrame, scratch: Scratch) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
-    """live: uid, node, keys, hot. (key, node, first) of each class in each key that another class has, too; first is the key's smallest class."""
-    rep = scratch.save(live.groupBy("node").agg(F.min("uid").alias("uid")).select("uid"), "reps")
-    one = live.join(bounded(rep), "uid", "left_semi")
-    in_key = Window.partitionBy("key").orderBy("node")
-    cold = one.select("node", F.explode("keys").alias("key"))
-    cold = cold.select("key", "node", F.first("node").over(in_key.rowsBetween(Window.unboundedPreceding, 0)).alias("first"), F.lead("node").over(in_key).alias("after"))
-    cold = scratch.save(cold.filter("first <> node or after is not null").select("key", "node", "first"), "entries")
+    """live: uid, node, keys, hot. (key, node, first) of each class in each key that another class has, too; first is one class of the key."""
+    rep = scratch.save(live.groupBy("node").agg(F.min("uid").alias("uid")), "reps")
+    one = live.join(bounded(rep.select("uid"), rep), "uid", "left_semi")
+    in_key = Window.partitionBy("key").orderBy("uid")  # the small number of a class's row goes through the exchange, not its random name
+    cold = one.select("uid", F.explode("keys").alias("key"))
+    cold = cold.select("key", "uid", F.first("uid").over(in_key.rowsBetween(Window.unboundedPreceding, 0)).alias("lead"), F.lead("uid").over(in_key).alias("after"))
+    cold = cold.filter("lead <> uid or after is not null").select("key", "uid", "lead").join(bounded(rep), "uid")
+    cold = cold.join(bounded(rep.select(F.col("uid").alias("lead"), F.col("node").alias("first")), rep), "lead")
+    cold = scratch.save(cold.select("key", "node", "first"), "entries")
     # the few keys known to be frequent are summed up where they are and their entries stay where they are
     hot = one.filter("size(hot) > 0").select("node", F.explode("hot").alias("key"))
     least = scratch.save(hot.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")), "least")  # LATE rows at most
@@ -323,6 +325,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "dedup")
     th, root = fresh(docs, "near_th"), fresh(docs, "near_root")
     groups = scratch.save(grouped(docs, scratch).withColumnsRenamed({"th": th, "root": root}), "groups")
+    scratch.keep_only(groups)
     gone = scratch.save(groups.filter("doc_id <> component_id").select("doc_id", th).distinct(), "gone")
     kept = docs.withColumn(th, F.xxhash64("text")).join(bounded(gone), ["doc_id", th], "left_anti")
     first = groups.filter("doc_id = component_id and n_shingles > 0")
