@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import accounting, aggregates, chain, costbasis, domain, filters, lookups, streams, verification  # noqa: F401
+from . import accounting, aggregates, chain, costbasis, domain, filters, imports, lookups, reports, streams, verification  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

@@ -125,3 +125,8 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
     line = (first[0] if first else "").lstrip("﻿")
     raw = spark.read.csv(path, header=True, sep=delimiter_of(line), mode="PERMISSIVE", encoding="UTF-8")
     return unify(raw.toDF(*(c.lstrip("﻿").strip() for c in raw.columns)))
+
+
+def import_errors(unified: DataFrame, row_ref: Column) -> DataFrame:
+    """A line for each problem of each row: row_ref, problem, exchange, raw_data."""
+    return unified.select(row_ref.alias("row_ref"), F.explode("violations").alias("problem"), "exchange", "raw_data")
