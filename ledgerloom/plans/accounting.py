@@ -2,27 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..adapters import EXCHANGE, LEDGER, ONCHAIN, exchange, ledger, onchain
-from ..operators.joins import latest
-from ..operators.pricing import tiered
 from .costbasis import FOLD, disposals, money
 from .domain import CALLS, calls
 from .registry import query
 
 # -- categories ---------------------------------------------------------------
-OWN = ("bob.near", "wrap.near")  # accounts that the stand-in data calls owned
+OWN = ("bob.near",)  # accounts that the stand-in data calls owned
 
 
-@query("c15_ordered_categorizer", f"""WITH {CALLS}, t AS (SELECT *, coalesce(counterparty IN ('bob.near', 'wrap.near'), false) AS own FROM calls)
+@query("c15_ordered_categorizer", f"""WITH {CALLS}, t AS (SELECT *, coalesce(counterparty IN ('bob.near'), false) AS own FROM calls)
 SELECT id, CASE WHEN own THEN 'internal' WHEN length(counterparty) = 64 AND regexp_matches(counterparty, '^[0-9a-f]') THEN 'internal'
  WHEN action_type = 'TRANSFER' AND direction = 'in' AND counterparty LIKE '%.cdao.near' THEN 'dao_withdrawal'
+ WHEN counterparty = 'wrap.near' AND direction = 'out' AND coalesce(method_name, 'near_deposit') = 'near_deposit' AND amount > 0 THEN 'defi_deposit'
  WHEN counterparty = 'meta-pool.near' AND direction = 'out' AND amount > 0 THEN 'staking_deposit' WHEN counterparty LIKE '%.pool%' AND direction = 'out' AND amount > 0 THEN 'staking_deposit'
  WHEN counterparty LIKE '%.pool%' AND direction = 'in' AND action_type = 'TRANSFER' AND amount > 0 THEN 'unstake_return' WHEN counterparty LIKE '%ref%finance%' AND amount > 0 THEN 'swap'
  WHEN counterparty LIKE '%burrow%' AND amount > 0 THEN CASE WHEN direction = 'out' THEN 'defi_deposit' ELSE 'defi_withdrawal' END
- WHEN direction = 'out' AND amount = 0 AND (counterparty LIKE '%burrow%' OR counterparty LIKE '%ref%' OR counterparty = 'meta-pool.near') THEN 'non_taxable'
+ WHEN direction = 'out' AND amount = 0 AND (counterparty LIKE '%burrow%' OR counterparty LIKE '%ref%' OR counterparty IN ('wrap.near', 'meta-pool.near')) THEN 'non_taxable'
  WHEN counterparty = 'system' AND direction = 'in' AND action_type = 'TRANSFER' THEN 'fee_refund' WHEN action_type IN ('ADD_KEY', 'DELETE_KEY', 'DEPLOY_CONTRACT') THEN 'non_taxable' END AS category FROM t""")
 def c15(spark, sf_dir):
     """The ladder of updates: own accounts and implicit ones overwrite, every later step fills what is still open.
@@ -177,25 +175,6 @@ def prc04(spark, sf_dir):
     return _daily(spark, sf_dir).withColumn("cad", F.round("cad", 4))
 
 
-@query("prc06_tiered_value", f"""WITH {DAILY}, mn AS (SELECT symbol, ts_s // 60 AS minute, max(round(value * 100)::BIGINT) / 100 AS price FROM onchain WHERE event_type = 'view' GROUP BY 1, 2),
-t AS (SELECT id, {_SYM} AS s, value, k, ts_s // 60 AS minute, date_diff('day', DATE '1970-01-01', ts::DATE) AS day FROM onchain), c AS (SELECT *, {_COIN} AS coin FROM t),
-j AS (SELECT c.*, dc.cad, mn.price FROM c LEFT JOIN dc USING (coin, day) LEFT JOIN mn ON mn.minute = c.minute AND CASE mn.symbol WHEN 'NEAR' THEN 'near' ELSE 'ethereum' END = c.coin)
-SELECT id, CASE WHEN k % 10 = 0 THEN 'own' WHEN k % 10 = 1 THEN 'staking' WHEN k % 10 = 2 THEN 'lockup' WHEN s IN ('CAD', 'USD') THEN 'fiat' WHEN value > 100 AND price IS NOT NULL THEN 'minute_large' WHEN cad IS NOT NULL THEN 'daily' WHEN price IS NOT NULL THEN 'minute' END AS tier,
- round((CASE WHEN k % 10 < 3 THEN value * (k % 10 + 1) WHEN s IN ('CAD', 'USD') THEN 1 WHEN value > 100 AND price IS NOT NULL THEN price ELSE coalesce(cad, price) END)::DOUBLE, 4) AS fmv FROM j""")
-def prc06(spark, sf_dir):
-    """A movement's own value, a staking or a lockup event's, 1 for fiat money, the minute's price if large, the day's, else the minute's."""
-    t = onchain(spark, sf_dir).withColumns({"symbol": _symbol(F.col("id")), "minute": F.floor(F.col("ts_s") / 60), "day": F.unix_date(F.to_date("ts"))}).withColumn("coin", coin_id(F.col("symbol")))
-    seen = onchain(spark, sf_dir).filter("event_type = 'view'").select(coin_id(F.col("symbol")).alias("coin"), F.floor(F.col("ts_s") / 60).alias("minute"), F.round(F.col("value") * 100).cast("long").alias("cents"))
-    minutes = seen.groupBy("coin", "minute").agg((F.max("cents") / 100).alias("price"))
-    j = t.join(_daily(spark, sf_dir).select("coin", "day", "cad"), ["coin", "day"], "left").join(minutes, ["coin", "minute"], "left")
-    k, v = F.col("k") % 10, F.col("value")
-    fmv, tier = tiered(
-        ("own", F.when(k == 0, v)), ("staking", F.when(k == 1, v * 2)), ("lockup", F.when(k == 2, v * 3)), ("fiat", F.when(F.col("symbol").isin("CAD", "USD"), F.lit(1.0))),
-        ("minute_large", F.when(v > 100, F.col("price"))), ("daily", F.col("cad")), ("minute", F.col("price")),
-    )
-    return j.select("id", tier.alias("tier"), F.round(fmv, 4).alias("fmv"))
-
-
 # -- journals -----------------------------------------------------------------
 # Account numbers and names.
 CASH, ASSETS, GAINS, INCOME = "1000", "1500", "4100", "4200"

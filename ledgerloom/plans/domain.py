@@ -10,7 +10,7 @@ from ..operators import rule_catalogue as catalogue
 from ..operators.decode import SPAM_FROM, kind_of, legs, path_tokens, selector_of, spam_score
 from ..operators.joins import asof_join, latest, range_join
 from ..operators.matching import candidates, greedy, runs
-from ..operators.pricing import minute_prices, tiered, two_sources, with_rate
+from ..operators.pricing import minute_prices, two_sources, with_rate
 from ..operators.rules import classify
 from ..operators.upsert import upsert
 from .registry import query
@@ -127,13 +127,6 @@ def c19(spark, sf_dir):
     return upsert(old, new, ["id"], "version", guard="confirmed").select("id", "category")
 
 
-@query("snk11_upserts", f"WITH {EXCHANGE} SELECT id, CASE WHEN id % 7 = 0 THEN 2 ELSE 1 END AS last_wins, 1 AS first_wins FROM exchange")
-def snk11(spark, sf_dir):
-    e = exchange(spark, sf_dir).select("id")
-    old, new = e.withColumn("v", F.lit(1)), e.filter("id % 7 = 0").withColumn("v", F.lit(2))
-    return upsert(old, new, ["id"], "v").select("id", F.col("v").alias("last_wins")).join(upsert(old, new, ["id"], "v", mode="first").select("id", F.col("v").alias("first_wins")), "id")
-
-
 # -- joins in time, prices ---------------------------------------------------
 @query("j05_first_after", f"WITH {ONCHAIN} SELECT l.id, coalesce(min(r.ts_s), -1) AS next_s FROM onchain l LEFT JOIN onchain r ON r.user_id = l.user_id AND r.event_type = 'purchase' AND r.ts_s > l.ts_s WHERE l.event_type = 'view' GROUP BY 1")
 def j05(spark, sf_dir):
@@ -142,18 +135,6 @@ def j05(spark, sf_dir):
     return asof_join(t.filter("event_type = 'view'").select("id", "user_id", "ts_s"), right, ["user_id"], "ts_s", "next_s", ["one"], "forward", exact=False).select("id", F.coalesce("next_s", F.lit(-1).cast("long")).alias("next_s"))
 
 
-@query("j06_hash_then_tolerance", f"""WITH {LEDGER}, {ONCHAIN}, s AS (SELECT id, user_id, ts_s, value FROM onchain WHERE event_type = 'click'), t AS (SELECT id, user_id, ts_s FROM onchain WHERE event_type = 'purchase')
- SELECT t.id, coalesce(max(CASE WHEN s.id = t.id + 1 THEN s.id END), min_by(s.id, (s.ts_s, s.id)) FILTER (abs(s.ts_s - t.ts_s) <= 3600)) AS linked FROM t LEFT JOIN s ON s.user_id = t.user_id AND (abs(s.ts_s - t.ts_s) <= 3600 OR s.id = t.id + 1) GROUP BY 1""")
-def j06(spark, sf_dir):
-    """By identity first, else the earliest within an hour."""
-    o = onchain(spark, sf_dir)
-    tx = o.filter("event_type = 'purchase'").select("id", "user_id", "ts_s")
-    events = o.filter("event_type = 'click'").select("user_id", F.col("ts_s").alias("event_s"), F.col("id").alias("event_id"))
-    same = tx.join(events.select("user_id", (F.col("event_id") - 1).alias("id"), F.col("event_id").alias("exact")), ["user_id", "id"], "left").select("id", "user_id", "ts_s", "exact")
-    near = range_join(same.filter("exact is null").select("id", "user_id", "ts_s"), events, ["user_id"], "ts_s", "event_s", -3600, 3600).groupBy("id").agg(F.min_by("event_id", F.struct("event_s", "event_id")).alias("near"))
-    return same.join(near, "id", "left").select("id", F.coalesce("exact", "near").alias("linked"))
-
-
 def _sides(spark, sf_dir, *keys):
     t = onchain(spark, sf_dir).withColumn("cents", F.round(F.col("value") * 100))
     side = lambda d, n: t.filter(F.col("direction") == d).select(*keys, "symbol", F.col("id").alias(f"{n}_id"), F.col("chain").alias(f"{n}_chain"), F.col("ts_s").alias(f"{n}_ts"), F.col("cents").alias(f"{n}_amount"))
@@ -278,11 +259,6 @@ def v05(spark, sf_dir):
     return ledger(spark, sf_dir).groupBy("a", "b", "c").agg((F.count("*") - 1).alias("extra")).filter("extra > 0")
 
 
-@query("v11_coverage", "SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49.5 AND l_linenumber = 7 AND l_returnflag = 'R')")
-def v11(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").select("s_suppkey").join(table(spark, sf_dir, "lineitem").filter("l_quantity > 49.5 and l_linenumber = 7 and l_returnflag = 'R'").select(F.col("l_suppkey").alias("s_suppkey")), "s_suppkey", "left_anti")
-
-
 # -- reports and sinks -------------------------------------------------------
 @query("r03_ledger_report", f"WITH {EXCHANGE}, {ONCHAIN} SELECT strftime(ts, '%Y-%m-%d') AS day, 'chain' AS source, user_id, id AS ref, round(value, 4) AS amount FROM onchain UNION ALL SELECT strftime(ts, '%Y-%m-%d'), exchange, user_id, id, quantity::DOUBLE FROM exchange")
 def r03(spark, sf_dir):

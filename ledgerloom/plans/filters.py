@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..adapters import CATEGORIES, EXCHANGE, LEDGER, ONCHAIN, exchange, ledger, onchain, table
 from ..functions.scalars import fmt_cad, fmt_units, round_down, to_epoch_seconds, to_human_units
-from ..operators.filters import all_of, fiscal_year_range, is_implicit_account, looks_like_spam
+from ..operators.filters import all_of, fiscal_year_range, is_implicit_account
 from .registry import query
 
 

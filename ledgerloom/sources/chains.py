@@ -79,3 +79,74 @@ def lockup_events(txs: DataFrame) -> DataFrame:
     known = F.create_map(*(F.lit(x) for kv in LOCKUP_EVENTS.items() for x in kv))
     events = F.filter(F.transform("methods", lambda m: F.element_at(known, m)), lambda e: e.isNotNull())
     return txs.withColumn("event", F.try_element_at(events, F.lit(-1))).filter("event is not null")
+
+# Kinds of messages of a Cosmos transaction, by what their type holds, and its native coin.
+COSMOS_COIN, COSMOS_DENOM = "AKT", "uakt"
+#: Methods of a vote contract that lock.
+LOCK_METHODS = ("claim_and_lock", "bond_mpdao")
+UNLOCK_METHODS = ("claim_unlocked_mpdao", "delegated_claim_unlocked_mpdao")
+
+_MESSAGE = "struct<`@type` string, from_address string, to_address string, delegator_address string, owner string, id struct<owner string>, amount string>"
+_COSMOS = f"txhash string, code long, timestamp string, height string, tx struct<body struct<messages array<{_MESSAGE}>>, auth_info struct<fee struct<amount array<struct<amount string, denom string>>>>>"
+
+
+def cosmos_rows(responses: DataFrame, address: str) -> DataFrame:
+    """responses: a column value of JSON. tx_hash, timestamp, action_type (in, out, self), token_id, amount, fee and tx_type of the transactions that went through.
+
+    The first message of a known kind speaks; without one the last message gives the type alone."""
+    t = responses.select(F.from_json("value", _COSMOS).alias("t")).select("t.*").filter((F.coalesce("txhash", F.lit("")) != "") & (F.coalesce("code", F.lit(0)) == 0))
+    kinds = ("MsgSend", "MsgDelegate", "MsgUndelegate", "MsgWithdrawDelegatorReward", "MsgCreateDeployment", "MsgCloseDeployment")
+    messages = F.coalesce("tx.body.messages", F.array().cast(f"array<{_MESSAGE}>"))
+    known = F.get(F.filter(messages, lambda m: F.coalesce(m["@type"], F.lit("")).rlike("|".join(kinds))), F.lit(0))
+    t = t.select("txhash", "timestamp", F.get("tx.auth_info.fee.amount", F.lit(0))["amount"].alias("fee"), F.coalesce(known, F.try_element_at(messages, F.lit(-1))).alias("m"), known.isNotNull().alias("k"))
+    kind, me = F.coalesce("m.@type", F.lit("")), address.lower()
+    coins = F.get(F.from_json("m.amount", "array<struct<amount string, denom string>>"), F.lit(0))
+    one = F.from_json("m.amount", "struct<amount string>")
+    is_ = lambda c: F.coalesce(F.lower(c) == me, F.lit(False))
+    send, stake, unstake = kind.contains("MsgSend"), kind.contains("MsgDelegate"), kind.contains("MsgUndelegate")
+    side = F.when(send, F.when(is_("m.from_address"), "out").when(is_("m.to_address"), "in"))
+    side = side.when(stake & is_("m.delegator_address"), "out").when(unstake & is_("m.delegator_address"), "in").when(kind.contains("MsgWithdrawDelegatorReward") & is_("m.delegator_address"), "in")
+    side = side.when(kind.rlike("MsgCreateDeployment|MsgCloseDeployment") & is_(F.coalesce(F.nullif("m.owner", F.lit("")), "m.id.owner")), "out")
+    amount = F.when(send, coins["amount"]).when(stake | unstake, one["amount"])
+    token = F.when(send & (coins["denom"] != COSMOS_DENOM), coins["denom"]).otherwise(COSMOS_COIN)
+    return t.select(
+        F.col("txhash").alias("tx_hash"), "timestamp", F.coalesce(F.when(F.col("k"), side), F.lit("self")).alias("action_type"), token.alias("token_id"), F.coalesce(amount, F.lit("0")).alias("amount"), F.coalesce("fee", F.lit("0")).alias("fee"),
+        F.when(kind == "", "unknown").otherwise(F.element_at(F.split(kind, r"\."), -1)).alias("tx_type"),
+    )
+
+
+_TRANSFER = "hash string, `from` string, `to` string, value double, asset string, category string, blockNum string, rawContract struct<value string>, metadata struct<blockTimestamp string>"
+
+
+def transfer_rows(transfers: DataFrame, receipts: DataFrame, wallet: str) -> DataFrame:
+    """transfers, receipts: a column value of JSON each. The transfers of a wallet, and a row of action GAS_FEE for each hash that it sent and that has a receipt.
+
+    A transfer of nothing is left out unless it is of a token; the fee is gas used times the effective price, else the plain one."""
+    me = wallet.lower()
+    number = lambda c: hex_number(F.when(F.lower(c).rlike("^0x[0-9a-f]{1,16}$"), c))
+    t = transfers.select(F.from_json("value", _TRANSFER).alias("t")).select("t.*").withColumns({"sender": F.lower("from"), "to_": F.lower("to")})
+    t = t.withColumn("direction", F.when(F.col("sender") == me, "out").when(F.col("to_") == me, "in")).filter("direction is not null")
+    kind = F.coalesce("category", F.lit("external"))
+    amount = F.coalesce("value", number(F.col("rawContract.value")).cast("double") / 1e18, F.lit(0.0))
+    action = F.when(kind == "internal", "INTERNAL_TRANSFER").when(kind == "erc20", "FT_TRANSFER").otherwise("TRANSFER")
+    found = t.select(
+        F.col("hash").alias("tx_hash"), number(F.col("blockNum")).cast("long").alias("block"), "direction", F.when(F.col("direction") == "out", F.col("to_")).otherwise(F.col("sender")).alias("counterparty"), amount.alias("amount"),
+        F.coalesce("asset", F.lit("ETH")).alias("asset"), action.alias("action_type"), kind.alias("category"),
+    ).filter("amount <> 0 or category = 'erc20'")
+    sent = t.filter("direction = 'out'").groupBy(F.col("hash").alias("tx_hash")).agg(F.max(number(F.col("blockNum")).cast("long")).alias("block"))
+    r = receipts.select(F.from_json("value", "transactionHash string, gasUsed string, effectiveGasPrice string, gasPrice string").alias("r")).select("r.*")
+    fee = number(F.col("gasUsed")).cast("double") * number(F.coalesce(F.nullif("effectiveGasPrice", F.lit("")), "gasPrice")).cast("double") / 1e18
+    paid = sent.join(r.select(F.col("transactionHash").alias("tx_hash"), fee.alias("amount")), "tx_hash").filter("amount > 0")
+    text = lambda x: F.lit(x).cast("string")
+    fees = paid.select("tx_hash", "block", F.lit("out").alias("direction"), text(None).alias("counterparty"), "amount", F.lit("ETH").alias("asset"), F.lit("GAS_FEE").alias("action_type"), F.lit("fee").alias("category"))
+    return found.unionByName(fees)
+
+
+def lock_rows(txs: DataFrame, contract: str = "mpdao-vote.near") -> DataFrame:
+    """txs: a column value of JSON. tx_hash, account_id, action (lock, unlock) and amount in whole tokens of each such call that an account made and that went through."""
+    schema = "transaction_hash string, receiver_account_id string, predecessor_account_id string, outcomes struct<status boolean>, actions array<struct<method string, args string>>"
+    t = txs.select(F.from_json("value", schema).alias("t")).select("t.*").filter((F.col("receiver_account_id") == contract) & F.coalesce("outcomes.status", F.lit(False)))
+    a = t.select("transaction_hash", "predecessor_account_id", F.explode("actions").alias("a"))
+    amount = F.coalesce(F.get_json_object("a.args", "$.amount").try_cast("decimal(38,0)"), F.lit(0))
+    lock, unlock = F.col("a.method").isin(*LOCK_METHODS) & (amount > 0), F.col("a.method").isin(*UNLOCK_METHODS)
+    return a.select(F.col("transaction_hash").alias("tx_hash"), F.col("predecessor_account_id").alias("account_id"), F.when(lock, "lock").when(unlock, "unlock").alias("action"), F.when(lock, (amount / 1000000).cast("decimal(38,6)")).alias("amount")).filter("action is not null")
