@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,48 +30,42 @@ class Rule:
     selector: str | None = None
     own: bool | None = None
 
-    def test(self, low=lambda name: F.lower(F.coalesce(F.col(name), F.lit(""))), action: Column | None = None) -> Column:
-        """low gives a field in lower case, action is action_type in upper case; both with "" for null."""
-        c, tests = F.col, []
+    def condition(self, low: Callable[[str], str] = lambda c: f"lower(coalesce({c}, ''))", action: str = "upper(coalesce(action_type, ''))") -> str:
+        """The rule as SQL text. low gives a field in lower case, action is action_type in upper case; both with '' for null."""
+        tests, party = [], low("counterparty")
         if self.chain != "all":
-            tests.append(c("chain") == self.chain)
+            tests.append(f"chain = {quoted(self.chain)}")
         if self.action:
-            upper = F.upper(F.coalesce(c("action_type"), F.lit(""))) if action is None else action
-            tests.append(upper.isin(*(a.upper() for a in self.action)))
-        if self.method:
-            tests.append(low("method_name").isin(*(m.lower() for m in self.method)))
-        if self.tx_type:
-            tests.append(low("tx_type").isin(*(t.lower() for t in self.tx_type)))
+            tests.append(f"{action} IN ({', '.join(quoted(a.upper()) for a in self.action)})")
+        for field, names in (("method_name", self.method), ("tx_type", self.tx_type), ("counterparty", self.among)):
+            if names:
+                tests.append(f"{low(field)} IN ({', '.join(quoted(x.lower()) for x in names)})")
         if self.direction:
-            tests.append(F.coalesce(c("direction") == self.direction, F.lit(False)))
-        for s in (self.suffix,):
-            if s:
-                tests.append(_any(low("counterparty").endswith(x.lower()) for x in s))
-        if self.among:
-            tests.append(low("counterparty").isin(*(x.lower() for x in self.among)))
+            tests.append(f"direction = {quoted(self.direction)}")
+        if self.suffix:
+            tests.append("(" + " OR ".join(f"endswith({party}, {quoted(x.lower())})" for x in self.suffix) + ")")
         if self.exact is not None:
-            tests.append(low("counterparty") == self.exact.lower())
+            tests.append(f"{party} = {quoted(self.exact.lower())}")
         if self.contains:
-            tests.append(low("counterparty").contains(self.contains.lower()))
+            tests.append(f"contains({party}, {quoted(self.contains.lower())})")
         if self.amount_above is not None:
-            tests.append(F.coalesce(c("amount") > self.amount_above, F.lit(False)))
+            tests.append(f"amount > {self.amount_above}")
         if self.selector == "":
-            tests.append(low("selector").isin("", "0x"))
+            tests.append(f"{low('selector')} IN ('', '0x')")
         elif self.selector:
-            tests.append(low("selector") == self.selector.lower())
+            tests.append(f"{low('selector')} = {quoted(self.selector.lower())}")
         if self.own is not None:
-            tests.append(F.coalesce(c("is_own") == self.own, F.lit(False)))
-        out = F.lit(True)
-        for t in tests:
-            out = out & t
-        return out
+            tests.append("is_own" if self.own else "NOT is_own")
+        return " AND ".join(tests) or "true"
 
 
-def _any(tests) -> Column:
-    out = F.lit(False)
-    for t in tests:
-        out = out | t
-    return out
+def quoted(text: str) -> str:
+    """A literal of SQL text."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def ranked(rules: list[Rule]) -> list[Rule]:
+    return sorted(rules, key=lambda r: -r.priority)
 
 
 REVIEW_BELOW, FALLBACK_BELOW = 0.90, 0.70
@@ -78,12 +73,10 @@ REVIEW_BELOW, FALLBACK_BELOW = 0.90, 0.70
 
 def classify(rules: list[Rule]) -> Column:
     """A struct of rule, category and confidence; without a rule: unknown, 0.30."""
-    case = None
-    for r in sorted(rules, key=lambda r: -r.priority):
-        hit = F.struct(F.lit(r.name).alias("rule"), F.lit(r.category).alias("category"), F.lit(r.confidence).alias("confidence"))
-        case = F.when(r.test(), hit) if case is None else case.when(r.test(), hit)
-    none = F.struct(F.lit(None).cast("string").alias("rule"), F.lit("unknown").alias("category"), F.lit(0.3).alias("confidence"))
-    return none if case is None else case.otherwise(none)
+    found = lambda name, category, sure: f"named_struct('rule', {name}, 'category', {quoted(category)}, 'confidence', {sure}D)"
+    cases = " ".join(f"WHEN {r.condition()} THEN {found(quoted(r.name), r.category, r.confidence)}" for r in ranked(rules))
+    none = found("CAST(NULL AS STRING)", "unknown", 0.3)
+    return F.expr(f"CASE {cases} ELSE {none} END" if cases else none)
 
 
 _TEXTS = ("method_name", "tx_type", "counterparty", "selector")
@@ -93,16 +86,9 @@ def match(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     """rows with rule, category and confidence of the first rule that fits, null where none does.
 
     Texts are folded once, the rules are one CASE that gives a number, and that is looked up in the table of the rules."""
-    ranked = sorted(rules, key=lambda r: -r.priority)
+    order = ranked(rules)
     folded = rows.withColumns({f"__{n}": F.lower(F.coalesce(F.col(n), F.lit(""))) for n in _TEXTS} | {"__action": F.upper(F.coalesce(F.col("action_type"), F.lit("")))})
-    number = None
-    for i, r in enumerate(ranked):
-        hit = r.test(lambda n: F.col(f"__{n}"), F.col("__action"))
-        number = F.when(hit, i) if number is None else number.when(hit, i)
-    known = rows.sparkSession.createDataFrame([(i, r.name, r.category, r.confidence) for i, r in enumerate(ranked)], "__i int, rule string, category string, confidence double")
-    folded = folded.withColumn("__i", F.lit(None).cast("int") if number is None else number).drop(*(f"__{n}" for n in _TEXTS), "__action")
+    cases = " ".join(f"WHEN {r.condition(lambda c: f'__{c}', '__action')} THEN {i}" for i, r in enumerate(order))
+    known = rows.sparkSession.createDataFrame([(i, r.name, r.category, r.confidence) for i, r in enumerate(order)], "__i int, rule string, category string, confidence double")
+    folded = folded.withColumn("__i", F.expr(f"CASE {cases} END" if cases else "CAST(NULL AS INT)")).drop(*(f"__{n}" for n in _TEXTS), "__action")
     return folded.join(F.broadcast(known), "__i", "left").drop("__i")  # a row a rule
-
-
-def needs_review(confidence: Column) -> Column:
-    return confidence < REVIEW_BELOW

@@ -11,7 +11,7 @@ from ..operators.decode import SPAM_FROM, kind_of, legs, path_tokens, selector_o
 from ..operators.joins import asof_join, latest, range_join
 from ..operators.matching import candidates, greedy, runs
 from ..operators.pricing import minute_prices, two_sources, with_rate
-from ..operators.rules import classify
+from ..operators.rules import match
 from ..operators.upsert import upsert
 from .registry import query
 
@@ -56,8 +56,9 @@ _CONFIDENCE = f"map {{{', '.join(repr(r.name) + ': ' + str(r.confidence) + '::DO
 
 @query("c02_rule_match", f"WITH {CALLS}, m AS (SELECT id, {_CASE} AS rule FROM calls) SELECT id, rule, coalesce({_CATEGORY}[rule], 'unknown') AS category, coalesce({_CONFIDENCE}[rule], 0.3)::DOUBLE AS confidence, coalesce({_CONFIDENCE}[rule], 0.3) < 0.9 AS needs_review FROM m")
 def c02(spark, sf_dir):
-    t = calls(spark, sf_dir).withColumn("c", classify(catalogue.ALL))
-    return t.select("id", "c.rule", "c.category", F.col("c.confidence").cast("double").alias("confidence"), (F.col("c.confidence") < 0.9).alias("needs_review"))
+    t = match(calls(spark, sf_dir), catalogue.ALL)
+    sure = F.coalesce("confidence", F.lit(0.3))
+    return t.select("id", "rule", F.coalesce("category", F.lit("unknown")).alias("category"), sure.alias("confidence"), (sure < 0.9).alias("needs_review"))
 
 
 _KIND = "CASE " + " ".join(f"WHEN category IN ({', '.join(map(repr, cs))}) THEN '{k}'" for k, cs in catalogue.KINDS.items()) + " WHEN category IN ('spam', 'transfer', 'internal_transfer') THEN 'skip' WHEN category = 'trade' THEN CASE WHEN direction = 'out' THEN 'dispose' ELSE 'acquire' END WHEN category = 'fee' THEN 'dispose' ELSE 'none' END"
