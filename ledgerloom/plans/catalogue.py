@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import accounting, aggregates, chain, costbasis, domain, filters, imports, lookups, more, reports, streams, verification, views  # noqa: F401
+from . import accounting, aggregates, chain, costbasis, domain, filters, imports, lookups, more, payloads, reports, streams, verification, views  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
