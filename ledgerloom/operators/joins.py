@@ -56,11 +56,27 @@ def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_ts: str, ri
 
 
 def nearest_join(left: DataFrame, right: DataFrame, on: list[str], left_ts: str, right_ts: str, value: str, tolerance: int) -> DataFrame:
-    """left with value and right_ts of the right row nearest in time within tolerance; of two as near, the earlier. Equal left rows each keep theirs."""
-    key = "__row"
-    ranked = range_join(left.withColumn("__id", F.monotonically_increasing_id()).withColumn(key, F.struct(*left.columns)), right, on, left_ts, right_ts, -tolerance, tolerance)
-    best = ranked.groupBy("__id").agg(F.first(key).alias(key), F.min(F.struct(F.abs(F.col(right_ts) - F.col(left_ts)).alias("gap"), F.col(right_ts).alias("at"), F.col(value).alias("v"))).alias("b"))
-    return best.select(f"{key}.*", F.col("b.at").alias(right_ts), F.col("b.v").alias(value), F.col("b.gap").alias("gap"))
+    """left with value and right_ts of the right row nearest in time within tolerance; of two as near, the earlier. Equal left rows each keep theirs.
+
+    No pairs are formed: right rows are one a key and time, and both sides are put in order within slices of time of a key as long as the tolerance. A slice also
+    gets the last right row of the one before and the first of the one after; running last values in both directions give the two nearest. So a key with very many rows is many tasks."""
+    width = max(1, tolerance)
+    slice_of = lambda c: F.floor(c / width).cast("long")
+    there = lambda df, ts: df.filter(" and ".join(f"`{c}` is not null" for c in (*on, ts)))
+    least = F.when(F.count_if(F.col(value).isNull()) == 0, F.min(value))  # of equal times the least value, null first
+    one = there(right, right_ts).groupBy(*on, F.col(right_ts).alias("__at")).agg(least.alias("__v")).withColumn("__slice", slice_of(F.col("__at")))
+    ends = one.groupBy(*on, "__slice").agg(*(f(x).alias(n) for f, x, n in ((F.min, "__at", "__at0"), (F.max, "__at", "__at1"))), F.min_by("__v", "__at").alias("__v0"), F.max_by("__v", "__at").alias("__v1"))
+    edge = lambda i, shift: ends.select(*on, F.col(f"__at{i}").alias("__at"), F.col(f"__v{i}").alias("__v"), (F.col("__slice") + shift).alias("__slice"))
+    served = one.select(*on, "__at", "__v", "__slice").unionByName(edge(0, -1)).unionByName(edge(1, 1))
+    served = served.select(*on, "__slice", F.col("__at").alias("__t"), F.lit(0).alias("__side"), F.lit(None).alias("__l"), F.struct("__at", "__v").alias("__r"))
+    asked = there(left, left_ts).select(*on, slice_of(F.col(left_ts)).alias("__slice"), F.col(left_ts).alias("__t"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__l"), F.lit(None).alias("__r"))
+    part = Window.partitionBy(*on, "__slice")
+    upto = lambda *order: F.last("__r", ignorenulls=True).over(part.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = served.unionByName(asked).withColumns({"__before": upto("__t", "__side"), "__after": upto(F.desc("__t"), "__side")}).filter("__l is not null")
+    gap = lambda c: F.abs(F.col(f"{c}.__at") - F.col("__t"))
+    near = lambda c: F.when(gap(c) <= tolerance, F.struct(gap(c).alias("gap"), F.col(f"{c}.__at").alias("at"), F.col(f"{c}.__v").alias("v")))
+    best = rows.withColumn("__b", F.least(near("__before"), near("__after"))).filter("__b is not null")
+    return best.select("__l.*", F.col("__b.at").alias(right_ts), F.col("__b.v").alias(value), F.col("__b.gap").alias("gap"))
 
 
 def latest(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:

@@ -68,6 +68,24 @@ def test_time_joins(spark):
     assert rows(nearest_join(left, right, ["k"], "t", "rt", "v", 3)) == [("a", 10, 10, 1, 0), ("a", 20, 20, 4, 0), ("a", 20, 20, 4, 0)]
 
 
+def test_nearest_forms_no_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    right = [(rng.choice("ab"), rng.randrange(-40, 400), rng.choice((None, 1, 2, 3))) for _ in range(90)] + [(None, 5, 1), ("a", None, 1)]
+    left = [(i, rng.choice("abc"), rng.randrange(-60, 430)) for i in range(300)] + [(300, None, 5), (301, "a", None), (302, "a", 7), (302, "a", 7)]
+    out = nearest_join(spark.createDataFrame(left, "id int, k string, t long"), spark.createDataFrame(right, "k string, rt long, v int"), ["k"], "t", "rt", "v", 10)
+    want = []
+    for i, k, t in left:
+        near = [(abs(at - t), at, v is not None, v) for key, at, v in right if None not in (k, t, at) and key == k and abs(at - t) <= 10]
+        if near:
+            gap, at, _, v = min(near, key=lambda x: x[:3] + (x[3] or 0,))
+            want.append((i, k, t, at, v, gap))
+    got = [tuple(r) for r in out.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len({r[0] for r in got}) > 100
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_upsert_modes(spark):
     old = spark.createDataFrame([(1, "x", 1, True), (2, "y", 1, False)], "k int, v string, n int, sure boolean")
     new = spark.createDataFrame([(1, "z", 2, False), (2, "w", 2, False), (3, "q", 1, False)], old.schema)
