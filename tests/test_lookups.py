@@ -38,6 +38,19 @@ def test_rules_reach_all_users(spark):
     assert decode.spread_rules(moves, rules.limit(0)).count() == 0
 
 
+def test_spread_rules_do_not_deal_movements_by_value(spark):
+    moves = spark.range(50).selectExpr("id", "id as user_id", "'A.near' as counterparty", "'SCAM' as token")
+    rules = spark.range(40).selectExpr("id as rule_id", "if(id % 2 = 0, 'contract_address', 'token_symbol') as rule_type", "if(id % 2 = 0, 'a.near', 'sc') as value", "true as is_active")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = decode.spread_rules(moves, rules)
+        assert out.count() == 50 * 40
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
 def test_first_pool_of_a_pair(spark):
     rows = [(3, ["x", "w"], ["2", "10"]), (2, ["w", "x"], ["0", "5"]), (1, ["w", "x", "y"], ["1", "1", "1"]), (4, ["w", "x"], ["9", "1"]), (5, ["w", "y"], ["9"]), (6, ["y", "w"], ["n/a", "3"]), (7, ["y", "w"], ["4", "1"]), (8, ["w", "w"], ["1", "1"]), (9, ["x", "y"], ["1", "1"])]
     df = spark.createDataFrame(rows, "pool_id long, tokens array<string>, amounts array<string>")
@@ -90,6 +103,16 @@ def test_batches_are_committed_once(spark, tmp_path):
     assert again.filter("wallet_id = 1").count() == 100 and again.agg(F.min("block"), F.max("block")).first()[:] == (21, 120)
 
 
+def test_landings_are_written_by_all_tasks(spark, tmp_path):
+    from ledgerloom.plans.streams import landings
+
+    rows = spark.range(0, 900, 1, 3)
+    for i in landings(rows, str(tmp_path / "in"), [2, 0, 1], 3):
+        files = spark.read.parquet(str(tmp_path / "in")).selectExpr("input_file_name() as f", "pmod(hash(id), 3) as p").selectExpr("count(distinct f)", "count(distinct p)").first()
+        assert files[1] == {2: 1, 0: 2, 1: 3}[i] and files[0] == 3 * files[1]
+    assert spark.read.parquet(str(tmp_path / "in")).count() == 900
+
+
 def test_late_movements_are_put_in_place(spark, tmp_path):
     t = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
     schema = "user_id long, token string, ts timestamp, seq long, kind string, units double, value double, fee double"
