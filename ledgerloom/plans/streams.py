@@ -18,20 +18,19 @@ _MOVES = STAGES.split(",\nruled AS (")[0]
 SINCE = 1704585600 + 5 * 86400  # 12 January 2024: a block number is the second of its movement here
 
 
-def land(df, root: str, parts: list[int], of: int = 6, key: str = "id") -> None:
-    """A file for each part of the rows, by the hash of their key."""
+def landings(df, root: str, parts: list[int], of: int = 6, key: str = "id"):
+    """Lands the parts of the rows, by the hash of their key, one after the other; as many files as there are tasks."""
     for i in parts:
-        df.filter(F.pmod(F.hash(key), F.lit(of)) == i).coalesce(1).write.mode("append").parquet(root)
+        df.filter(F.pmod(F.hash(key), F.lit(of)) == i).write.mode("append").parquet(root)
+        yield i
 
 
 def _committed(spark, sf_dir) -> Commits:
-    """Movements land in files; two are streamed, the rest after a restart from the checkpoint, and one batch is written twice."""
+    """Movements land a sixth at a time; each is a batch, streamed after a restart from the checkpoint, and one batch is written twice."""
     scratch = Scratch(spark, "stream")
     t = movements(spark, sf_dir).filter("chain = 'exchange'").withColumns({"block": F.col("ts_s"), "method_name": F.lit(None).cast("string")}).drop("legs")
     nobody = t.select("user_id", F.lit("").alias("account")).limit(0)
     commits = Commits(f"{scratch.root}/table", lambda df: classify_stages(df, nobody, catalogue.EXCHANGE).select("user_id", "wallet_id", "id", "tx_hash", "block", "stage", "category", "confidence"))
-    stream = lambda: spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(f"{scratch.root}/landed")
-    land(t, f"{scratch.root}/landed", [0, 1])
     seen = []
 
     def write(batch, batch_id):
@@ -40,9 +39,8 @@ def _committed(spark, sf_dir) -> Commits:
             commits.write(batch, batch_id)  # as after a failure between the write and its log
         seen.append(batch_id)
 
-    run_now(stream(), f"{scratch.root}/checkpoint", write)
-    land(t, f"{scratch.root}/landed", [2, 3, 4, 5])
-    run_now(stream(), f"{scratch.root}/checkpoint", write)
+    for _ in landings(t, f"{scratch.root}/landed", [0, 1, 2, 3, 4, 5]):
+        run_now(spark.readStream.schema(t.schema).parquet(f"{scratch.root}/landed"), f"{scratch.root}/checkpoint", write)
     return commits
 
 
@@ -65,14 +63,14 @@ def st06(spark, sf_dir):
     moves = ledger(spark, sf_dir)
     # of equal times the ledger's order counts
     place = F.row_number().over(Window.partitionBy("user_id", "token", "ts").orderBy(*ORDER[1:]))
-    moves = moves.select("user_id", "token", "ts", place.cast("long").alias("seq"), "kind", "units", "value", "fee", "a")
-    land(moves, f"{scratch.root}/landed", [2, 0, 1], 3, "a")
+    moves = scratch.save(moves.select("user_id", "token", "ts", place.cast("long").alias("seq"), "kind", "units", "value", "fee", "a"))
     before = spark.conf.get(PROVIDER)
     spark.conf.set(PROVIDER, ROCKS)
     try:
-        stream = spark.readStream.schema(moves.schema).option("maxFilesPerTrigger", 1).parquet(f"{scratch.root}/landed")
         commits = Commits(f"{scratch.root}/table")
-        run_now(late_pools(stream, 20 * 366 * 86400), f"{scratch.root}/checkpoint", commits.write)
+        for _ in landings(moves, f"{scratch.root}/landed", [2, 0, 1], 3, "a"):
+            stream = spark.readStream.schema(moves.schema).parquet(f"{scratch.root}/landed")
+            run_now(late_pools(stream, 20 * 366 * 86400), f"{scratch.root}/checkpoint", commits.write)
     finally:
         spark.conf.set(PROVIDER, before)
     last = commits.read(spark).groupBy("user_id", "token").agg(F.max_by(F.struct("units_after", "cost_after", "gain", "too_late"), "batch").alias("s"))

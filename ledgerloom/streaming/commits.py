@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -50,19 +51,20 @@ class LatePools(StatefulProcessor):
 
     What is older than keep_seconds before the pool's latest movement is dropped, but for its last snapshot; a movement from before that is counted as too late."""
 
-    KIND = T.StructType([T.StructField(c, T.LongType()) for c in ("at", "seq")] + [T.StructField(c, T.StringType()) for c in ("kind", "units", "value", "fee", "held", "cost", "gain", "review")])
+    KIND = T.StructType([T.StructField("moves", T.StringType())])  # a list of (at, seq, kind, units, value, fee, held, cost, gain, review), as one JSON text: one state row a pool
 
     def __init__(self, keep_seconds: int):
         self.keep = keep_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.moves = handle.getListState("moves", self.KIND)
+        self.moves = handle.getValueState("moves", self.KIND)
         self.late = handle.getValueState("late", T.StructType([T.StructField("n", T.LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = [tuple(m) for m in self.moves.get()] if self.moves.exists() else []
-        late = self.late.get()[0] if self.late.exists() else 0
-        new = sorted(((int(m.at), int(m.seq), m.kind, m.units, m.value, m.fee) for df in rows for m in df.itertuples()), key=lambda m: m[:2])
+        kept = self.moves.get()
+        held = [tuple(m) for m in json.loads(kept[0])] if kept else []
+        late = before = (self.late.get() or (0,))[0]
+        new = sorted((m for df in rows for m in zip(df["at"].tolist(), df["seq"].tolist(), df["kind"], *(map(int, df[c]) for c in ("units", "value", "fee")), strict=True)), key=lambda m: m[:2])
         if held and held[0][2] == "base":  # older movements are gone
             late += sum(m[:2] <= held[0][:2] for m in new)
             new = [m for m in new if m[:2] > held[0][:2]]
@@ -71,21 +73,22 @@ class LatePools(StatefulProcessor):
             done, todo = held[:first], sorted([*(m[:6] for m in held[first:]), *new], key=lambda m: m[:2])
             pool, gain = Pool(), 0
             if done:
-                pool.units, pool.cost, gain = int(done[-1][6]), int(done[-1][7]), int(done[-1][8])
+                pool.units, pool.cost, gain = done[-1][6:9]
             for at, seq, kind, units, value, fee in todo:
-                got, review = pool.step(kind, int(units), int(value), int(fee))
+                got, review = pool.step(kind, units, value, fee)
                 gain += got[4]
-                done.append((at, seq, kind, units, value, fee, str(pool.units), str(pool.cost), str(gain), str(review)))
+                done.append((at, seq, kind, units, value, fee, pool.units, pool.cost, gain, review))
             edge = done[-1][0] - self.keep
             gone = sum(m[0] < edge for m in done)
             if gone:
                 last = done[gone - 1]
-                done = [(last[0], last[1], "base", "0", "0", "0", *last[6:]), *done[gone:]]
+                done = [(last[0], last[1], "base", 0, 0, 0, *last[6:]), *done[gone:]]
             held = done
-            self.moves.put(held)
-        self.late.update((late,))
-        last = held[-1] if held else (0, 0, "", "0", "0", "0", "0", "0", "0", "")
-        yield pd.DataFrame({"user_id": [key[0]], "token": [key[1]], "units_after": [int(last[6]) / ONE], "cost_after": [int(last[7]) / ONE], "gain": [int(last[8]) / ONE], "too_late": [late], "at": [last[0]]})
+            self.moves.update((json.dumps(held, separators=(",", ":")),))
+        if late != before:
+            self.late.update((late,))
+        last = held[-1] if held else (0, 0, "", 0, 0, 0, 0, 0, 0, False)
+        yield pd.DataFrame({"user_id": [key[0]], "token": [key[1]], "units_after": [last[6] / ONE], "cost_after": [last[7] / ONE], "gain": [last[8] / ONE], "too_late": [late], "at": [last[0]]})
 
     def close(self) -> None:
         pass
