@@ -7,7 +7,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.pools import register
+from ledgerloom.functions.pools import register, register_batches
 from ledgerloom.operators import changes, decode
 from ledgerloom.streaming.commits import PROVIDER, ROCKS, Commits, late_pools, run_now
 
@@ -92,6 +92,23 @@ def test_fold_from_sql(spark):
         spark.sql("SELECT * FROM replay_pools(TABLE({t}) PARTITION BY user_id ORDER BY ts, 'none')".replace(" ORDER BY ts, 'none')", " ORDER BY ts, method => 'none')"), t=df).collect()
 
 
+def test_fold_from_sql_in_batches(spark):
+    """The batch form gives the rows of the row form, also where batches end within a pool; null amounts count as zero."""
+    rows = [*moves(5), (9, None, dt.datetime(2024, 1, 1), 900, "acquire", D("2.50"), None, D(1))]
+    df = spark.createDataFrame(rows, MOVES)
+    register(spark)
+    register_batches(spark, "replay_moves", df.schema)
+    call = "SELECT * FROM {}(TABLE({{t}}) PARTITION BY (user_id, token) ORDER BY (ts, id)) ORDER BY id"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = spark.sql(call.format("replay_moves"), t=df).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows) and got == spark.sql(call.format("replay_pools"), t=df).collect()
+    with pytest.raises(ValueError, match="method is one of"):
+        register_batches(spark, "replay_moves", df.schema, "none")
+
+
 def test_batches_are_committed_once(spark, tmp_path):
     commits = Commits(str(tmp_path / "t"))
     batch = spark.createDataFrame([(1, i, f"h{i}") for i in range(150)], "wallet_id long, block long, tx_hash string")
