@@ -27,7 +27,7 @@ def _whole(c: Column) -> Column:
 
 
 def positions(moves: DataFrame, keys: list[str], order: list[str], ts_s: str = "ts_s", slice_seconds: int = SLICE_SECONDS) -> DataFrame:
-    """moves (keys, order, kind acquire or dispose, units) with from_, to_: the stretch of each on its key's line, in 1e-8 units, and oversold."""
+    """moves (keys, order, kind acquire or dispose, units) with from_, to_: the stretch of each on its key's line, in 1e-8 units, and oversold; and lot_mean, the key's mean lot (1 at least)."""
     nothing = F.lit(0).cast(WHOLE)
     of = lambda kind: F.when(F.col("kind") == kind, _whole(F.col("units"))).otherwise(nothing)
     part = [*keys, "__slice"]
@@ -37,11 +37,14 @@ def positions(moves: DataFrame, keys: list[str], order: list[str], ts_s: str = "
     rows = rows.withColumns({"__in": F.sum("__a").over(w).cast(WHOLE), "__out": F.sum("__d").over(w).cast(WHOLE)})
     rows = rows.withColumn("__over", (F.col("__out") - F.col("__in")).cast(WHOLE)).withColumns({"__most": F.max("__over").over(w), "__most_before": F.max("__over").over(before)})
 
-    sums = rows.groupBy(*part).agg(F.sum("__a").cast(WHOLE).alias("a"), F.sum("__d").cast(WHOLE).alias("d"), F.max("__over").alias("m"))  # a row a slice
+    sums = rows.groupBy(*part).agg(F.sum("__a").cast(WHOLE).alias("a"), F.sum("__d").cast(WHOLE).alias("d"), F.max("__over").alias("m"), F.count_if(F.col("kind") == "acquire").alias("n"))  # a row a slice
+    of_key = Window.partitionBy(*keys)
+    mean = F.ceil(F.sum("a").over(of_key).cast(WHOLE) / F.greatest(F.lit(1), F.sum("n").over(of_key)))
     past = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumns({"__in0": F.coalesce(F.sum("a").over(past).cast(WHOLE), nothing), "__out0": F.coalesce(F.sum("d").over(past).cast(WHOLE), nothing)})
+    sums = sums.withColumn("lot_mean", F.greatest(F.lit(1), mean).cast(WHOLE))
     sums = sums.withColumn("__top", (F.col("m") + F.col("__out0") - F.col("__in0")).cast(WHOLE)).withColumn("__lost0", F.greatest(nothing, F.coalesce(F.max("__top").over(past), nothing)))
-    rows = rows.join(sums.select(*part, "__in0", "__out0", "__lost0"), part)
+    rows = rows.join(sums.select(*part, "__in0", "__out0", "__lost0", "lot_mean"), part)
 
     shift = F.col("__out0") - F.col("__in0")
     lost = lambda c: F.greatest(F.col("__lost0"), F.coalesce((F.col(c) + shift).cast(WHOLE), nothing))
@@ -50,29 +53,24 @@ def positions(moves: DataFrame, keys: list[str], order: list[str], ts_s: str = "
     to = F.when(bought, acquired).otherwise((gone - lost("__most")).cast(WHOLE))
     start = F.when(bought, (acquired - F.col("__a")).cast(WHOLE)).otherwise((gone - F.col("__d") - lost("__most_before")).cast(WHOLE))
     out = rows.withColumns({"from_": start, "to_": to, "oversold": ~bought & (lost("__most") > lost("__most_before"))})
-    return out.select(*moves.columns, "from_", "to_", "oversold")
+    return out.select(*moves.columns, "from_", "to_", "oversold", "lot_mean")
 
 
-def matches(lots: DataFrame, disposals: DataFrame, keys: list[str], lot: list[str], disposal: list[str], stretch_lots: int = STRETCH_LOTS) -> DataFrame:
-    """keys, lot, disposal, start and end: where the stretches (from_, to_) of lots and disposals meet; of units that are held, disposal is null.
+def matches(at: DataFrame, keys: list[str], lot: Column, sold: Column, stretch_lots: int = STRETCH_LOTS) -> DataFrame:
+    """keys, lot, sold, start and end: where the stretches of lots and disposals meet; of units that are held, sold is null.
 
-    lot and disposal name columns of either side; lots cover the line without gaps, disposals a part from its start. Each side's stretches are
-    cut at the same places; within a cut, every end of a stretch ends a piece, which belongs to the next lot and the next disposal that end."""
-    mean = lots.groupBy(*keys).agg((F.greatest(F.lit(1), F.ceil(F.max("to_") / F.count("*"))) * stretch_lots).cast(WHOLE).alias("__width"))
-
-    def cut(df: DataFrame, names: list[str], side: str) -> DataFrame:
-        w = F.col("__width")
-        df = df.filter("to_ > from_").join(mean, keys)
-        df = df.withColumn("__cut", F.explode(F.sequence(F.call_function("div", F.col("from_"), w), F.call_function("div", F.col("to_") - 1, w))))
-        end = F.least(F.col("to_"), ((F.col("__cut") + 1) * w).cast(WHOLE))
-        return df.select(*keys, "__cut", (F.col("__cut") * w).cast(WHOLE).alias("__begin"), end.alias("end"), F.struct(*names).alias(side))
-
-    both = cut(lots, lot, "__lot").unionByName(cut(disposals, disposal, "__sold"), allowMissingColumns=True)
-    ends = both.groupBy(*keys, "__cut", "__begin", "end").agg(F.first("__lot", ignorenulls=True).alias("__lot"), F.first("__sold", ignorenulls=True).alias("__sold"))
-    w = Window.partitionBy(*keys, "__cut").orderBy("end")
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
-    pieces = ends.withColumns({"start": F.coalesce(F.lag("end").over(w), F.col("__begin")), "__lot": F.first("__lot", ignorenulls=True).over(ahead), "__sold": F.first("__sold", ignorenulls=True).over(ahead)})
-    return pieces.select(*keys, "__lot.*", *(F.col(f"__sold.{c}").alias(c) for c in disposal), "start", "end")
+    at: as positions has it; lot and sold are what is told of either. Lots cover the line without gaps, disposals a part from its start. The stretches are
+    cut at the same places; within a cut, every end of a stretch ends a piece, which belongs to the next lot and the next disposal that end. Of a lot and a disposal that
+    end together, one has the piece and the other one of no length. One running pass from the end of a cut to its start finds them."""
+    bought, w = F.col("kind") == "acquire", F.col("__width")
+    rows = at.filter("to_ > from_").select(*keys, "from_", "to_", (F.col("lot_mean") * stretch_lots).cast(WHOLE).alias("__width"), F.when(bought, lot).alias("lot"), F.when(~bought, sold).alias("sold"))
+    rows = rows.withColumn("__cut", F.explode(F.sequence(F.call_function("div", F.col("from_"), w), F.call_function("div", F.col("to_") - 1, w))))
+    end = F.least(F.col("to_"), ((F.col("__cut") + 1) * w).cast(WHOLE))
+    ends = rows.select(*keys, "__cut", (F.col("__cut") * w).cast(WHOLE).alias("__begin"), end.alias("end"), "lot", "sold")
+    back = Window.partitionBy(*keys, "__cut").orderBy(F.desc("end"))
+    upto = back.rowsBetween(Window.unboundedPreceding, 0)
+    pieces = ends.withColumns({"start": F.coalesce(F.lead("end").over(back), F.col("__begin")), **{c: F.last(c, ignorenulls=True).over(upto) for c in ("lot", "sold")}})
+    return pieces.filter("end > start").select(*keys, "lot", "sold", "start", "end")
 
 
 def part_of(total: Column, from_: Column, to: Column, start: Column, end: Column) -> Column:
@@ -86,17 +84,26 @@ def _share(total: Column, part: Column, whole: Column) -> Column:
     return F.call_function("div", twice.cast(WHOLE), (whole * 2).cast(WHOLE))
 
 
+def cut_pieces(at: DataFrame, keys: list[str], lot: list[str], sold: list[str], stretch_lots: int = STRETCH_LOTS) -> DataFrame:
+    """Pieces of stretches (at: as positions has it, with value and fee), for sums over them: keys, lot_<lot>, sold_<sold>, sold (false: still held), units and cost in 1e-8, and ends: whether its lot ends with it.
+
+    lot and sold are the columns of at that are told of either; a piece that a cut goes through is several. A lot costs value + fee."""
+    cost = (_whole(F.col("value")) + _whole(F.col("fee"))).cast(WHOLE)
+    told = lambda names: [F.col(c).alias(c) for c in names]
+    found = matches(at, keys, F.struct(*told(lot), cost.alias("__cost"), "from_", "to_"), F.struct(*told(sold), F.lit(True).alias("__sold")), stretch_lots)
+    part = part_of(F.col("lot.__cost"), F.col("lot.from_"), F.col("lot.to_"), F.col("start"), F.col("end"))
+    return found.select(
+        *keys, *(F.col(f"lot.{c}").alias(f"lot_{c}") for c in lot), *(F.col(f"sold.{c}").alias(f"sold_{c}") for c in sold), F.col("sold").isNotNull().alias("sold"),
+        (F.col("end") - F.col("start")).cast(WHOLE).alias("units"), part.alias("cost"), (F.col("end") == F.col("lot.to_")).alias("ends"),
+    )
+
+
 def fifo(moves: DataFrame, keys: list[str], order: list[str], ts_s: str = "ts_s", slice_seconds: int = SLICE_SECONDS, stretch_lots: int = STRETCH_LOTS) -> tuple[DataFrame, DataFrame]:
     """Pieces: keys, lot_<order>, sold_<order>, sold (false: still held), units and cost in 1e-8; and moves with their stretches.
 
     moves: keys, order, kind, and decimals units, value and fee; a lot costs value + fee."""
     at = positions(moves, keys, order, ts_s, slice_seconds)
     lot, sold = [f"lot_{c}" for c in order], [f"sold_{c}" for c in order]
-    named = lambda df, names: df.select(*keys, *(F.col(c).alias(n) for c, n in zip(order, names, strict=True)), "from_", "to_", *(("__cost",) if "__cost" in df.columns else ()))
-    lots = named(at.filter("kind = 'acquire'").withColumn("__cost", (_whole(F.col("value")) + _whole(F.col("fee"))).cast(WHOLE)), lot).withColumns({"__from": F.col("from_"), "__to": F.col("to_")})
-    gone = named(at.filter("kind = 'dispose'"), sold).withColumn("__sold", F.lit(True))
-    found = matches(lots, gone, keys, [*lot, "__cost", "__from", "__to"], [*sold, "__sold"], stretch_lots)
-    cost = part_of(F.col("__cost"), F.col("__from"), F.col("__to"), F.col("start"), F.col("end"))
-    cut = found.select(*keys, *lot, *sold, F.coalesce("__sold", F.lit(False)).alias("sold"), (F.col("end") - F.col("start")).cast("decimal(38,0)").alias("units"), cost.alias("cost"))
+    cut = cut_pieces(at, keys, order, order, stretch_lots)
     pieces = cut.groupBy(*keys, *lot, *sold, "sold").agg(F.sum("units").cast(WHOLE).alias("units"), F.sum("cost").alias("cost"))  # a piece that a cut went through is one again
     return pieces, at

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..adapters import LEDGER, ORDER, ledger
 from ..operators.folds import replay
 from ..operators.joins import asof_join
-from ..operators.lots import fifo
+from ..operators.lots import cut_pieces, positions
 from ..operators.superficial import denied_losses
 from ..scratch import Scratch
 from .registry import query
@@ -157,8 +157,8 @@ SELECT user_id, token, round((sum(coalesce(used.cost, 0)) / 1e8)::DOUBLE, 2) AS
  count(*) FILTER (kind = 'dispose' AND oversold) AS oversold, round((max_by(got - sold_to, line.rn) / 1e8)::DOUBLE, 2) AS units_left FROM line LEFT JOIN used USING (user_id, token, rn) GROUP BY 1, 2""")
 def k10(spark, sf_dir):
     """First in, first out, in closed form: which lots went with which disposals, without replaying them."""
-    pieces, at = fifo(ledger(spark, sf_dir), KEYS, ORDER)
-    cost = pieces.filter("sold").groupBy(*KEYS).agg(F.sum("cost").alias("used"))
+    at = positions(ledger(spark, sf_dir), KEYS, ORDER)
+    cost = cut_pieces(at, KEYS, [], []).filter("sold").groupBy(*KEYS).agg(F.sum("cost").alias("used"))
     bought, now = F.col("kind") == "acquire", F.struct(*ORDER)
     whole = lambda c: (F.coalesce(F.col(c).cast("decimal(28,8)"), F.lit(0)) * 100000000).cast("decimal(38,0)")
     sums = at.groupBy(*KEYS).agg(
@@ -179,10 +179,8 @@ def of_eighths(c: str):
  FROM pieces p JOIN line l ON l.user_id = p.user_id AND l.token = p.token AND l.rn = p.lot JOIN line d ON d.user_id = p.user_id AND d.token = p.token AND d.rn = p.sold GROUP BY p.user_id, p.token, l.ts, d.ts, d.a, d.b, d.c""".replace("SELECT user_id, token, l.ts", "SELECT p.user_id, p.token, l.ts"))
 def k10_matches(spark, sf_dir):
     """Every lot with every disposal that took from it; a disposal of more than was held needs a review."""
-    pieces, at = fifo(ledger(spark, sf_dir), KEYS, ORDER)
-    flag = at.filter("kind = 'dispose'").groupBy(*KEYS, "ts", "a", "b", "c").agg(F.bool_or("oversold").alias("needs_review"))
-    taken = pieces.filter("sold").groupBy(*KEYS, F.col("lot_ts").alias("acquired"), F.col("sold_ts").alias("ts"), *(F.col(f"sold_{x}").alias(x) for x in "abc")).agg(F.sum("units").alias("units"), F.sum("cost").alias("cost"))
-    out = taken.join(flag, [*KEYS, "ts", "a", "b", "c"])
+    pieces = cut_pieces(positions(ledger(spark, sf_dir), KEYS, ORDER), KEYS, ["ts"], ["ts", "a", "b", "c", "oversold"]).filter("sold")
+    out = pieces.groupBy(*KEYS, F.col("lot_ts").alias("acquired"), F.col("sold_ts").alias("ts"), *(F.col(f"sold_{x}").alias(x) for x in "abc")).agg(F.sum("units").alias("units"), F.sum("cost").alias("cost"), F.bool_or("sold_oversold").alias("needs_review"))
     return out.select(*KEYS, "acquired", F.col("ts").alias("disposed"), "a", "b", "c", *(of_eighths(x).alias(x) for x in ("units", "cost")), "needs_review")
 
 
@@ -191,8 +189,8 @@ def k10_matches(spark, sf_dir):
 SELECT user_id, token, ts AS acquired, count(*) AS lots, (sum(got - x0) / 1e8)::DOUBLE AS units, (sum((2 * (v + x) * u + u) // (2 * u) - (2 * (v + x) * (x0 - got + u) + u) // (2 * u)) / 1e8)::DOUBLE AS cost FROM held GROUP BY 1, 2, 3""")
 def k10_holdings(spark, sf_dir):
     """The lots that are left, by day of acquisition."""
-    pieces, _ = fifo(ledger(spark, sf_dir), KEYS, ORDER)
-    held = pieces.filter("not sold").groupBy(*KEYS, F.col("lot_ts").alias("acquired")).agg(F.count("*").alias("lots"), F.sum("units").alias("units"), F.sum("cost").alias("cost"))
+    pieces = cut_pieces(positions(ledger(spark, sf_dir), KEYS, ORDER), KEYS, ["ts"], [])
+    held = pieces.filter("not sold").groupBy(*KEYS, F.col("lot_ts").alias("acquired")).agg(F.count_if("ends").alias("lots"), F.sum("units").alias("units"), F.sum("cost").alias("cost"))
     return held.select(*KEYS, "acquired", "lots", *(of_eighths(x).alias(x) for x in ("units", "cost")))
 
 
@@ -207,8 +205,9 @@ def k11(spark, sf_dir):
     moved = F.when(F.col("kind") == "dispose", F.when(F.col("needs_review"), F.col("held")).otherwise(sold)).otherwise(sold)
     held = F.lag("units_after", 1, 0).over(Window.partitionBy(*KEYS).orderBy(*ORDER))
     moves = s.withColumn("held", F.coalesce(held, F.lit(0))).withColumn("units_delta", moved).filter("units_delta > 0")
-    moves = moves.select(*KEYS, *ORDER[:4], F.col("units").alias("listed"), "value", "fee", "ts_s", "kind", "units_delta")
-    pieces, _ = fifo(moves.withColumnRenamed("units_delta", "units"), KEYS, [*ORDER[:4], "listed", "value"])
+    moves = moves.select(*KEYS, *ORDER[:4], F.col("units").alias("listed"), "value", "fee", "ts_s", "kind", F.col("units_delta").alias("units"))
+    moves = Scratch(spark, "restored").save(moves)  # read for the stretches and for the sums of slices
+    pieces = cut_pieces(positions(moves, KEYS, [*ORDER[:4], "listed", "value"]), KEYS, [], ["ts"])
     out = pieces.filter("sold").groupBy(*KEYS, F.year("sold_ts").alias("year")).agg(F.sum("units").alias("u"), F.sum("cost").alias("c"))
     return out.select(*KEYS, "year", of_eighths("u").alias("units"), of_eighths("c").alias("cogs"))
 

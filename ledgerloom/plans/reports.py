@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..adapters import ORDER, ledger
 from ..operators.filters import fiscal_year_range
 from ..operators.joins import latest
-from ..operators.lots import fifo
+from ..operators.lots import cut_pieces, positions
 from ..scratch import Scratch
 from .chain import STAGES, movements
 from .costbasis import FOLD, KEYS, LINE, money, snapshots
@@ -56,7 +56,7 @@ def r07(spark, sf_dir):
 @query("r07_cogs_fifo", f"WITH {LINE} SELECT p.user_id, p.token, (sum(p.units) / 1e8)::DOUBLE AS units, (sum(p.cost) / 1e8)::DOUBLE AS cogs FROM pieces p JOIN line d ON d.user_id = p.user_id AND d.token = p.token AND d.rn = p.sold WHERE year(d.ts) = {YEAR} GROUP BY 1, 2")
 def r07_fifo(spark, sf_dir):
     """The same by lots, over the calendar year."""
-    pieces, _ = fifo(ledger(spark, sf_dir), KEYS, ORDER)
+    pieces = cut_pieces(positions(ledger(spark, sf_dir), KEYS, ORDER), KEYS, [], ["ts"])
     out = pieces.filter(F.col("sold") & (F.year("sold_ts") == YEAR)).groupBy(*KEYS).agg(F.sum("units").alias("u"), F.sum("cost").alias("c"))
     return out.select(*KEYS, (F.col("u").cast("double") / 1e8).alias("units"), (F.col("c").cast("double") / 1e8).alias("cogs"))
 

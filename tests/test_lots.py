@@ -85,6 +85,25 @@ def test_known_cases(spark):
     assert 200 - sum(int(r.cost) / 1e8 for r in far.filter("sold").collect()) == 150
 
 
+def test_cut_pieces_add_up_without_frames_that_look_ahead(spark):
+    """Pieces as cut have the sums of whole ones, each lot that is left ends once, and no window goes over all later rows for every row."""
+    from decimal import Decimal
+
+    rows = [r for seed in range(3) for r in moves_of(seed)]
+    df = spark.createDataFrame([(*r[:4], *map(Decimal, r[4:])) for r in rows], SCHEMA)
+    cut = lots.cut_pieces(lots.positions(df, ["k"], ORDER), ["k"], ["n"], ["n"], 2)
+    assert "currentrow$(), unboundedfollowing$()" not in cut._jdf.queryExecution().executedPlan().toString()
+    whole, sums = lots.fifo(df, ["k"], ORDER)[0].collect(), {}
+    got = cut.collect()
+    assert len(got) > len(whole)
+    for r in got:
+        u, c, e = sums.get((r.k, r.lot_n, r.sold_n), (0, 0, 0))
+        sums[r.k, r.lot_n, r.sold_n] = (u + r.units, c + r.cost, e + r.ends)
+    assert {k: v[:2] for k, v in sums.items()} == {(r.k, r.lot_n, r.sold_n): (r.units, r.cost) for r in whole}
+    left = [v[2] for (k, _, n), v in sums.items() if n is None]
+    assert left and set(left) == {1}
+
+
 def test_nothing_held_and_empty(spark):
     pieces, at = run(spark, [("a", 1, 1, "dispose", "5", "50", "0"), ("a", 2, 2, "acquire", "5", "50", "0")])
     assert [(r.sold, int(r.units)) for r in pieces.collect()] == [(False, 5 * 10**8)] and [r.oversold for r in at.orderBy("n").collect()] == [True, False]
