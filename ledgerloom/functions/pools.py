@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udtf, udtf
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
-from ..operators.folds import METHODS, Pool, decimals, unscaled
+from ..operators.folds import METHODS, Pool, decimals, wholes
 
 _MONEY = T.DecimalType(38, 8)
 _POOL = [*(T.StructField(f, _MONEY) for f in Pool.fields), T.StructField("needs_review", T.BooleanType())]
@@ -60,8 +60,7 @@ def _wholes(column: pa.Array) -> list[int]:
     """Amounts as whole numbers of 1e-8, null as zero; decimals of no more places are read from their buffer."""
     if not pa.types.is_decimal128(column.type) or not 0 <= column.type.scale <= 8:
         return [_whole(x) for x in column.to_pylist()]
-    ones = 10 ** (8 - column.type.scale)
-    return [(x or 0) * ones for x in unscaled(column)]
+    return wholes(column)
 
 
 def register_batches(spark: SparkSession, name: str, moves: T.StructType, method: str = "acb") -> None:

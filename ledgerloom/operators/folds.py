@@ -44,9 +44,20 @@ def unscaled(column: pa.Array) -> list[int | None]:
     return [x if ok else None for x, ok in zip(out, column.is_valid().to_pylist(), strict=True)] if column.null_count else out
 
 
+def wholes(column: pa.Array) -> list[int]:
+    """A decimal128 column of eight places at most as whole numbers of 1e-8; null counts as zero."""
+    ones = 10 ** (8 - column.type.scale)
+    values = unscaled(column)
+    return values if ones == 1 and not column.null_count else [(x or 0) * ones for x in values]
+
+
 def decimals(values: list[int]) -> pa.Array:
     """A decimal128(38, 8) column of whole numbers of 1e-8."""
-    data = b"".join([x.to_bytes(16, "little", signed=True) for x in values])
+    try:
+        low = np.array(values, np.int64)
+        data = np.stack([low, low >> 63], 1).tobytes()
+    except OverflowError:  # some need more than 64 bits
+        data = b"".join([x.to_bytes(16, "little", signed=True) for x in values])
     return pa.Array.from_buffers(pa.decimal128(38, 8), len(values), [None, pa.py_buffer(data)])
 
 
@@ -198,7 +209,9 @@ def replay(events: DataFrame, keys: list[str], order: list[str], method: str = "
 
     seed (keys, units_after, cost_after; average cost only) is what each pool holds before the first event."""
     amounts = ["units", "value", "fee"]
-    rows = events.withColumns({f"__{c}": wide(F.col(c)) for c in amounts})
+    fits = lambda t: isinstance(t, T.DecimalType) and 0 <= t.scale <= 8
+    read = {c: c if fits(events.schema[c].dataType) else f"__{c}" for c in amounts}  # what fits isn't dealt twice
+    rows = events.withColumns({n: wide(F.col(c)) for c, n in read.items() if n != c})
     if seed is not None:
         start = seed.select(*keys, wide(F.col("units_after")).alias("__held"), wide(F.col("cost_after")).alias("__cost"))
         rows = rows.join(start, keys, "left")
@@ -213,7 +226,7 @@ def replay(events: DataFrame, keys: list[str], order: list[str], method: str = "
         for batch in batches:
             column = lambda n: batch.column(place[n])
             held = zip(unscaled(column("__held")), unscaled(column("__cost")), strict=True) if "__held" in place else repeat((None, None))
-            moves = zip(zip(*(column(k).to_pylist() for k in keys), strict=True), column("kind").to_pylist(), *(unscaled(column(f"__{c}")) for c in amounts), held)
+            moves = zip(zip(*(column(k).to_pylist() for k in keys), strict=True), column("kind").to_pylist(), *(wholes(column(read[c])) for c in amounts), held)
             got, review = [], []
             for key, kind, units, value, fee, (units_held, cost_held) in moves:
                 if state is None or key != at:

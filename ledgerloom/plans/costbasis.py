@@ -60,7 +60,8 @@ def k09(spark, sf_dir):
 
 def stored_disposals(spark, sf_dir) -> DataFrame:
     """The fold's disposals, written once for all that reads them."""
-    kept = disposals(spark, sf_dir).select(*KEYS, "ts_s", "ts", "a", "b", "c", "units", "value", "fee", "cost_used", "gain", "needs_review", "tax_year")
+    kept = replay(ledger(spark, sf_dir).select(*KEYS, *ORDER, "ts_s", "kind", "fee"), KEYS, ORDER).filter("kind = 'dispose'").withColumn("tax_year", F.year("ts"))
+    kept = kept.select(*KEYS, "ts_s", "ts", "a", "b", "c", "units", "value", "fee", "cost_used", "gain", "needs_review", "tax_year")
     return Scratch(spark, "disposals").save(kept)
 
 
@@ -200,7 +201,7 @@ m AS (SELECT d.user_id, d.token, d.ts, greatest(l.got - l.u, d.gone - d.u) AS x0
 SELECT user_id, token, year(ts)::INT AS year, (sum(x1 - x0) / 1e8)::DOUBLE AS units, (sum((2 * cost * (x1 - l0) + lu) // (2 * lu) - (2 * cost * (x0 - l0) + lu) // (2 * lu)) / 1e8)::DOUBLE AS cogs FROM m GROUP BY 1, 2, 3""")
 def k11(spark, sf_dir):
     """Lots restored from the snapshots of average-cost pools (units moved, cost of what came in), and the cost of goods sold by year."""
-    s = snapshots(spark, sf_dir)
+    s = replay(ledger(spark, sf_dir).select(*KEYS, *ORDER, "ts_s", "kind", "fee"), KEYS, ORDER)
     sold = F.col("units").cast("decimal(28,8)")
     moved = F.when(F.col("kind") == "dispose", F.when(F.col("needs_review"), F.col("held")).otherwise(sold)).otherwise(sold)
     held = F.lag("units_after", 1, 0).over(Window.partitionBy(*KEYS).orderBy(*ORDER))

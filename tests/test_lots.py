@@ -121,4 +121,19 @@ def test_wide_amounts_pass_the_buffers():
     column = decimals(values)
     assert unscaled(column) == values and column.to_pylist()[1] == Decimal("0.00000001")
     assert unscaled(column.slice(3, 2)) == values[3:5]
+    assert unscaled(decimals([5, -7])) == [5, -7] and unscaled(decimals([])) == []
     assert unscaled(pa.array([Decimal("1.5"), None], pa.decimal128(38, 8))) == [150000000, None]
+
+
+def test_amounts_are_dealt_once(spark):
+    """Decimals that eight places hold go to the fold as they are; others, and nulls, count as before."""
+    from decimal import Decimal
+
+    from ledgerloom.operators.folds import replay
+
+    rows = [("a", 1, "acquire", Decimal("2.50"), 10.25, None), ("a", 2, "dispose", Decimal("1.25"), 7.0, Decimal("0.000000014"))]
+    df = spark.createDataFrame(rows, "k string, n long, kind string, units decimal(18,2), value double, fee decimal(20,9)")
+    out = replay(df, ["k"], ["n"])
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "__units" not in plan and "__value" in plan and "__fee" in plan
+    assert [(r.units_after, r.cost_after, r.gain) for r in out.orderBy("n").collect()] == [(Decimal("2.5"), Decimal("10.25"), 0), (Decimal("1.25"), Decimal("5.125"), Decimal("1.87499999"))]
