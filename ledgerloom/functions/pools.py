@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udtf, udtf
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
-from ..operators.folds import METHODS, Pool, decimals, wholes
+from ..operators.folds import METHODS, Pool, decimals, strings, wholes
 
 _MONEY = T.DecimalType(38, 8)
 _POOL = [*(T.StructField(f, _MONEY) for f in Pool.fields), T.StructField("needs_review", T.BooleanType())]
@@ -74,7 +74,7 @@ def register_batches(spark: SparkSession, name: str, moves: T.StructType, method
             self.fold = METHODS[method]()
 
         def eval(self, batch):
-            rows = zip(batch.column("kind").to_pylist(), *(_wholes(batch.column(c)) for c in ("units", "value", "fee")), strict=True)
+            rows = zip(strings(batch.column("kind")), *(_wholes(batch.column(c)) for c in ("units", "value", "fee")), strict=True)
             got = [self.fold.step(*r) for r in rows]
             sums = [decimals(list(c)) for c in zip(*(g for g, _ in got), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *sums, pa.array([r for _, r in got], pa.bool_())], names=[*moves.names, *(f.name for f in _POOL)])

@@ -44,6 +44,23 @@ def unscaled(column: pa.Array) -> list[int | None]:
     return [x if ok else None for x, ok in zip(out, column.is_valid().to_pylist(), strict=True)] if column.null_count else out
 
 
+def strings(column: pa.Array) -> list[str | None]:
+    """A column of few different strings, each of them read once."""
+    coded = column.dictionary_encode(null_encoding="encode")
+    names = coded.dictionary.to_pylist()
+    return [names[i] for i in coded.indices.to_numpy().tolist()]
+
+
+def starts(columns: list[pa.Array], before: tuple | None) -> list[bool]:
+    """Which rows (there are some) have other keys than the row before them; before: the keys that come before the first."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = before is None or tuple(c[0].as_py() for c in columns) != before
+    for c in columns:
+        code = c.dictionary_encode(null_encoding="encode").indices.to_numpy()
+        new[1:] |= code[1:] != code[:-1]
+    return new.tolist()
+
+
 def wholes(column: pa.Array) -> list[int]:
     """A decimal128 column of eight places at most as whole numbers of 1e-8; null counts as zero."""
     ones = 10 ** (8 - column.type.scale)
@@ -226,18 +243,22 @@ def replay(events: DataFrame, keys: list[str], order: list[str], method: str = "
         for batch in batches:
             column = lambda n: batch.column(place[n])
             held = zip(unscaled(column("__held")), unscaled(column("__cost")), strict=True) if "__held" in place else repeat((None, None))
-            moves = zip(zip(*(column(k).to_pylist() for k in keys), strict=True), column("kind").to_pylist(), *(wholes(column(read[c])) for c in amounts), held)
+            if not batch.num_rows:
+                continue
+            keyed = [column(k) for k in keys]
+            moves = zip(starts(keyed, at), strings(column("kind")), *(wholes(column(read[c])) for c in amounts), held)
             got, review = [], []
-            for key, kind, units, value, fee, (units_held, cost_held) in moves:
-                if state is None or key != at:
-                    at, state = key, make()
+            at = tuple(c[-1].as_py() for c in keyed)
+            for first, kind, units, value, fee, (units_held, cost_held) in moves:
+                if first:
+                    state = make()
                     if units_held is not None:
                         state.units, state.cost = units_held, cost_held
                 out, flag = state.step(kind, units, value, fee)
                 got.append(out)
                 review.append(flag)
             arrays = [batch.column(place[f.name]) for f in kept]
-            sums = [decimals(list(g)) for g in zip(*got, strict=True)] if got else [decimals([])] * len(fields)
+            sums = [decimals(list(g)) for g in zip(*got, strict=True)]
             yield pa.RecordBatch.from_arrays([*arrays, *sums, pa.array(review, pa.bool_())], names=schema.names)
 
     return dealt.mapInArrow(run, schema)

@@ -137,3 +137,14 @@ def test_amounts_are_dealt_once(spark):
     plan = out._jdf.queryExecution().analyzed().toString()
     assert "__units" not in plan and "__value" in plan and "__fee" in plan
     assert [(r.units_after, r.cost_after, r.gain) for r in out.orderBy("n").collect()] == [(Decimal("2.5"), Decimal("10.25"), 0), (Decimal("1.25"), Decimal("5.125"), Decimal("1.87499999"))]
+
+
+def test_pools_start_where_keys_change():
+    import pyarrow as pa
+
+    from ledgerloom.operators.folds import starts, strings
+
+    a, b = pa.array([1, 1, None, None, 2]), pa.array(["x", "x", "x", None, None])
+    assert starts([a, b], None) == [True, False, True, True, True]
+    assert starts([a, b], (1, "x")) == [False, False, True, True, True] and starts([a.slice(3), b.slice(3)], (None, None)) == [False, True]
+    assert strings(pa.array(["in", None, "out", "in"]).slice(1)) == [None, "out", "in"]
