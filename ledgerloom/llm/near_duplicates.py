@@ -98,6 +98,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return out.select(F.col("found").alias("node"), "hashes")
 
 
+def sizes_fit(x: str, y: str) -> Column:
+    """Whether sets of these sizes may link."""
+    return F.least(x, y) * 100 >= F.greatest(x, y) * parity.PERCENT
+
+
 def narrow(sketch: Column, words: Column) -> Column:
     """A dense sketch at the width of one half as wide, where that is narrower; sizes that may link differ by less than a width."""
     halves = F.zip_with(F.slice(sketch, 1, words), F.slice(sketch, words + 1, words), lambda p, q: p.bitwiseXOR(q))
@@ -108,7 +113,7 @@ def may_link(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Of the pairs (a, b) those that sizes and dense sketches let link, with n_a and n_b. nodes: node, n, dense."""
     side = lambda x: nodes.select(*(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "dense")))
     near = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
-    near = near.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * parity.PERCENT)
+    near = near.filter(sizes_fit("n_a", "n_b"))
     x, y = narrow(F.col("dense_a"), F.size("dense_b")), narrow(F.col("dense_b"), F.size("dense_a"))
     distance = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, x: s + x)
     near = near.filter(distance * (100 + parity.PERCENT) <= (F.col("n_a") + F.col("n_b")) * (100 - parity.PERCENT))
@@ -133,12 +138,13 @@ def folded(sketches: np.ndarray) -> np.ndarray:
     return sketches[:, :w] ^ sketches[:, w:]
 
 
-def compare(pivots_: pa.Table, block: pa.Table, most: int) -> pa.Table:
-    """may_link for the rows of block and the pivots of other roots, with their key: of each pivot the most rows of each root that are nearest by sketch.
+def compare(rows: pa.Table, most: int) -> pa.Table:
+    """may_link for the rows of a block that are here and the pivots of other roots, with their key: of each pivot the most rows of each root that are nearest by sketch.
 
-    A pair is looked at in the first only of the keys that both have in mine, so that it leaves one block at most. A pivot with more has a row of its own with a null b: it has not met all yet."""
+    before: the keys that a row's class has before this one. A pair with a common one of them is looked at there, so that it leaves one block at most. A pivot with more has a row of its own with a null b: it has not met all yet."""
+    pivots_, block = rows.filter(rows.column("pivot")), rows.filter(rows.column("here"))
     (n_p, root_p, id_p), (n_e, root_e, id_e) = (tuple(t.column(c).to_numpy() for c in ("n", "root", "node")) for t in (pivots_, block))
-    place, mine_p, mine_e = pivots_.column("place")[0].as_py(), pivots_.column("mine"), block.column("mine")
+    before_p, before_e = pivots_.column("before"), block.column("before")
     hits: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
     of_pivots, of_entries = by_width(pivots_.column("dense")), by_width(block.column("dense"))
     for w, (entries, x) in of_entries.items():
@@ -146,34 +152,37 @@ def compare(pivots_: pa.Table, block: pa.Table, most: int) -> pa.Table:
             if v not in of_pivots:
                 continue
             posed, y = of_pivots[v]
-            rows, y = (folded(x), y) if v < w else (x, folded(y) if v > w else y)
+            own, y = (folded(x), y) if v < w else (x, folded(y) if v > w else y)
             step = max(1, CELLS // (len(posed) * y.shape[1]))
             for at in range(0, len(entries), step):
-                e, r = entries[at : at + step], rows[at : at + step]
+                e, r = entries[at : at + step], own[at : at + step]
                 least, largest = np.minimum.outer(n_e[e], n_p[posed]), np.maximum.outer(n_e[e], n_p[posed])
                 i, j = np.nonzero((root_e[e][:, None] != root_p[posed]) & (100 * least >= parity.PERCENT * largest))
                 distance = np.bitwise_count((r[i] ^ y[j]).view(np.uint64)).sum(1, dtype=np.int64)
                 near = distance * (100 + parity.PERCENT) <= (n_e[e[i]] + n_p[posed[j]]) * (100 - parity.PERCENT)
                 for k, p, far in zip(e[i[near]].tolist(), posed[j[near]].tolist(), distance[near].tolist(), strict=True):
-                    before = mine_e[k].values.to_numpy()
-                    before = before[: np.searchsorted(before, place)]
-                    if not np.isin(before, mine_p[p].values.to_numpy()).any():
+                    if not np.isin(before_e[k].values.to_numpy(), before_p[p].values.to_numpy()).any():
                         hits.setdefault((p, int(root_e[k])), []).append((far, int(id_e[k]), int(n_e[k])))
     out = []
     for (i, _), found in hits.items():
         pivot = int(id_p[i])
         out += [(pivot, node, int(n_p[i]), n) if pivot < node else (node, pivot, n, int(n_p[i])) for _, node, n in sorted(found)[:most]]
     out += [(pivot, None, None, None) for pivot in {int(id_p[i]) for (i, _), found in hits.items() if len(found) > most}]
-    key = pivots_.column("key")[0].as_py()
+    key = rows.column("key")[0].as_py()
     columns = zip(*out, strict=True) if out else ((),) * 4
     return pa.table({"key": pa.array([key] * len(out), pa.int64()), **{k: pa.array(v, pa.int64()) for k, v in zip(("a", "b", "n_a", "n_b"), columns, strict=True)}})
 
 
-def met(entries: DataFrame, chosen: DataFrame, most: int) -> DataFrame:
-    """compare for the pivots of each key and its other entries, block by block. Both: key, place, block, node, root, n, dense, mine, entries (of the key)."""
-    columns = ("key", "place", "block", "node", "root", "n", "dense", "mine")
-    posed = chosen.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("entries") / BLOCK) - 1)))
-    return posed.select(*columns).groupBy("key", "block").cogroup(entries.select(*columns).groupBy("key", "block")).applyInArrow(lambda p, q: compare(p, q, most), "key long, a long, b long, n_a long, n_b long")
+def met(now: DataFrame, mine: DataFrame, most: int) -> DataFrame:
+    """compare for the pivots of each key and its other entries, block by block. now: key, block, node, root, entries (of the key), pivot. mine: node, n, dense, mine.
+
+    A pivot goes to the other blocks of its key, too; in its own it is there as an entry, so what belongs to it is sent there once."""
+    last = F.ceil(F.col("entries") / BLOCK) - 1
+    away = now.filter(F.col("pivot") & (last > 0)).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), last))).filter("to <> block")
+    rows = now.select("key", "block", "node", "root", "pivot", F.lit(True).alias("here"))
+    rows = rows.unionByName(away.select("key", F.col("to").alias("block"), "node", "root", "pivot", F.lit(False).alias("here"))).join(mine, "node")
+    rows = rows.withColumn("before", F.slice("mine", F.lit(1), F.array_position("mine", F.col("key")).cast("int") - 1)).drop("mine")
+    return rows.groupBy("key", "block").applyInArrow(lambda t: compare(t, most), "key long, a long, b long, n_a long, n_b long")
 
 
 def verified(near: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -193,28 +202,29 @@ def verified(near: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratc
 
 
 def pivots(entries: DataFrame, most: int) -> DataFrame:
-    """entries (key, node, root, block, entries, ...): of each key about most entries, as many of each block (one at least), those of its smallest roots first, so that what is not yet connected meets the rest."""
-    size = entries.groupBy("key", "root").agg(F.count("*").alias("size"))
+    """entries (key, node, root, block, entries, ...) with pivot: of each key about most entries, as many of each block (one at least), those of the roots with fewest entries in it first, so that what is not yet connected meets the rest."""
     order = Window.partitionBy("key", "block").orderBy("size", F.xxhash64("node"), "node")
     quota = F.ceil(most / F.ceil(F.col("entries") / BLOCK))
-    first = entries.join(size, ["key", "root"]).withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= quota)
-    return first.select(*entries.columns)
+    sized = entries.repartition("key", "block").withColumn("size", F.count("*").over(Window.partitionBy("key", "block", "root")))  # one exchange for both
+    return sized.select(*entries.columns, (F.row_number().over(order) <= quota).alias("pivot"))
 
 
 def entries_of(live: DataFrame, scratch: Scratch) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
-    """live: uid, node, keys, hot. (key, node, first) of each class in each key that another class has, too; first is one class of the key."""
-    rep = scratch.save(live.groupBy("node").agg(F.min("uid").alias("uid")), "reps")
+    """live: uid, node, n, keys, hot. (key, node, n, first, fits) of each class in each key that another class has, too; first is one class of the key, fits tells whether their sizes may link."""
+    rep = scratch.save(live.groupBy("node").agg(F.min("uid").alias("uid"), F.min("n").alias("n")), "reps")
     one = live.join(bounded(rep.select("uid"), rep), "uid", "left_semi")
+    columns = ("key", "node", "n", "first", sizes_fit("n", "n_first").alias("fits"))
     in_key = Window.partitionBy("key").orderBy("uid")  # the small number of a class's row goes through the exchange, not its random name
     cold = one.select("uid", F.explode("keys").alias("key"))
     cold = cold.select("key", "uid", F.first("uid").over(in_key.rowsBetween(Window.unboundedPreceding, 0)).alias("lead"), F.lead("uid").over(in_key).alias("after"))
     cold = cold.filter("lead <> uid or after is not null").select("key", "uid", "lead").join(bounded(rep), "uid")
-    cold = cold.join(bounded(rep.select(F.col("uid").alias("lead"), F.col("node").alias("first")), rep), "lead")
-    cold = scratch.save(cold.select("key", "node", "first"), "entries")
+    cold = cold.join(bounded(rep.select(F.col("uid").alias("lead"), F.col("node").alias("first"), F.col("n").alias("n_first")), rep), "lead")
+    cold = scratch.save(cold.select(*columns), "entries")
     # the few keys known to be frequent are summed up where they are and their entries stay where they are
-    hot = one.filter("size(hot) > 0").select("node", F.explode("hot").alias("key"))
-    least = scratch.save(hot.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")), "least")  # LATE rows at most
-    hot = scratch.save(hot.join(bounded(least.filter("first <> last").select("key", "first"), least), "key").select("key", "node", "first"), "entries")
+    hot = one.filter("size(hot) > 0").select("node", "n", F.explode("hot").alias("key"))
+    least = hot.groupBy("key").agg(F.min(F.struct("node", "n")).alias("least"), F.max("node").alias("last"))
+    least = scratch.save(least.select("key", F.col("least.node").alias("first"), F.col("least.n").alias("n_first"), "last"), "least")  # LATE rows at most
+    hot = scratch.save(hot.join(bounded(least.filter("first <> last").drop("last"), least), "key").select(*columns), "entries")
     scratch.drop(rep, least)
     return cold.unionByName(hot), (cold, hot)
 
@@ -235,7 +245,7 @@ def linked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | No
     whole = scratch.save(sketched(docs, frequent_keys(docs)), "sketches")
     rows = scratch.save(whole.select("doc_id", "th", "n", "node"), "rows")
     live = whole.filter("n > 0 and doc_id is not null")
-    entries, parts = entries_of(live.select("uid", "node", "keys", "hot"), scratch)
+    entries, parts = entries_of(live.select("uid", "node", "n", "keys", "hot"), scratch)
     if entries.isEmpty():
         scratch.drop(whole, *parts)
         return rows, None
@@ -245,17 +255,17 @@ def linked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | No
     scratch.drop(whole, ids)
 
     # each key's first class with all others of the key
-    stars = entries.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    stars = entries.filter("node <> first and fits").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     links = verified(scratch.save(may_link(stars, nodes), "near"), nodes, docs, scratch)
     root = scratch.save(components(links, scratch), "root")
-    placed = across(entries.filter("node <> first").select("key", "node"), root)
+    placed = across(entries.filter("node <> first").select("key", "node", "n"), root)
     open_ = scratch.save(unsettled(placed), "open")
     rest = scratch.save(placed.join(bounded(open_), "key"), "rest")
     scratch.drop(links, open_, *parts)
 
     # small keys: pairs across components
-    few = rest.filter(F.col("entries") <= SMALL).select("key", "node", "root")
-    pairs = few.alias("x").join(few.alias("y"), "key").filter("x.node < y.node and x.root <> y.root").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    few = rest.filter(F.col("entries") <= SMALL).select("key", "node", "n", "root")
+    pairs = few.alias("x").join(few.alias("y"), "key").filter("x.node < y.node and x.root <> y.root").filter(sizes_fit("x.n", "y.n")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     root = merged(root, scratch.save(may_link(pairs, nodes), "near"), nodes, docs, scratch)
 
     # large keys: pivots, in the first round in one key of each class
@@ -265,20 +275,20 @@ def linked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | No
     while not hot.isEmpty():
         placed = across(hot, root)
         open_ = scratch.save(unsettled(placed), "open")
-        placed = scratch.save(placed.join(bounded(open_), "key").withColumn("place", F.xxhash64("key")), "placed")
-        mine = placed.groupBy("node").agg(F.sort_array(F.collect_list("place")).alias("mine"))  # a node has fewer keys than shingles
-        mine = scratch.save(mine.join(nodes.select("node", "n", "dense"), "node"), "mine")
-        turn = scratch.save((mine.select(F.col("mine")[0].alias("place")) if one_key else placed.select("place")).distinct(), "turn")
-        now = placed.join(bounded(turn), "place", "left_semi").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("entries") / BLOCK)))
-        now = scratch.save(now.select("key", "place", "block", "node", "root", "entries"), "now")
-        chosen = scratch.save(pivots(now, most), "pivots")  # sketches come in only where they are compared
-        found = scratch.save(met(now.join(mine, "node"), chosen.join(mine.select(*(F.col(c).alias(c) for c in mine.columns)), "node"), nearest), "met")
+        placed = scratch.save(placed.join(bounded(open_), "key"), "placed")
+        keys = scratch.save(placed.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("mine")), "keys")  # a node has fewer keys than shingles
+        mine = scratch.save(nodes.select("node", "n", "dense").join(bounded(keys), "node"), "mine")
+        turn = scratch.save((keys.select(F.col("mine")[0].alias("key")) if one_key else placed.select("key")).distinct(), "turn")
+        now = placed.join(bounded(turn), "key", "left_semi").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("entries") / BLOCK)))
+        now = scratch.save(pivots(now.select("key", "block", "node", "root", "entries"), most), "now")
+        chosen = now.filter("pivot")
+        found = scratch.save(met(now, mine, nearest), "met")  # sketches come in only where they are compared
         # the other pivots have met all of their key; one that has more than the nearest stays an entry, and nearest grows
         more = found.filter("b is null").select("key", F.col("a").alias("node")).distinct()
         done = scratch.save(chosen.select("key", "node").join(more, ["key", "node"], "left_anti"), "done")
         left = scratch.save(placed.select("key", "node").join(bounded(done), ["key", "node"], "left_anti"), "hot")
         near = scratch.save(found.filter("b is not null").select("a", "b", "n_a", "n_b").distinct(), "near")
-        scratch.drop(hot, placed, mine, now, chosen, open_, turn, found, done)
+        scratch.drop(hot, placed, keys, mine, now, open_, turn, found, done)
         root = merged(root, near, nodes, docs, scratch)
         hot, most, nearest, one_key = left, min(MOST_PIVOTS, GROWTH * most), 2 * nearest, False
     scratch.drop(nodes, hot)

@@ -32,9 +32,9 @@ def identity(hashes: np.ndarray) -> int:
 
 
 def dense(hashes: np.ndarray) -> np.ndarray:
-    """A sketch of at least two bits a shingle, in 64-bit words, a power of two of them: each shingle flips one bit, so the bits in which two
+    """A sketch of at least a bit a shingle, in 64-bit words, a power of two of them: each shingle flips one bit, so the bits in which two
     sketches differ are at most the shingles in which the sets do. The XOR of a sketch's halves is the sketch of half the width."""
-    bits = 64 << max(LEAST_BITS, (2 * len(hashes) // 64).bit_length())
+    bits = 64 << max(LEAST_BITS, (len(hashes) // 64).bit_length())
     flips = np.bincount((mixed(hashes ^ np.uint64(0x77)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8)).view(np.int64)
 

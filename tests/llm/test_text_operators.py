@@ -77,6 +77,28 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     assert got == components_by_brute_force(rows)
 
 
+def test_near_duplicates_in_blocks_compare_only_what_fits(spark, monkeypatch):
+    for name, value in (("SMALL", 3), ("PIVOTS", 2), ("GROWTH", 2), ("MOST_PIVOTS", 8), ("BLOCK", 8)):
+        monkeypatch.setattr(near_duplicates, name, value)
+    sizes, may_link = [], near_duplicates.may_link
+
+    def watched(pairs, nodes):
+        n = nodes.select("node", "n")
+        both = pairs.join(n.toDF("a", "x"), "a").join(n.toDF("b", "y"), "b")
+        sizes.extend((r.x, r.y) for r in both.select("x", "y").collect())
+        return may_link(pairs, nodes)
+
+    monkeypatch.setattr(near_duplicates, "may_link", watched)
+    rng = random.Random(5)
+    passage, rows = words(rng, 40), []
+    for i in range(48):  # one passage in all, other words and sizes around it
+        rows.append((i, f"{words(rng, rng.randint(8, 20))} {passage} {words(rng, rng.randint(0, 90))}"))
+    rows += [(100 + i, text + " end") for i, text in rows[::4]]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == components_by_brute_force(rows)
+    assert sizes and all(100 * min(x, y) >= 75 * max(x, y) for x, y in sizes)
+
+
 def test_near_duplicates_odd_cases(spark):
     docs = odd_documents(spark)
     rows = near_duplicates.near_duplicates(docs).collect()
