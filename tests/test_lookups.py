@@ -51,6 +51,18 @@ def test_spread_rules_do_not_deal_movements_by_value(spark):
     assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
 
 
+def test_spread_rules_take_few_bytes_a_row(spark, tmp_path):
+    """The rows are movements times rules: written as they come, a movement's rules repeat those of the one before."""
+    moves = spark.range(300).selectExpr("id", "id % 7 as user_id", "if(id % 3 = 0, null, 'a.near') as counterparty", "if(id % 2 = 0, 'SCAM', 'other') as token")
+    rules = spark.range(20_000).selectExpr("id as rule_id", "if(id % 2 = 0, 'contract_address', 'token_symbol') as rule_type", "if(id % 2 = 0, 'A.near', 'sc') as value", "true as is_active")
+    path = str(tmp_path / "out")
+    decode.spread_rules(moves, rules).write.parquet(path)
+    fits = moves.crossJoin(rules).filter("if(rule_type = 'contract_address', counterparty = 'a.near', token = 'SCAM')").select("rule_id", F.col("id").alias("tx_id"), "user_id")
+    got = spark.read.parquet(path)
+    assert got.count() == fits.count() == 350 * 10_000 and got.exceptAll(fits).isEmpty()
+    assert sum(os.path.getsize(os.path.join(path, f)) for f in os.listdir(path)) < 0.5 * 350 * 10_000
+
+
 def test_first_pool_of_a_pair(spark):
     rows = [(3, ["x", "w"], ["2", "10"]), (2, ["w", "x"], ["0", "5"]), (1, ["w", "x", "y"], ["1", "1", "1"]), (4, ["w", "x"], ["9", "1"]), (5, ["w", "y"], ["9"]), (6, ["y", "w"], ["n/a", "3"]), (7, ["y", "w"], ["4", "1"]), (8, ["w", "w"], ["1", "1"]), (9, ["x", "y"], ["1", "1"])]
     df = spark.createDataFrame(rows, "pool_id long, tokens array<string>, amounts array<string>")
