@@ -92,7 +92,8 @@ class Pool:
     def __init__(self):
         self.units = self.cost = 0
 
-    def step(self, kind: str, units: int, value: int, fee: int) -> tuple[list[int], bool]:
+    def move(self, kind: str, units: int, value: int, fee: int) -> tuple[int, int, int, bool]:
+        """Takes one movement. Gives the cost of a unit and of all units of a disposal, its gain, and whether it is marked."""
         used = gain = each = 0
         review = False
         if kind == "acquire":
@@ -111,6 +112,10 @@ class Pool:
         elif kind == "out":
             review = units > self.units
             self.units = max(0, self.units - units)
+        return each, used, gain, review
+
+    def step(self, kind: str, units: int, value: int, fee: int) -> tuple[list[int], bool]:
+        each, used, gain, review = self.move(kind, units, value, fee)
         after = half_up(self.cost * ONE, self.units) if self.units else 0
         return [self.units, self.cost, each or after, used, gain], review
 

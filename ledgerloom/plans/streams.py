@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..adapters import ORDER, ledger
@@ -60,17 +59,14 @@ def st04(spark, sf_dir):
 def st06(spark, sf_dir):
     """Movements arrive in any order, a third of them at a time; the pools are those of all in order."""
     scratch = Scratch(spark, "late")
-    moves = ledger(spark, sf_dir)
-    # of equal times the ledger's order counts
-    place = F.row_number().over(Window.partitionBy("user_id", "token", "ts").orderBy(*ORDER[1:]))
-    moves = scratch.save(moves.select("user_id", "token", "ts", place.cast("long").alias("seq"), "kind", "units", "value", "fee", "a"))
+    moves = ledger(spark, sf_dir).select("user_id", "token", *ORDER, "kind", "fee")
     before = spark.conf.get(PROVIDER)
     spark.conf.set(PROVIDER, ROCKS)
     try:
         commits = Commits(f"{scratch.root}/table")
         for _ in landings(moves, f"{scratch.root}/landed", [2, 0, 1], 3, "a"):
             stream = spark.readStream.schema(moves.schema).parquet(f"{scratch.root}/landed")
-            run_now(late_pools(stream, 20 * 366 * 86400), f"{scratch.root}/checkpoint", commits.write)
+            run_now(late_pools(stream, 20 * 366 * 86400, tuple(ORDER[1:])), f"{scratch.root}/checkpoint", commits.write)
     finally:
         spark.conf.set(PROVIDER, before)
     last = commits.read(spark).groupBy("user_id", "token").agg(F.max_by(F.struct("units_after", "cost_after", "gain", "too_late"), "batch").alias("s"))

@@ -2,14 +2,17 @@
 
 import datetime as dt
 import os
+import random
 from decimal import Decimal as D
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.pools import register, register_batches
 from ledgerloom.operators import changes, decode
-from ledgerloom.streaming.commits import PROVIDER, ROCKS, Commits, late_pools, run_now
+from ledgerloom.operators.folds import ONE, Pool
+from ledgerloom.streaming.commits import KINDS, PROVIDER, ROCKS, Commits, LatePools, late_pools, run_now
 
 
 def word(n):
@@ -163,3 +166,82 @@ def test_late_movements_are_put_in_place(spark, tmp_path):
     assert got[1] == (700, 3500, 892, 0)  # the sale is replayed on what came late
     assert got[2] == (0, 0, 892 + 100 - 3500, 0)
     assert got[3][0] == 100 and got[3][3] == 1  # day 2 is before what is kept, day 39 is not
+
+
+class OneValue:
+    """State of one bucket, as a processor sees it."""
+
+    def __init__(self):
+        self.value, self.writes = None, 0
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value, self.writes = value, self.writes + 1
+
+
+def in_order(moves, keep):
+    """Pools of movements (pool, at, a, kind, units, value, fee) that come in batches, from lists that are sorted and replayed from their start each time."""
+    held, out = {}, {}
+    for batch in moves:
+        for name, *m in batch:
+            at, base, late, kept = held.setdefault(name, [None, None, 0, []])
+            if base and (m[0], m[1], m[3]) <= base[0]:
+                held[name][2] += 1
+            else:
+                kept.append(m)
+        for name in {x[0] for x in batch}:
+            _, base, late, kept = held[name]
+            kept.sort(key=lambda m: (m[0], m[1], m[3]))
+            pool, gain, stay = Pool(), 0, []
+            if base:
+                pool.units, pool.cost, gain = base[1]
+            edge = max((m[0] for m in kept), default=base and base[0][0]) - keep
+            for m in kept:
+                gain += pool.step(*m[2:])[0][4]
+                if m[0] < edge:
+                    base = ((m[0], m[1], m[3]), (pool.units, pool.cost, gain))
+                else:
+                    stay.append(m)
+            held[name] = [None, base, late, stay]
+            out[name] = (pool.units / ONE, pool.cost / ONE, gain / ONE, late, stay[-1][0] if stay else base[0][0])
+        yield {name: out[name] for name in {x[0] for x in batch}}
+
+
+@pytest.mark.parametrize(("keep", "wide"), [(10**6, False), (60, False), (60, True)])
+def test_pools_of_a_bucket_come_and_go_at_once(keep, wide):
+    rng, kinds = random.Random(7), ["acquire", "acquire", "dispose", "in", "out", "other"]
+    amount = lambda: rng.randrange(1, 10**10) * (10**12 if wide and rng.random() < 0.01 else 1)
+    # times wander on, so that movements become too old, and many are equal
+    batches = [[(f"{rng.randrange(40)}:X y", (20 * b + rng.randrange(100)) * 10**6, rng.randrange(3), rng.choice(kinds), amount(), amount(), rng.randrange(10**7)) for _ in range(rng.choice([1, 30, 2000]))] for b in range(12)]
+    p, n_late = LatePools(keep, ("a", "units")), 0
+    p.pools = OneValue()
+    for i, (batch, want) in enumerate(zip(batches, in_order(batches, keep * 10**6), strict=True)):
+        df = pd.DataFrame({"bucket": 0, "pool": [m[0] for m in batch], "move": [" ".join(map(str, [*m[1:3], KINDS.index(m[3]), *m[4:]])) for m in batch]})
+        got = pd.concat(p.handleInputRows((0,), iter([df[:700], df[700:]]), None))
+        assert {r[0]: r[1:] for r in got.itertuples(index=False, name=None)} == want and p.pools.writes == i + 1
+        n_late += sum(w[3] for w in want.values())
+    assert (n_late > 0) == (keep == 60)
+    pools, moves = p._unpack(*p.pools.value)
+    assert sum(x["n"] for x in pools) == len(moves["at"]) and all(len(x["after"]) <= 1 + x["n"] / 64 for x in pools)
+    assert wide or len(p.pools.value[1]) < 60 * len(moves["at"])
+
+
+def test_late_pools_take_any_order_and_names(spark, tmp_path):
+    """Of equal times the given columns count, nulls first; users and tokens may be null or hold signs of their own."""
+    t = dt.datetime(2024, 1, 1)
+    schema = "user_id long, token string, ts timestamp, a long, b int, kind string, units decimal(38,8), value decimal(38,8), fee decimal(22,4)"
+    big = D(10) ** 20
+    rows = [(-1, "x: y", t, 2, 1, "dispose", D(5), D(50), None), (-1, "x: y", t, 1, 2, "acquire", D(10), D(20), D("0.5")), (-1, "x: y", t, None, 2, "acquire", D(1), D(1), None), (None, None, t, 1, 1, "acquire", big, big, D(0)), (None, "", t, 1, 1, "acquire", D("0.00000001"), D(3), D(0)), (4, None, t, 1, 1, "gift", D(1), D(1), D(0))]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    before, commits = spark.conf.get(PROVIDER), Commits(str(tmp_path / "out"))
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        run_now(late_pools(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 86400, ("a", "b"), 3), str(tmp_path / "ck"), commits.write)
+    finally:
+        spark.conf.set(PROVIDER, before)
+    got = {(r.user_id, r.token): (r.units_after, r.cost_after, r.gain) for r in commits.read(spark).collect()}
+    used = D("21.5") / 11 * 5
+    assert got.pop((-1, "x: y")) == pytest.approx((6, float(D("21.5") - used), float(50 - used)), abs=1e-6)
+    assert got == {(None, None): (1e20, 1e20, 0), (None, ""): (1e-8, 3, 0), (4, None): (0, 0, 0)}
